@@ -55,6 +55,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import binary
+    from .common import fresh_path
+
+    path = fresh_path(spark, "binary")
+    binary.write(read(spark, sf_dir, "documents"), path, vocabulary())
+    return binary.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -63,5 +72,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_lines, op6_mixing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_lines, op6_mixing, op7_binary, op9_quality)}
 ORACLES: dict[str, str] = {"op4_lines": OP4_SQL}
