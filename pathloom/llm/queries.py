@@ -72,5 +72,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_lines, op6_mixing, op7_binary, op9_quality)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_model
+    from .common import crc_mod
+
+    held_out = crc_mod("doc_id", 7) == 2
+    scored = language_model.score(read(spark, sf_dir, "documents"), ~held_out)
+    return scored.select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_lines, op6_mixing, op7_binary, op9_quality, op10_language_model)}
 ORACLES: dict[str, str] = {"op4_lines": OP4_SQL}
