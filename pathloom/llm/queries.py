@@ -64,6 +64,12 @@ def op7_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup
+
+    return embedding_dedup.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -83,5 +89,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_lines, op6_mixing, op7_binary, op9_quality, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_lines, op6_mixing, op7_binary, op8_embeddings, op9_quality, op10_language_model)}
 ORACLES: dict[str, str] = {"op4_lines": OP4_SQL}
