@@ -25,6 +25,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dedup
+
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
@@ -89,5 +95,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_lines, op6_mixing, op7_binary, op8_embeddings, op9_quality, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op4_lines, op6_mixing, op7_binary, op8_embeddings, op9_quality, op10_language_model)}
 ORACLES: dict[str, str] = {"op4_lines": OP4_SQL}
