@@ -31,6 +31,15 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .common import crc_mod
+
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
@@ -55,6 +64,15 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+    from .common import crc_mod
+
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs, crc_mod("doc_id", 3) != 1)
+    return language_id.predict(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -95,5 +113,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op4_lines, op6_mixing, op7_binary, op8_embeddings, op9_quality, op10_language_model)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_lines, op5_language, op6_mixing, op7_binary, op8_embeddings, op9_quality, op10_language_model, pipeline)}
 ORACLES: dict[str, str] = {"op4_lines": OP4_SQL}
