@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize, release
 from .tokens import read_vocabulary, tokenizer
 
 _HEAD, _CRC, _DOC = Struct("<QI"), Struct("<I"), Struct("<qB")
 END = b"\n"
 _FRAMES = "file string, position long, bytes long, doc_id long, n_tokens long"
 _FLUSH = 8_000_000
+#: Files up to which their table (about 60 bytes a row) is broadcast.
+_BROADCAST_FILES = 200_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -105,7 +108,17 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, *, end_id: int | Non
     )
     raw = ordered.mapInArrow(frames, "value binary").select(F.col("value").cast("string"))
     raw.write.option("lineSep", END.decode()).option("compression", "none").text(f"{path}/data")
-    _index(spark, path).write.parquet(f"{path}/index")
+    frames_found = materialize(_scan(spark, path), "binary-frames")
+    whole = frames_found.groupBy("file").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    whole.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/files")
+    inside = Window.partitionBy("file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    placed = frames_found.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    bases = file_table(spark, path).select("file", "before")
+    placed.join(bases, "file").select(
+        "file", "position", "bytes", "doc_id", "n_tokens", (F.col("before") + F.col("_inside")).alias("start")
+    ).write.parquet(f"{path}/index")
+    release(frames_found)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +127,9 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return found.filter("length > 0").select(F.substring_index("path", "/", -1).alias("file"), "content")
 
 
-def _index(spark: SparkSession, path: str) -> DataFrame:
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """The frames of all files as their heads and payload sizes tell."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
@@ -126,15 +141,12 @@ def _index(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "position", "bytes", "doc_id", "n_tokens"]
                 )
 
-    frames = _files(spark, path).mapInArrow(scan, _FRAMES)
-    whole = frames.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    whole = whole.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    placed = frames.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return placed.join(whole, "file").select(
-        "file", "position", "bytes", "doc_id", "n_tokens", (F.col("_before") + F.col("_inside")).alias("start")
-    )
+    return _files(spark, path).mapInArrow(scan, _FRAMES)
+
+
+def file_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row a data file: (file, n_docs, n_tokens, before), the last the ids of all files before it."""
+    return spark.read.schema("file string, n_docs long, n_tokens long, before long").parquet(f"{path}/files")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
@@ -145,30 +157,49 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str, chosen: DataFrame | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the files; ids as little-endian unsigned 32-bit integers.
 
-    ``chosen``: rows of the index to read, in any order, for shuffled reads;
-    without it, all. Each file is read once and jumped through by the offsets;
-    every frame's checksums are verified.
+    Without ``chosen`` all frames are read in file order. ``chosen``: rows of the
+    index, for shuffled reads: each of their files is read once and jumped through
+    by the offsets. Every frame's checksums are verified.
     """
-    wanted = (index(spark, path) if chosen is None else chosen).groupBy("file").agg(
-        F.sort_array(F.collect_list(F.struct("position", "start"))).alias("_at")
-    )
-    pairs = _files(spark, path).join(wanted, "file").select(
-        "content", F.expr("transform(_at, x -> x.position)").alias("at"), F.expr("transform(_at, x -> x.start)").alias("start")
-    )
+    if chosen is None:
+        bases = file_table(spark, path).select("file", "before")
+        if bases.count() <= _BROADCAST_FILES:
+            bases = F.broadcast(bases)
+        none = F.lit(None).cast("array<long>")
+        pairs = _files(spark, path).join(bases, "file").select("content", "before", none.alias("at"), none.alias("start"))
+    else:
+        wanted = chosen.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("position", "start"))).alias("_at"))
+        pairs = _files(spark, path).join(wanted, "file").select(
+            "content", F.lit(0).cast("long").alias("before"), F.expr("transform(_at, x -> x.position)").alias("at"), F.expr("transform(_at, x -> x.start)").alias("start")
+        )
+
+    def found(view: memoryview, before: int, at: list | None, start: list | None) -> Iterator[tuple]:
+        if at is None:
+            place = 0
+            while place < len(view):
+                doc_id, ids, place = unframe(view, place)
+                yield doc_id, before, ids
+                before += len(ids)
+        else:
+            for a, s in zip(at, start, strict=True):
+                doc_id, ids, _ = unframe(view, a)
+                yield doc_id, s, ids
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n_tokens", "ids"]
         for batch in batches:
-            for content, at, start in zip(*(batch.column(i) for i in range(3)), strict=True):
-                view, out, held = memoryview(content.as_buffer()), [], 0
-                for a, s in zip(at.as_py(), start.as_py(), strict=True):
-                    doc_id, ids, _ = unframe(view, a)
+            for content, before, at, start in zip(*(batch.column(i) for i in range(4)), strict=True):
+                out, held = [], 0
+                for doc_id, s, ids in found(memoryview(content.as_buffer()), before.as_py(), at.as_py(), start.as_py()):
                     out.append((doc_id, s, len(ids), ids.astype("<u4").tobytes()))
                     held += 4 * len(ids)
                     if held > _FLUSH:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_READ)
+                        yield batch_of(out)
                         out, held = [], 0
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_READ)
+                yield batch_of(out)
 
     return pairs.mapInArrow(pick, "doc_id long, start long, n_tokens long, ids binary")
 
