@@ -47,23 +47,20 @@ def starts(c: Column, *prefixes: str) -> Column:
 def matches(line: Column, pattern: str, groups: list[int]) -> Column:
     """All matches of ``pattern``: array of (text, g0.., column), column 1-based in code units.
 
-    Spark gives the matched texts but no offsets, so the offset of a match is the
-    length of all gaps and matches before it, folded once from left to right.
+    Spark gives the matched texts but no offsets. A pattern without look-around
+    matches at the first place after the previous match where its text stands, so
+    each text is located from there, left to right; groups come from the text alone.
     """
-    every = F.arrays_zip(
-        F.split(line, pattern, -1).alias("gap"),
-        F.regexp_extract_all(line, F.lit(pattern), F.lit(0)).alias("text"),
-        *(F.regexp_extract_all(line, F.lit(pattern), F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)),
-    )
     fields = ", ".join(f"g{i}: string" for i in range(len(groups)))
     empty = F.array().cast(f"array<struct<text: string, {fields}, column: int>>")
+    plain = F.octet_length(line) == F.length(line)
 
     def step(state: Column, m: Column) -> Column:
-        at = state["at"] + utf16_length(m["gap"])
-        found = F.struct(m["text"].alias("text"), *(m[f"g{i}"].alias(f"g{i}") for i in range(len(groups))), at.alias("column"))
-        return F.when(m["text"].isNull(), state).otherwise(
-            F.struct((at + utf16_length(m["text"])).alias("at"), F.concat(state["out"], F.array(found)).alias("out"))
-        )
-
-    start = F.struct(F.lit(1).alias("at"), empty.alias("out"))
-    return F.aggregate(every, start, step)["out"]
+        at = F.position(m, line, state["next"])
+        units = F.when(plain, at).otherwise(utf16_length(F.substring(line, F.lit(1), at - 1)) + 1)
+        parts = (F.regexp_extract(m, pattern, g).alias(f"g{i}") for i, g in enumerate(groups))
+        found = F.struct(m.alias("text"), *parts, units.alias("column"))
+        return F.struct((at + F.length(m)).alias("next"), F.concat(state["out"], F.array(found)).alias("out"))
+
+    texts = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    return F.aggregate(texts, F.struct(F.lit(1).alias("next"), empty.alias("out")), step)["out"]

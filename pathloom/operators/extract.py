@@ -80,7 +80,8 @@ def javascript_paths(content: Column | str) -> Column:
         )
 
     def found(text: Column, line: Column) -> Column:
-        every = F.concat(*(matches(text, pattern, [1]) for pattern in MODULES))
+        none = F.array().cast("array<struct<text: string, g0: string, column: int>>")
+        every = F.concat(*(F.when(text.contains(p[:6]), matches(text, p, [1])).otherwise(none) for p in MODULES))
         kept = F.filter(every, lambda m: is_module_path(m["g0"]))
         return F.transform(kept, lambda m: _path(m["g0"], classify.module(m["g0"]), line, m["column"], kind(m["text"])))
 
