@@ -139,11 +139,13 @@ def _platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, training: Column, *, max_examples: int = 3000, max_terms: int = 4000, k: int = 15, least_chi2: float = 20.0, seed: int = 3
+    docs: DataFrame, labels: DataFrame, training: Column, *, max_examples: int = 3000, max_terms: int = 4000, k: int = 15, least_chi2: float = 20.0, least_share: float = 0.01, seed: int = 3
 ) -> ToxicityModel:
     """Learn from at most about ``max_examples`` labelled rows of each label, drawn by a seeded hash of doc_id.
 
-    Null labels and rows outside ``training`` are skipped; of a doc_id labelled
+    A term is kept if chi-square is at least ``least_chi2`` and it explains at least
+    ``least_share`` of the label's variance among the examples, so that words which
+    only a few copies of one text share are not. Null labels and rows outside ``training`` are skipped; of a doc_id labelled
     twice the larger label counts. Document frequencies are of all ``docs``.
     """
     spark = docs.sparkSession
@@ -173,7 +175,7 @@ def train(
     total = float(all0 + all1)
     cross = a * (all0 - b) - b * (all1 - a)
     chi2 = F.try_divide(total * cross * cross, F.lit(float(all1)) * all0 * (a + b) * (total - a - b))
-    best = held.withColumn("chi2", F.coalesce(chi2, F.when(a + b == total, F.lit(0.0)), F.lit(0.0))).filter(F.col("chi2") >= least_chi2)
+    best = held.withColumn("chi2", F.coalesce(chi2, F.when(a + b == total, F.lit(0.0)), F.lit(0.0))).filter(F.col("chi2") >= max(least_chi2, least_share * total))
     terms = sorted(bytes(r["term"]) for r in best.orderBy(F.desc("chi2"), "term").limit(max_terms).collect())
 
     ids = {t: i for i, t in enumerate(terms)}
@@ -244,12 +246,21 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) ->
         model = shared.value
         index, count = BlockMaxIndex(model.rows, len(model.terms)), TermCounter({t: i for i, t in enumerate(model.terms)})
         blank = model.calibrated(model.prior)
+        nearest: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # many texts have the same few terms
+
+        def neighbours(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = terms.tobytes() + weights.tobytes()
+            if key not in nearest:
+                if len(nearest) >= 20_000:
+                    nearest.clear()
+                nearest[key] = index.nearest(terms, weights, model.k)
+            return nearest[key]
 
         def work(c):
             out = {name: c[name] for name in ("doc_id", *keep)} | {"score": [], "neighbours": [], "cosines": []}
             for text in c["text"]:
                 terms, weights = model.vector(count(text))
-                numbers, cosines = index.nearest(terms, weights, model.k) if len(terms) else (np.zeros(0, dtype=np.int64), np.zeros(0))
+                numbers, cosines = neighbours(terms, weights) if len(terms) else (np.zeros(0, dtype=np.int64), np.zeros(0))
                 out["score"].append(model.calibrated(model.raw(numbers, cosines)) if len(numbers) else blank)
                 out["neighbours"].append(model.ids[numbers].tolist() if len(numbers) else [])
                 out["cosines"].append(cosines.tolist())
