@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import connected_components
+from .components import connected_components, forest
 
 _BLOCK = "block long, dim int, n long, keys binary, ids binary, mult binary, codes binary, scale binary, lost binary, vectors binary"
 
@@ -41,24 +41,6 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt((lost * lost).sum(axis=1)) * (1 + 1e-12) + 1e-15
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root) that connect what the links a-b connect: one fewer than nodes in each component."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            break
-        root = new
-    inner = root != np.arange(len(nodes))
-    return nodes[inner], nodes[root[inner]]
-
-
 class Block:
     def __init__(self, row: dict) -> None:
         self.number, self.n, dim = row["block"], row["n"], row["dim"]

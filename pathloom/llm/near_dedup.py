@@ -8,9 +8,11 @@ probability equal to the Jaccard similarity, as concentrated as for minwise hash
 
 Texts with equal sets form one class; only classes are compared. A band bucket's
 classes are compared with a leader first, then, as long as a bucket still holds
-several components, with further leaders, and at last all its classes of
-different components with each other. So no compared pair is dropped by a cap,
-and a large group of copies costs one comparison a class and band, not all pairs.
+several components, with further leaders. What that has not settled is compared
+in full: small buckets pair by pair, larger ones in blocks, where a product of the
+blocks' incidence matrices gives all intersections at once and only the links that
+join components leave the task. So no pair is dropped by a cap, no task holds more
+than two blocks, and copies that a leader takes in cost one comparison a band.
 Every link is confirmed on the full sets.
 """
 
@@ -25,7 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, materialize, mix64, release, shingles
-from .components import connected_components
+from .components import connected_components, forest
+
+#: Members up to which an open bucket is compared pair by pair; beyond, set elements of a block and columns of its matrix.
+_SMALL, _BLOCK, _COLUMNS = 8, 150_000, 4096
 
 
 def sketch(elements: np.ndarray, coordinates: int) -> np.ndarray:
@@ -122,8 +127,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "_one", "_two").mapInArrow(run, "a long, b long")
 
 
+def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within the buckets of ``members`` (key, size, rep, component), found block by block."""
+    blocks = F.ceil(F.col("size") / _BLOCK)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep", "key"), blocks))
+    sides = F.transform(
+        F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct(F.least("block", x).alias("one"), F.greatest("block", x).alias("two"))
+    )
+    sent = dealt.withColumn("_pair", F.explode(sides)).select("key", "_pair.one", "_pair.two", "block", "rep", "component")
+
+    def compare(table: pa.Table) -> pa.Table:
+        block, rep, component = (table.column(c).to_numpy() for c in ("block", "rep", "component"))
+        first, second = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+        found = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table.column("elements")]
+        n = np.array([len(f) for f in found])
+        values, at, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1  # elements of one set only meet nothing
+        use = times[at] > 1
+        row, column = np.repeat(np.arange(len(found)), n)[use], shared[at[use]]
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        for start in range(0, int((times > 1).sum()), _COLUMNS):
+            inside = (column >= start) & (column < start + _COLUMNS)
+            held = np.zeros((len(found), _COLUMNS), dtype=np.float32)
+            held[row[inside], column[inside] - start] = 1
+            common += held[left] @ held[right].T
+        linked = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (component[left][:, None] != component[right][None, :])
+        i, j = np.nonzero(linked)
+        a, b = forest(rep[left[i]], rep[right[j]]) if len(i) else (rep[:0], rep[:0])
+        return pa.table({"a": a, "b": b})
+
+    joined = sent.join(sets.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
+    return joined.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(
-    docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, leader_rounds: int = 4
+    docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, leader_rounds: int = 2
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
@@ -153,38 +192,47 @@ def near_duplicates(
     links = [materialize(_confirmed(tested, sets, percent), "near-links")]
     parts = connected_components(links[0])
     done = [tested]
-    for turn in range(1, leader_rounds + 2):
+
+    def still_open(turn: int) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the buckets that hold several, with a leader."""
         labelled = members.select("key", "rep", "n").join(parts, F.col("rep") == F.col("node"), "left").select(
             "key", "rep", "n", F.coalesce("component", "rep").alias("component")
         )
+        leader = F.max(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "component")).alias("leader")
         several = labelled.groupBy("key").agg(
-            F.min("component").alias("_low"), F.max("component").alias("_high"),
-            F.max(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "component")).alias("leader"),
-        ).filter("_low < _high")
+            F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min("component").alias("_low"), F.max("component").alias("_high"), leader
+        ).filter("_low < _high").drop("_low", "_high")
+        done.append(materialize(several, "near-open"))
+        return labelled, done[-1]
+
+    def more(new: DataFrame) -> DataFrame:
+        """Components with the new links."""
+        links.append(materialize(new, "near-links"))
+        if not links[-1].limit(1).count():
+            return parts
+        edges = links[0]
+        for other in links[1:]:
+            edges = edges.unionByName(other)
+        return connected_components(edges)
+
+    for turn in range(1, leader_rounds + 2):
+        labelled, several = still_open(turn)
+        if not several.limit(1).count():
+            break
         if turn <= leader_rounds:
             pairs = labelled.join(several, "key").filter("component <> leader.component").select(
                 F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b"), F.col("n").alias("na"), F.col("leader.n").alias("nb")
             )
-        else:  # what several leaders have not settled: all classes of different components of a bucket
-            rest = labelled.join(several.select("key"), "key", "left_semi")
-            other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("_theirs"))
-            pairs = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), "component").join(other, "key").filter(
+            parts = more(_confirmed(pairs.filter(sizes).select("a", "b").distinct(), sets, percent))
+        else:
+            small, large = several.filter(F.col("m") <= _SMALL), several.filter(F.col("m") > _SMALL)
+            one = labelled.join(small.select("key"), "key")
+            two = one.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("_theirs"))
+            pairs = one.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), "component").join(two, "key").filter(
                 "a < b and component <> _theirs"
             )
-        pairs = pairs.filter(sizes).select("a", "b").distinct()
-        for old in done:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        tested = materialize(pairs, "near-pairs")
-        done.append(tested)
-        if not tested.limit(1).count():
-            continue
-        new = materialize(_confirmed(tested, sets, percent), "near-links")
-        if new.limit(1).count():
-            links.append(new)
-            edges = links[0]
-            for more in links[1:]:
-                edges = edges.unionByName(more)
-            parts = connected_components(edges)
+            by_pair = _confirmed(pairs.filter(sizes).select("a", "b").distinct(), sets, percent)
+            parts = more(by_pair.unionByName(_blocks(labelled.join(large.select("key", "size"), "key"), sets, percent)))
     release(sets, members, *done)
     found = classes.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "rep").join(parts, F.col("rep") == F.col("node"), "left").select(
         "_f1", "_f2", F.coalesce("component", "rep").alias("_component")

@@ -187,6 +187,24 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_blocks_settle_what_leaders_leave(spark, monkeypatch):
+    """A large group of variants, some just not alike enough, with every comparison but the first left to blocks."""
+    monkeypatch.setattr(near_dedup, "_SMALL", 1)
+    monkeypatch.setattr(near_dedup, "_BLOCK", 1200)
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(draw.randint(0, 9)):
+            text[draw.randrange(80)] = f"v{draw.randint(0, 9)}"
+        rows.append((i, " ".join(text)))
+    sets = {i: s[0] for i, s in brute_sets(rows, 2).items()}
+    expected = brute_components(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    got = near_dedup.near_duplicates(table(spark, rows), words=2, leader_rounds=0).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected and len(set(expected.values())) > 1
+
+
 def test_leaders_alone_do_not_decide(spark):
     """A chain of texts, each like the next: all are one component although few are like its first."""
     base = [f"w{i}" for i in range(60)]
@@ -426,6 +444,16 @@ def test_block_max_index_is_exact():
         assert numbers.tolist() == [i for _, i in want] and np.allclose(cosines, [-c for c, _ in want])
 
 
+def test_terms_are_counted_alike():
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(["ab", "abc", "d", "efgh", " ", ".", "É", "\n", "1"]) for _ in range(draw.randint(0, 40))) for _ in range(400)] + [None]
+    every = [Counter(t for w in toxicity.words_of(text) for t in toxicity.terms_of(w)) for text in texts]
+    ids = {t: i for i, t in enumerate(sorted({t for c in every for t in c})[::3])}
+    count = toxicity.TermCounter(ids)
+    assert [count(t) for t in texts] == [{ids[t]: n for t, n in c.items() if t in ids} for c in every]
+    assert toxicity.TermCounter({})("ab") == {}
+
+
 def sentences(seed, n, lexicon, extra=None):
     draw = random.Random(seed)
     out = []
