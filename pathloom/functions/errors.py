@@ -110,3 +110,22 @@ def user_message(message: Column | str, category: Column | str, file: Column | N
 
 def suggestion(category: Column | str) -> Column:
     return _lookup(column(category), SUGGESTIONS)
+
+
+def parse_error(message: Column, path: Column | None = None, line: Column | None = None, at: Column | None = None) -> Column:
+    """A recoverable parsing error with its place, if known."""
+    none = F.lit(None)
+    return F.struct(
+        F.lit("parsing").alias("category"), F.lit("warning").alias("severity"), message.alias("message"),
+        (none.cast("string") if path is None else path).alias("filepath"), (none.cast("int") if line is None else line).alias("line"),
+        (none.cast("int") if at is None else at).alias("column"), F.lit(True).alias("recoverable"), F.lit("skip").alias("recovery_action"),
+    )
+
+
+def safety_warning(message: Column) -> Column:
+    """A recoverable safety error of medium severity, with what a user reads about it."""
+    category = F.lit("safety")
+    return F.struct(
+        category.alias("category"), F.lit("medium").alias("severity"), message.alias("message"), user_message(message, category).alias("user_message"),
+        suggestion(category).alias("suggestion"), F.lit(True).alias("recoverable"),
+    )

@@ -65,3 +65,16 @@ def describe(duration: Column, memory: Column, cpu: Column, throughput: Column,
         ("\nCache Hits: ", hits.cast("string")), ("\nCache Misses: ", misses.cast("string")), ("\nHit Rate: ", rate),
     )
     return F.concat(*(x for text, c in parts for x in (F.lit(text), c)), F.lit("%"))
+
+
+def recent_lines(metrics: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """(place, line): the last ``n`` operations as report lines."""
+    from pyspark.sql import Window
+
+    last = recent(metrics, order, n)
+    place = F.row_number().over(Window.orderBy(order))  # of at most n rows
+    text = F.concat(
+        place.cast("string"), F.lit(". Duration: "), formats.duration("duration"), F.lit(", Memory: "), formats.number_of_bytes("memory_usage"),
+        F.lit(", Throughput: "), formats.throughput("throughput", "items/s"),
+    )
+    return last.select(place.alias("place"), text.alias("line"))

@@ -84,3 +84,10 @@ def test_file_names(rows, name, extension, kind, language):
     assert rows([name], D.file_extension) == [extension]
     assert rows([name], D.type_of_extension) == [kind]
     assert rows([name], D.language_of_file) == [language]
+
+
+def test_error_constructors(rows):
+    parsed = rows(["bad"], lambda c: errors.parse_error(c, line=F.lit(3)))[0]
+    assert (parsed["category"], parsed["severity"], parsed["line"], parsed["column"], parsed["recovery_action"]) == ("parsing", "warning", 3, None, "skip")
+    warned = rows(["big"], errors.safety_warning)[0]
+    assert warned["severity"] == "medium" and warned["recoverable"] and warned["user_message"] == "Safety threshold exceeded: big"

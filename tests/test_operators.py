@@ -151,3 +151,9 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["path_type", "count"]
+
+
+def test_recent_lines(spark):
+    rows = spark.createDataFrame([(i, 1000 * i, 1024, 10) for i in range(15)], "t int, duration long, memory_usage long, throughput long")
+    got = [r["line"] for r in metrics.recent_lines(rows, "t", 3).orderBy("place").collect()]
+    assert got == [f"{k}. Duration: {s}.00s, Memory: 1 KB, Throughput: 10 items/s" for k, s in ((1, 12), (2, 13), (3, 14))]
