@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,23 +38,24 @@ def terms_of(word: bytes) -> list[bytes]:
 
 
 class TermCounter:
-    """Counts the known terms of texts; remembers words, up to ``most`` of them."""
+    """Counts the known terms of texts in one scan with an automaton of all terms."""
 
-    def __init__(self, ids: dict[bytes, int], most: int = 300_000) -> None:
-        self.ids, self.most = ids, most
-        self.known: dict[bytes, tuple[int, ...]] = {}
+    def __init__(self, ids: dict[bytes, int]) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for term, i in ids.items():
+            prefix = term.endswith(b"*")
+            key = b" " + (term[:-1] if prefix else term + b" ")
+            self.automaton.add_word(key.decode("latin-1"), (i, prefix))
+        self.automaton.make_automaton()
+        self.any = bool(ids)
 
     def __call__(self, text: str | None) -> dict[int, int]:
-        if len(self.known) > self.most:
-            self.known.clear()
         found: dict[int, int] = {}
-        known, ids = self.known, self.ids
-        for word, n in Counter(words_of(text)).items():
-            mine = known.get(word)
-            if mine is None:
-                mine = known[word] = tuple(ids[t] for t in terms_of(word) if t in ids)
-            for t in mine:
-                found[t] = found.get(t, 0) + n
+        if self.any and text:
+            spaced = (b" " + text.lower().encode().translate(_LETTERS) + b" ").decode("latin-1")
+            for end, (i, prefix) in self.automaton.iter(spaced):
+                if not prefix or spaced[end + 1] != " ":  # a prefix is shorter than its word
+                    found[i] = found.get(i, 0) + 1
         return found
 
 
@@ -139,7 +141,7 @@ def _platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, training: Column, *, max_examples: int = 3000, max_terms: int = 4000, k: int = 15, least_chi2: float = 20.0, least_share: float = 0.01, seed: int = 3
+    docs: DataFrame, labels: DataFrame, training: Column, *, max_examples: int = 3000, max_terms: int = 4000, k: int = 15, least_chi2: float = 25.0, least_share: float = 0.01, seed: int = 3
 ) -> ToxicityModel:
     """Learn from at most about ``max_examples`` labelled rows of each label, drawn by a seeded hash of doc_id.
 
@@ -155,7 +157,9 @@ def train(
     for label, n in counts.items():
         limit = F.when(F.col("toxic") == label, F.lit(int(1_000_000 * min(1.0, max_examples / n)))).otherwise(limit)
     drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < limit)
-    sample = materialize(docs.select("doc_id", "text").join(drawn, "doc_id"), "toxic-examples")
+    drawn = materialize(drawn, "toxic-drawn")
+    few = drawn.count() <= 4 * max_examples  # by the draw about 2 * max_examples rows of two numbers
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(drawn) if few else drawn, "doc_id"), "toxic-examples")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +174,7 @@ def train(
     sizes = {int(r["y"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     all0, all1 = sizes.get(0, 0), sizes.get(1, 0)
     held = sample.select("text", "toxic").mapInArrow(spread, "term binary, n0 long, n1 long")
-    held = held.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 3")
+    held = held.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 5")
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     total = float(all0 + all1)
     cross = a * (all0 - b) - b * (all1 - a)
