@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, mix64
+from .common import WordHasher, map_rows, materialize, mix64
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -208,9 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, see
     total = known.count()
     share = min(1.0, max_labelled / max(1, total))
     drawn = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else F.lit(True)
-    sample = docs.select("doc_id", "text").join(known.filter(drawn), "doc_id")
-    counted = statistics(sample).join(known, "doc_id").select("doc_id", "features", "quality")
-    rows = sorted((r.doc_id, r.quality, r.features) for r in counted.collect())
+    chosen = materialize(known.filter(drawn), "quality-drawn")
+    few = chosen.count() <= 2 * max_labelled  # by the draw about max_labelled rows of two numbers
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")) if few else chosen.select("doc_id"), "doc_id")
+    quality = {r.doc_id: r.quality for r in chosen.collect()}
+    rows = sorted((r.doc_id, quality[r.doc_id], r.features) for r in statistics(sample).select("doc_id", "features").collect())
     x = np.array([r[2] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return grow(x, np.array([float(r[1]) for r in rows]), list(FEATURES.values()))
 
