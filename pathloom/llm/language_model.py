@@ -6,14 +6,15 @@ contexts of orders 0 to 3 and the bytes that followed each. A byte's probability
 comes from the longest context in the trie; the escape to the next shorter one
 has weight q / (n + q) with n followers, q of them distinct (method C), and
 symbols that a longer context has already ruled out are excluded. All that is
-tabled once for every context, so scoring is two look-ups a byte.
+tabled once for the most frequent contexts, so scoring is two look-ups a byte;
+what follows any other context meets its probability in a join.
 
 Framing: three 0xFF bytes, which no UTF-8 text holds, start a text and one ends it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,43 +103,62 @@ def above(counts: DataFrame, most: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Trie:
-    """Followers of the kept contexts by order: keys are context bytes and the follower, as one number."""
+    """Followers by order, of all contexts of orders 0 to 2 and of the kept ones of order 3.
+
+    Keys are context bytes and the follower, as one number.
+    """
 
     keys: tuple[np.ndarray, ...]
     counts: tuple[np.ndarray, ...]
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """(state of each 3-byte context, log10 probability of each byte in each state)."""
-        followers, rows = [], []
-        for order, (keys, counts) in enumerate(zip(self.keys, self.counts, strict=True)):
-            contexts, row = np.unique(keys >> 8, return_inverse=True)
+    def followers(self, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(contexts, follower counts as 256 columns) of each order."""
+        out = []
+        for order in orders:
+            contexts, row = np.unique(self.keys[order] >> 8, return_inverse=True)
             dense = np.zeros((len(contexts) if order else 1, 256), dtype=np.float32)
-            dense[row, keys & 255] = counts
-            followers.append((contexts, dense))
-            rows.append(contexts)
+            dense[row, self.keys[order] & 255] = self.counts[order]
+            out.append((contexts, dense))
+        return out
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """(state of each 3-byte context, or -1 if it has followers that are not kept; log10 probability of each byte in each state)."""
+        followers = self.followers(range(4))
+        lower = Lower(followers[:3])
         first = np.cumsum([0, *(len(d) for _, d in followers)])
-        probability = np.zeros((first[-1], 256), dtype=np.float32)
-        lookup = [np.full(256**order, -1, dtype=np.int32) for order in range(3)]
-        for order in range(3):
-            contexts, _ = followers[order]
-            lookup[order][contexts] = np.arange(len(contexts))
+        logs = np.zeros((first[-1], 256), dtype=np.float32)
         for order, (contexts, dense) in enumerate(followers):
             for a in range(0, len(dense), 2048):
-                some = contexts[a : a + 2048]
-                levels = [dense[a : a + 2048]]
-                for lower in range(order - 1, -1, -1):
-                    at = lookup[lower][some % 256**lower]
-                    levels.append(np.where((at >= 0)[:, None], followers[lower][1][at], 0))
-                probability[first[order] + a : first[order] + a + len(levels[0])] = _blend(levels)
-        state = np.full(256**3, first[0], dtype=np.uint16)
-        for order in (1, 2, 3):
+                some = lower.probabilities(order, contexts[a : a + 2048], dense[a : a + 2048])
+                logs[first[order] + a : first[order] + a + len(some)] = np.log10(some)
+        state = np.full(256**3, first[0], dtype=np.int32)
+        for order in (1, 2):
             contexts, _ = followers[order]
-            ids = (first[order] + np.arange(len(contexts))).astype(np.uint16)
-            if order == 3:
-                state[contexts] = ids
-            else:
-                state.reshape(-1, 256**order)[:, contexts] = ids
-        return state, np.log10(probability).astype(np.float32)
+            state.reshape(-1, 256**order)[:, contexts] = first[order] + np.arange(len(contexts), dtype=np.int32)
+        # A 3-byte run has followers itself unless it ends a text; a start has them if there are texts.
+        state[self.keys[2][(self.keys[2] & 255) != EDGE]] = -1
+        state[-1] = -1 if len(self.keys[0]) else state[-1]
+        contexts, _ = followers[3]
+        state[contexts] = first[3] + np.arange(len(contexts), dtype=np.int32)
+        return state, logs
+
+
+class Lower:
+    """Follower counts of orders 0 to 2, to which longer contexts escape."""
+
+    def __init__(self, followers: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.dense = [dense for _, dense in followers]
+        self.lookup = [np.full(256**order, -1, dtype=np.int32) for order in range(3)]
+        for order, (contexts, _) in enumerate(followers):
+            self.lookup[order][contexts] = np.arange(len(contexts))
+
+    def probabilities(self, order: int, contexts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of all bytes after contexts of ``order`` with the follower counts ``counts``."""
+        levels = [counts]
+        for lower in range(order - 1, -1, -1):
+            at = self.lookup[lower][contexts % 256**lower]
+            levels.append(np.where((at >= 0)[:, None], self.dense[lower][at], 0))
+        return _blend(levels)
 
 
 def _blend(levels: list[np.ndarray]) -> np.ndarray:
@@ -158,42 +178,79 @@ def _blend(levels: list[np.ndarray]) -> np.ndarray:
 
 
 def build_trie(runs: DataFrame, *, max_contexts: int = 16_384) -> Trie:
-    """The trie of 4-byte run counts; of orders 3 and 2 the most frequent ``max_contexts`` contexts each.
+    """The trie of 4-byte run counts, with the most frequent ``max_contexts`` contexts of order 3.
 
-    All counts are sums over all runs. The bound keeps what reaches the driver
-    and each worker fixed: at most max_contexts * 256 followers an order.
+    All counts are sums over all runs. What reaches the driver and each worker
+    stays under a bound set by the bytes: 256**3 followers of order 2, and
+    max_contexts * 256 of order 3. ``rare_logs`` has the other contexts of order 3.
     """
     keys, counts = [], []
     for order in range(4):
         by = runs.withColumn("key", F.col("key").bitwiseAND(F.lit(256 ** (order + 1) - 1)))
         by = by.groupBy("key").agg(F.sum("n").alias("n")) if order < 3 else by.select("key", "n")
-        if order >= 2:
+        if order == 3:
             context = by.groupBy(F.shiftright("key", 8).alias("_context")).agg(F.sum("n").alias("n"))
             kept = above(context, max_contexts).select("_context")
             by = by.join(kept, F.shiftright(by["key"], 8) == F.col("_context"), "left_semi")
         table = by.select("key", "n").toArrow()
         order_by = np.argsort(table.column("key").to_numpy())
-        keys.append(table.column("key").to_numpy()[order_by])
+        keys.append(table.column("key").to_numpy()[order_by].astype(np.uint32))
         counts.append(table.column("n").to_numpy()[order_by])
     return Trie(tuple(keys), tuple(counts))
 
 
-def code_length(data: bytes, state: np.ndarray, log_probability: np.ndarray) -> float:
-    """log10 probability of a framed text."""
+def rare_logs(runs: DataFrame, wanted: DataFrame, lower: Callable[[], Lower]) -> DataFrame:
+    """(key, log): log10 probability of the last byte of each wanted 4-byte run after its first three, which have followers.
+
+    Runs that share a context meet there: at most 256 followers and 256 wanted bytes.
+    """
+    names = ["key", "log"]
+    both = runs.select("key", "n").unionByName(wanted.select("key").distinct().withColumn("n", F.lit(0).cast("long")))
+    byte, n = F.col("key").bitwiseAND(F.lit(255)).cast("int"), F.col("n")
+    groups = both.groupBy(F.shiftright("key", 8).alias("context")).agg(
+        F.collect_list(F.when(n > 0, F.struct(byte.alias("byte"), n.alias("n")))).alias("followers"), F.collect_list(F.when(n == 0, byte)).alias("wanted")
+    )
+    groups = groups.filter(F.size("wanted") > 0).select("context", F.col("followers.byte").alias("bytes"), F.col("followers.n").alias("times"), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = None
+        for whole in batches:
+            tables = tables or lower()
+            for a in range(0, whole.num_rows, 2048):
+                context, follower, times, asked = whole.slice(a, 2048).columns
+                contexts = context.to_numpy()
+                counts = np.zeros((len(contexts), 256), dtype=np.float32)
+                counts[np.repeat(np.arange(len(contexts)), follower.value_lengths().to_numpy()), follower.flatten().to_numpy()] = times.flatten().to_numpy()
+                row, byte = np.repeat(np.arange(len(contexts)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy()
+                logs = np.log10(tables.probabilities(3, contexts, counts)[row, byte])
+                yield pa.RecordBatch.from_arrays([pa.array((contexts[row] << 8) | byte), pa.array(logs)], names=names)
+
+    return groups.mapInArrow(run, "key long, log double")
+
+
+def code_length(data: bytes, state: np.ndarray, log_probability: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log10 probability of a framed text without its rare runs, those whose context is not kept, how often each occurs)."""
     a = np.frombuffer(_START + data + _END, dtype=np.uint8).astype(np.int32)
-    at = state[(a[:-3] << 16) | (a[1:-2] << 8) | a[2:-1]]
-    return float(log_probability[at, a[3:]].sum(dtype=np.float64))
+    context = (a[:-3] << 16) | (a[1:-2] << 8) | a[2:-1]
+    at, byte = state[context], a[3:]
+    known = at >= 0
+    runs, times = np.unique((context[~known].astype(np.int64) << 8) | byte[~known], return_counts=True)
+    if len(runs):
+        at, byte = at[known], byte[known]
+    return float(log_probability[at, byte].sum(dtype=np.float64)), runs, times
 
 
-_kept: dict[int, tuple] = {}
+_kept: dict[object, object] = {}
 
 
-def _tables(key: int, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
-    """The trie's tables, kept in this process from task to task."""
-    if key not in _kept:
+def _once(key: int, what: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept in this process from task to task of one model."""
+    if _kept.get("model") != key:
         _kept.clear()
-        _kept[key] = trie.tables()
-    return _kept[key]
+        _kept["model"] = key
+    if what not in _kept:
+        _kept[what] = make()
+    return _kept[what]
 
 
 # ------------------------------------------------------------------- on DataFrames
@@ -207,6 +264,7 @@ def score(docs: DataFrame, training: Column, *, max_contexts: int = 16_384, max_
     the byte model's log10 probability of the whole text with its end. Null texts
     are empty: one token. The ``max_frequent`` most frequent words are looked up
     from a broadcast; all other words meet their counts in a join, none is left out.
+    So do bytes after contexts other than the ``max_contexts`` most frequent.
     """
     spark = docs.sparkSession
     counts = materialize(corpus_counts(docs.filter(training)), "lm-counts", ["kind"])
@@ -216,7 +274,8 @@ def score(docs: DataFrame, training: Column, *, max_contexts: int = 16_384, max_
     total, distinct = facts["n"] + texts, facts["v"] + (1 if texts else 0)
     log_all = float(np.log10(total + distinct + 1))
 
-    trie = build_trie(counts.filter(F.col("kind") == RUN_KIND).select("key", "n"), max_contexts=max_contexts)
+    runs = counts.filter(F.col("kind") == RUN_KIND).select("key", "n")
+    trie = build_trie(runs, max_contexts=max_contexts)
     table = above(words, max_frequent).toArrow()
     order = np.argsort(table.column("key").to_numpy())
     frequent = table.column("key").to_numpy()[order], table.column("n").to_numpy()[order]
@@ -226,11 +285,12 @@ def score(docs: DataFrame, training: Column, *, max_contexts: int = 16_384, max_
     schema = pa.schema(
         [("row_id", pa.int64()), ("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64())]
         + [("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
+        + [("runs", pa.list_(pa.int64())), ("run_times", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, keys, times = shared.value
-        state, log_probability = _tables(model_key, trie)
+        state, log_probability = _once(model_key, "tables", trie.tables)
         logs = np.log10(times + 1.0)
         hashed, row = WordHasher(), TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -244,14 +304,15 @@ def score(docs: DataFrame, training: Column, *, max_contexts: int = 16_384, max_
                 hit[inside] = keys[at[inside]] == found[inside]
                 known = int(n[hit].sum()) + (1 if texts else 0)
                 mine = float((n[hit] * logs[at[hit]]).sum()) + end_log
-                values = (row, doc_id.as_py(), learns.as_py(), int(n.sum()) + 1, known, mine, code_length(data, state, log_probability), found[~hit], n[~hit])
+                length, runs, run_times = code_length(data, state, log_probability)
+                values = (row, doc_id.as_py(), learns.as_py(), int(n.sum()) + 1, known, mine, length, found[~hit], n[~hit], runs, run_times)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     looked = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training")).mapInArrow(
-        run, "row_id long, doc_id long, training boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<int>"
+        run, "row_id long, doc_id long, training boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<int>, runs array<long>, run_times array<int>"
     )
     looked = materialize(looked, "lm-scored")
     rare = looked.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("_w")).select(
@@ -260,9 +321,14 @@ def score(docs: DataFrame, training: Column, *, max_contexts: int = 16_384, max_
     met = rare.join(words, "key").groupBy("row_id").agg(
         F.sum("_times").alias("_known"), F.sum(F.col("_times") * F.log10(F.col("n") + F.lit(1.0))).alias("_logs")
     )
+    asked = looked.select("row_id", F.explode(F.arrays_zip("runs", "run_times")).alias("_r")).select(
+        "row_id", F.col("_r.runs").alias("key"), F.col("_r.run_times").alias("_times")
+    )
+    logs = rare_logs(runs, asked, lambda: _once(model_key, "lower", lambda: Lower(shared.value[0].followers(range(3)))))
+    lengths = asked.join(logs, "key").groupBy("row_id").agg(F.sum(F.col("_times") * F.col("log")).alias("_length"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return looked.drop("rare", "times").join(met, "row_id", "left").select(
+    return looked.select("row_id", "doc_id", "training", "n_tokens", "known", "logs", "score").join(met, "row_id", "left").join(lengths, "row_id", "left").select(
         "doc_id", "training", "n_tokens", (F.col("known") + zero("_known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + zero("_logs") - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), "score",
+        (F.col("logs") + zero("_logs") - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), (F.col("score") + zero("_length")).alias("score"),
     )

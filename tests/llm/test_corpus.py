@@ -554,6 +554,20 @@ def test_language_model_equals_brute_force(spark):
     assert language_model.score(table(spark, rows), F.lit(False)).count() == len(rows)
 
 
+def test_language_model_leaves_no_context_out(spark):
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEF"
+    wide = [(i, "".join(draw.choice(letters) for _ in range(3000))) for i in range(30)] + [(30, ""), (31, None)]
+    some = [(i, t) for i, t in enumerate(sentences(3, 40, ["alpha", "beta", "Gamma", "delta", "éta"]))] + [(40, "zzz Ω"), (41, "")]
+    assert len({t[i : i + 3] for _, t in wide for i in range(len(t or ""))}) > 20_000
+    for rows, bound in ((wide, {}), (some, {"max_contexts": 5})):
+        got = language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 != 0, **bound).collect()
+        ppm = brute_ppm([t or "" for i, t in rows if i % 3])
+        text_of = dict(rows)
+        assert len(got) == len(rows)
+        assert all(math.isclose(r["score"], ppm(text_of[r["doc_id"]] or ""), rel_tol=1e-5, abs_tol=1e-4) for r in got)
+
+
 def test_probabilities_sum_to_one():
     keys, counts = np.unique(np.random.default_rng(0).integers(0, 2**32, 500, dtype=np.int64) & 0x07070707, return_counts=True)
     lower = [np.unique(keys % 256 ** (o + 1), return_counts=True) for o in range(3)]
