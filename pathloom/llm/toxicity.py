@@ -1,12 +1,10 @@
-"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
-
-Terms are ASCII-delimited lower-cased words and their first 4, 5 and 6 bytes.
-Those whose presence goes with the label, by a chi-square test on the labelled
-examples, are kept. Inverse document frequencies count all documents. Examples
-lie in an inverted index, in blocks with each term's largest weight, so that a
-block whose bound is below the k-th best cosine is skipped and the k nearest are
-still exact. Their distance-weighted votes are calibrated on the examples
-themselves, each scored without itself.
+"""Toxicity scores from the nearest labelled examples by exact cosine of TF-IDF vectors.
+
+Terms are ASCII-delimited lower-cased words and their first 4, 5 and 6 bytes. All
+terms of the drawn labelled examples count. A term's weight is its inverse document
+frequency, of all documents, times one plus the chi-square by which its presence goes
+with the label. The distance-weighted votes of the k nearest examples are calibrated
+on the examples themselves, each scored without itself.
 """
 
 from __future__ import annotations
@@ -15,7 +13,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,7 +22,8 @@ from .common import map_rows, materialize
 
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 PREFIXES = (4, 5, 6)
-BLOCK = 64
+#: Texts whose cosines are found at once, and words whose terms a counter remembers.
+BATCH, WORDS = 256, 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,69 +35,117 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
 
 
+class _Words(dict):
+    """Numbers of words, given as they are met, and the known terms of each."""
+
+    def __init__(self, ids: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ids, self.terms = ids, np.full((1024, 1 + len(PREFIXES)), -1, dtype=np.int32)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        if number == len(self.terms):
+            self.terms = np.concatenate([self.terms, np.full_like(self.terms, -1)])
+        known = [self.ids[t] for t in terms_of(word) if t in self.ids]
+        self.terms[number, : len(known)] = known
+        return number
+
+
 class TermCounter:
-    """Counts the known terms of texts in one scan with an automaton of all terms."""
+    """Counts the known terms of texts; remembers the terms of words."""
 
     def __init__(self, ids: dict[bytes, int]) -> None:
-        self.automaton = ahocorasick.Automaton()
-        for term, i in ids.items():
-            prefix = term.endswith(b"*")
-            key = b" " + (term[:-1] if prefix else term + b" ")
-            self.automaton.add_word(key.decode("latin-1"), (i, prefix))
-        self.automaton.make_automaton()
-        self.any = bool(ids)
+        self.words = _Words(ids)
+
+    def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the known terms in order, how often each occurs)."""
+        if len(self.words) >= WORDS:
+            self.words = _Words(self.words.ids)
+        numbers = np.fromiter(map(self.words.__getitem__, words_of(text)), dtype=np.int64)
+        found = self.words.terms[numbers].ravel()
+        found.sort()
+        found = found[np.searchsorted(found, 0) :]
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        return found[first].astype(np.int64), np.diff(first, append=len(found))
 
     def __call__(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        if self.any and text:
-            spaced = (b" " + text.lower().encode().translate(_LETTERS) + b" ").decode("latin-1")
-            for end, (i, prefix) in self.automaton.iter(spaced):
-                if not prefix or spaced[end + 1] != " ":  # a prefix is shorter than its word
-                    found[i] = found.get(i, 0) + 1
-        return found
+        terms, times = self.arrays(text)
+        return dict(zip(terms.tolist(), times.tolist(), strict=True))
+
 
+class ExampleIndex:
+    """Unit example vectors of positive weights, to find those of largest cosine.
 
-class BlockMaxIndex:
-    """Unit example vectors by term, in blocks of ``BLOCK`` examples with each term's maximum."""
+    All cosines are added up in single precision: terms that many examples have by
+    one product of matrices for many texts, others from their lists of examples. What
+    by the bound of rounding errors may be among the k best is then computed from the
+    whole vectors in double precision, so the k nearest are exact.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
-        self.size, self.blocks = len(rows), -(-len(rows) // BLOCK)
-        owner = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]) if rows else np.zeros(0, dtype=np.int64)
-        term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, dtype=np.int64)
-        weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        order = np.lexsort((owner, term))
-        self.owner, self.weight, term = owner[order], weight[order], term[order]
-        cell = term * self.blocks + self.owner // BLOCK
-        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int64)
-        self.peak = np.zeros((terms, max(1, self.blocks)))
-        np.maximum.at(self.peak.reshape(-1), cell, self.weight)
+        self.size = len(rows)
+        lengths = np.array([len(t) for t, _ in rows], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        self.term = np.concatenate([t for t, _ in rows]).astype(np.int32) if rows else np.zeros(0, dtype=np.int32)
+        self.weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), lengths)
+        common = np.flatnonzero(np.bincount(self.term, minlength=terms) > max(4, self.size // 24))
+        self.column = np.full(terms, -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        at = self.column[self.term]
+        self.dense = np.zeros((len(common), self.size), dtype=np.float32)
+        self.dense[at[at >= 0], owner[at >= 0]] = self.weight[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.owner, self.light = owner[rest].astype(np.intp), self.weight[rest]
+        self.start = np.searchsorted(self.term[rest], np.arange(terms + 1)).astype(np.int64)
+        self.query = np.zeros(terms)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties by number: (numbers, cosines)."""
-        if not self.blocks:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        bound = weights @ self.peak[terms]
-        best_n, best_c = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best_c) == k and bound[b] < best_c[-1] - 1e-12):
-                break
-            cosine = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, z = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                if a < z:
-                    cosine[self.owner[a:z] - b * BLOCK] += w * self.weight[a:z]
-            found = np.flatnonzero(cosine > 0)
-            found = found[found + b * BLOCK != without]
-            numbers, cosines = np.concatenate([best_n, found + b * BLOCK]), np.concatenate([best_c, cosine[found]])
-            order = np.lexsort((numbers, -cosines.round(12)))[:k]
-            best_n, best_c = numbers[order], cosines[order]
-        return best_n, best_c
+        return self.all_nearest([(terms, weights)], k, [without])[0]
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each vector."""
+        out = []
+        for a in range(0, len(vectors), BATCH):
+            some = vectors[a : a + BATCH]
+            columns = [self.column[t] for t, _ in some]
+            heavy = np.zeros((len(some), len(self.dense)), dtype=np.float32)
+            for row, c, (_, w) in zip(heavy, columns, some, strict=True):
+                row[c[c >= 0]] = w[c >= 0]
+            sums = heavy @ self.dense
+            for i, (c, (t, w)) in enumerate(zip(columns, some, strict=True)):
+                near = sums[i] + self._light(t[c < 0], w[c < 0])
+                if without and without[a + i] >= 0:
+                    near[without[a + i]] = 0
+                out.append(self._exact(t, w, near, k))
+        return out
+
+    def _light(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        a = self.start[terms]
+        n = self.start[terms + 1] - a
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], self.light[at] * np.repeat(weights, n), minlength=self.size)
+
+    def _exact(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        least = np.partition(near, -k)[-k] if k < len(near) else 0.0
+        numbers = np.flatnonzero((near > 0) & (near >= least * (1 - (len(terms) + 8) * 2.0**-22)))  # all summands are positive
+        self.query[terms] = weights
+        places = zip(self.first[numbers].tolist(), self.first[numbers + 1].tolist(), strict=True)
+        cosines = np.array([self.weight[a:z] @ self.query[self.term[a:z]] for a, z in places])
+        self.query[terms] = 0
+        order = np.lexsort((numbers, -cosines.round(12)))[:k]
+        return numbers[order], cosines[order]
+
+
+BlockMaxIndex = ExampleIndex
 
 
 @dataclass
 class ToxicityModel:
     terms: list[bytes]
-    idf: np.ndarray
+    weight: np.ndarray  # of a term
     ids: np.ndarray  # of the examples
     labels: np.ndarray
     votes: np.ndarray  # an example's weight, so that drawn classes count as in all labelled rows
@@ -111,7 +157,11 @@ class ToxicityModel:
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), dtype=np.int64)
-        weight = (1 + np.log(np.array([counts[t] for t in terms.tolist()], dtype=float))) * self.idf[terms] if len(terms) else np.zeros(0)
+        return self.unit(terms, np.array([counts[t] for t in terms.tolist()], dtype=np.int64))
+
+    def unit(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A vector of length 1 of terms in order and how often each occurs."""
+        weight = (1 + np.log(times)) * self.weight[terms]
         return terms, weight / np.sqrt((weight**2).sum()) if len(weight) else weight
 
     def raw(self, numbers: np.ndarray, cosines: np.ndarray) -> float:
@@ -141,14 +191,13 @@ def _platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, training: Column, *, max_examples: int = 3000, max_terms: int = 4000, k: int = 15, least_chi2: float = 25.0, least_share: float = 0.01, seed: int = 3
+    docs: DataFrame, labels: DataFrame, training: Column, *, max_examples: int = 3000, k: int = 15, seed: int = 3
 ) -> ToxicityModel:
     """Learn from at most about ``max_examples`` labelled rows of each label, drawn by a seeded hash of doc_id.
 
-    A term is kept if chi-square is at least ``least_chi2`` and it explains at least
-    ``least_share`` of the label's variance among the examples, so that words which
-    only a few copies of one text share are not. Null labels and rows outside ``training`` are skipped; of a doc_id labelled
-    twice the larger label counts. Document frequencies are of all ``docs``.
+    All their terms count. Chi-square, of terms that five examples have or more, only
+    adds to a term's weight. Null labels and rows outside ``training`` are skipped; of
+    a doc_id labelled twice the larger label counts. Document frequencies are of all ``docs``.
     """
     spark = docs.sparkSession
     known = labels.filter(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -174,13 +223,13 @@ def train(
     sizes = {int(r["y"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     all0, all1 = sizes.get(0, 0), sizes.get(1, 0)
     held = sample.select("text", "toxic").mapInArrow(spread, "term binary, n0 long, n1 long")
-    held = held.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 5")
+    held = held.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     total = float(all0 + all1)
     cross = a * (all0 - b) - b * (all1 - a)
     chi2 = F.try_divide(total * cross * cross, F.lit(float(all1)) * all0 * (a + b) * (total - a - b))
-    best = held.withColumn("chi2", F.coalesce(chi2, F.when(a + b == total, F.lit(0.0)), F.lit(0.0))).filter(F.col("chi2") >= max(least_chi2, least_share * total))
-    terms = sorted(bytes(r["term"]) for r in best.orderBy(F.desc("chi2"), "term").limit(max_terms).collect())
+    table = held.select("term", F.when(a + b >= 5, F.coalesce(chi2, F.lit(0.0))).otherwise(0.0).alias("chi2")).toArrow().sort_by("term")
+    terms, strength = table.column("term").to_pylist(), 1 + table.column("chi2").to_numpy()
 
     ids = {t: i for i, t in enumerate(terms)}
     shared = spark.sparkContext.broadcast(ids)
@@ -190,43 +239,45 @@ def train(
         for batch in batches:
             for text in batch.column(0):
                 n[-1] += 1
-                for t in count(text.as_py()):
-                    n[t] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["term", "n"])
+                n[count.arrays(text.as_py())[0]] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
 
     df = np.zeros(len(terms) + 1)
-    for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
+    seen = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def bags():
         count = TermCounter(shared.value)
 
         def work(c):
-            found = [count(t) for t in c["text"]]
-            return {"doc_id": c["doc_id"], "toxic": c["toxic"], "terms": [list(f) for f in found], "times": [list(f.values()) for f in found]}
+            found = [count.arrays(t) for t in c["text"]]
+            return {"doc_id": c["doc_id"], "toxic": c["toxic"], "terms": [t for t, _ in found], "times": [n for _, n in found]}
 
         return work
 
-    bagged = map_rows(sample, bags, "doc_id long, toxic int, terms array<long>, times array<long>")
-    rows = sorted((r["doc_id"], int(r["toxic"] > 0), dict(zip(r["terms"], r["times"], strict=True))) for r in bagged.collect()) if terms else []
-    return _fit(rows, terms, idf, counts, (all0, all1), k)
+    bagged = map_rows(sample, bags, "doc_id long, toxic int, terms array<long>, times array<long>").toArrow()
+    columns = (bagged.column(name) for name in ("doc_id", "toxic", "terms", "times"))
+    rows = [(i.as_py(), int(y.as_py() > 0), t.values.to_numpy(), n.values.to_numpy()) for i, y, t, n in zip(*columns, strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    return _fit(rows, terms, idf * strength, counts, (all0, all1), k)
 
 
-def _fit(rows: list, terms: list[bytes], idf: np.ndarray, counts: dict, sizes: tuple[int, int], k: int) -> ToxicityModel:
+def _fit(rows: list, terms: list[bytes], weight: np.ndarray, counts: dict, sizes: tuple[int, int], k: int) -> ToxicityModel:
     share = [sum(n for y, n in counts.items() if (y > 0) == bool(c)) / max(1, sizes[c]) for c in (0, 1)]
     positive = sum(n for y, n in counts.items() if y > 0)
-    empty = [sum(share[y] for _, y, bag in rows if not bag and y == c) for c in (0, 1)]
+    empty = [sum(share[y] for _, y, bag, _ in rows if not len(bag) and y == c) for c in (0, 1)]
     prior = (empty[1] + 0.01 * positive / max(1, sum(counts.values()))) / (sum(empty) + 0.01) if rows else positive / max(1, sum(counts.values()))
-    used = [r for r in rows if r[2]]
+    used = [r for r in rows if len(r[2])]
     model = ToxicityModel(
-        terms, idf, np.array([r[0] for r in used], dtype=np.int64), np.array([r[1] for r in used], dtype=float),
+        terms, weight, np.array([r[0] for r in used], dtype=np.int64), np.array([r[1] for r in used], dtype=float),
         np.array([share[r[1]] for r in used], dtype=float) if used else np.ones(1), [], prior, k,
     )
-    model.rows = [model.vector(r[2]) for r in used]
-    index = BlockMaxIndex(model.rows, len(terms))
-    raw = [model.raw(*index.nearest(t, w, k, without=i)) for i, (t, w) in enumerate(model.rows)]
-    blank = [r for r in rows if not r[2]]
+    model.rows = [model.unit(r[2], r[3]) for r in used]
+    found = ExampleIndex(model.rows, len(terms)).all_nearest(model.rows, k, list(range(len(used))))
+    raw = [model.raw(*f) for f in found]
+    blank = [r for r in rows if not len(r[2])]
     raw += [prior] * len(blank)
     y = np.array([r[1] for r in used + blank], dtype=float)
     if len(y):
@@ -248,26 +299,18 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) ->
 
     def make():
         model = shared.value
-        index, count = BlockMaxIndex(model.rows, len(model.terms)), TermCounter({t: i for i, t in enumerate(model.terms)})
+        # Once a task and not kept from task to task: later stages run in the same processes.
+        index, count = ExampleIndex(model.rows, len(model.terms)), TermCounter({t: i for i, t in enumerate(model.terms)})
         blank = model.calibrated(model.prior)
-        nearest: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # many texts have the same few terms
-
-        def neighbours(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            key = terms.tobytes() + weights.tobytes()
-            if key not in nearest:
-                if len(nearest) >= 20_000:
-                    nearest.clear()
-                nearest[key] = index.nearest(terms, weights, model.k)
-            return nearest[key]
 
         def work(c):
             out = {name: c[name] for name in ("doc_id", *keep)} | {"score": [], "neighbours": [], "cosines": []}
-            for text in c["text"]:
-                terms, weights = model.vector(count(text))
-                numbers, cosines = neighbours(terms, weights) if len(terms) else (np.zeros(0, dtype=np.int64), np.zeros(0))
-                out["score"].append(model.calibrated(model.raw(numbers, cosines)) if len(numbers) else blank)
-                out["neighbours"].append(model.ids[numbers].tolist() if len(numbers) else [])
-                out["cosines"].append(cosines.tolist())
+            for a in range(0, len(c["text"]), BATCH):
+                vectors = [model.unit(*count.arrays(text)) for text in c["text"][a : a + BATCH]]
+                for numbers, cosines in index.all_nearest(vectors, model.k):
+                    out["score"].append(model.calibrated(model.raw(numbers, cosines)) if len(numbers) else blank)
+                    out["neighbours"].append(model.ids[numbers].tolist())
+                    out["cosines"].append(cosines.tolist())
             return out
 
         return work

@@ -479,6 +479,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(empty(spark), none).count() == 0 and toxicity.score(table(spark), none, keep=("lang",)).count() == len(ODD)
 
 
+def test_toxicity_uses_all_terms(spark):
+    lexicon = [f"{a}{b}" for a in "bcdfgh" for b in ("an", "on", "er", "ish", "ade", "ully")]
+    texts = sentences(1, 400, lexicon, ["vilest", "vilely", "awfulx"])
+    odd = ["quorn zephyr blintz", "mumpsimus gallimaufry"]  # no term that goes with the label
+    rows = list(enumerate(texts + odd)) + [(900, odd[0]), (901, odd[1] + " " + odd[1]), (902, "zephyr"), (903, "unseenword"), (904, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(402)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    examples = [rows[i][1] for i in range(402)]
+    assert set(model.terms) == {t for text in examples for w in toxicity.words_of(text) for t in toxicity.terms_of(w)}
+    weight = dict(zip(model.terms, model.weight.tolist(), strict=True))
+
+    def bag(text):
+        times = Counter(t for w in toxicity.words_of(text) for t in toxicity.terms_of(w))
+        vector = {t: (1 + math.log(n)) * weight[t] for t, n in times.items() if t in weight}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        return {t: v / norm for t, v in vector.items()}
+
+    bags = [bag(text) for text in examples]
+    for r in toxicity.score(docs, model).collect():
+        mine = bag(dict(rows)[r["doc_id"]])
+        want = sorted(((-round(c, 12), i) for i, b in enumerate(bags) if (c := sum(v * b.get(t, 0.0) for t, v in mine.items())) > 0))[: model.k]
+        assert np.allclose(r["cosines"], [-c for c, _ in want], atol=1e-9) and len(r["neighbours"]) == len(want)
+        if r["doc_id"] in (900, 901, 902):
+            assert r["neighbours"][0] == 400 + (r["doc_id"] == 901)
+        if r["doc_id"] in (900, 901):
+            assert math.isclose(r["cosines"][0], 1)
+        assert r["doc_id"] < 903 or r["neighbours"] == []
+
+
 def test_language_on_held_out_rows(spark):
     kinds = {"aa": [f"{a}en{b}" for a in "kmnst" for b in ("ta", "ko", "ri")], "bb": [f"{a}un{b}" for a in "dfgzw" for b in ("esch", "ich", "auf")]}
     rows = [(i + 1000 * n, t, lang) for n, (lang, lex) in enumerate(kinds.items()) for i, t in enumerate(sentences(n, 200, lex))]
