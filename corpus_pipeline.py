@@ -7,7 +7,7 @@ the columns of ``docs``, whatever they are besides doc_id, text and source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm import line_dedup, mixing, near_dedup, packing, toxicity
@@ -49,21 +49,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, to the nearest whole number: 0, 1 or 2 times.
+    """Every document as often as the mix takes it; of one that it takes in part, a row with those words.
 
-    Rows alike in doc_id, source and number of words share what the mix takes of them.
+    n_chars follows the text. Rows alike in doc_id, source and number of words are
+    told apart by their text.
     """
-    taken = mixing.mix(docs.select("doc_id", "source", "text")).filter("size > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.round(F.sum("taken") / (F.count(F.lit(1)) * F.first("size"))).cast("int").alias("_copies")
-    )
     hidden, names = _hide(docs)
     source = next(h for h, c in names.items() if c == "source")
-    rows = hidden.withColumn("_words", mixing.words_in("text")).join(
-        taken.filter("_copies > 0"),
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")),
+    rows = hidden.withColumn("_words", mixing.words_in("text")).filter("_words > 0")
+    alike = Window.partitionBy("doc_id", source, "_words").orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn("_place", F.row_number().over(alike))
+    taken = mixing.mix(docs.select("doc_id", "source", "text"), parts=True).filter("size > 0")
+    alike = Window.partitionBy("doc_id", "source", "size").orderBy(*mixing.PARTS)
+    taken = taken.withColumn("_at", F.row_number().over(alike)).filter("taken > 0").select(
+        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_at", *(F.col(c).alias(f"_{c}") for c in mixing.PARTS)
+    )
+    rows = rows.join(
+        taken,
+        F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_place") == F.col("_at")),
     )
-    return _show(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), names, docs.columns)
+    part = lambda first, n: F.struct(first.cast("long").alias("first"), n.cast("long").alias("n"))
+    whole = F.array_repeat(part(F.lit(0), F.col("_words")), F.col("_passes").cast("int"))
+    rest = F.filter(F.array(part(F.col("_skipped"), F.col("_direct")), part(F.lit(0), F.col("_wrapped"))), lambda p: p["n"] > 0)
+    rows = rows.withColumn("_part", F.explode(F.concat(whole, rest)))
+    cut = mixing.words_from(F.col("text"), F.col("_part.first"), F.col("_part.n"))
+    rows = rows.withColumn("_cut", F.col("_part.n") < F.col("_words")).withColumn("text", F.when(F.col("_cut"), cut).otherwise(F.col("text")))
+    if size := next((h for h, c in names.items() if c == "n_chars"), None):
+        rows = rows.withColumn(size, F.when(F.col("_cut"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col(size)))
+    return _show(rows, names, docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

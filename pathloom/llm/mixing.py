@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import SPACE, WORD, materialize
 
 #: Up to so many sources their totals are broadcast (a row has a name and a few numbers).
 _BROADCAST_SOURCES = 10_000
 _SALTS = 32
+PARTS = ("passes", "skipped", "direct", "wrapped")
 
 
 def words_in(text: str | Column) -> Column:
@@ -25,6 +26,12 @@ def words_in(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def words_from(text: Column, first: Column, n: Column) -> Column:
+    """``n`` words of a text after the first ``first``, with the white space that follows each."""
+    pieces = F.split(F.regexp_replace(text, f"^[{SPACE}]+", ""), f"(?<=[{SPACE}])(?=[^{SPACE}])")
+    return F.array_join(F.slice(pieces, (first + 1).cast("int"), n.cast("int")), "")
+
+
 def targets(totals: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """Adds rank, weight and target to (source, source_size) rows.
 
@@ -82,9 +89,13 @@ def mix(
     block_tokens: int = 16,
     shard_rows: int = 1024,
     seed: int = 7,
+    parts: bool = False,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
 
+    With ``parts`` also what taken is made of: the row's words ``passes`` times,
+    ``direct`` words after its first ``skipped``, and its first ``wrapped`` words.
+
     size: words of the text, 0 for null; a null source is a source of its own,
     last in order. taken: words that the mix takes of the row, repeats counted,
     at most cap * size. Rows may repeat a doc_id; other columns are ignored. The
@@ -126,4 +137,7 @@ def mix(
     direct = F.greatest(F.lit(0), F.least(end, to) - F.greatest(start, F.col("_from")))
     wrapped = F.greatest(F.lit(0), F.least(end, to - length) - start)
     taken = F.col("_passes") * F.col("size") + direct + wrapped
-    return row.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    made_of = [F.col("_passes"), F.greatest(F.lit(0), F.col("_from") - start), direct, wrapped]
+    return row.select(
+        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(c.cast("long").alias(n) for c, n in zip(made_of, PARTS, strict=True) if parts)
+    )

@@ -641,6 +641,27 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, empty_docs, str(tmp_path)).count() == 0
 
 
+def test_pipeline_mixes_to_the_word(spark, tmp_path):
+    import corpus_pipeline
+
+    one = lambda n, tag: " ".join(f"{tag}{i}" + ("\n" if i % 7 == 0 else "") for i in range(n))
+    rows = [(0, " " + one(1000, "a"), "s0", 1), (1, one(700, "b"), "s1", 1), (2, one(90, "c"), "s1", 1), (3, None, "s1", 1), (4, "", None, 1)]
+    rows += [(10 + i, one(20 + i, f"d{i}x"), "s2", 1) for i in range(60)] + [(7, one(33, "e"), None, 1), (7, one(33, "f"), None, 1), (None, one(50, "g"), "s2", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    want = Counter()
+    for r in corpus_pipeline.mixing.mix(docs.select("doc_id", "source", "text")).collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    got, held = Counter(), {}
+    for i, t, s, _ in rows:
+        held.setdefault((i, s), []).append(t or "")
+    out = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    for r in out:
+        got[r["doc_id"], r["source"]] += len(r["text"].split())
+        assert any(f" {' '.join(r['text'].split())} " in f" {' '.join(t.split())} " for t in held[r["doc_id"], r["source"]])
+        assert r["text"] in held[r["doc_id"], r["source"]] or any(r["text"] in t for t in held[r["doc_id"], r["source"]]) and r["n_chars"] == len(r["text"])
+    assert got == +want and any(r["text"] not in held[r["doc_id"], r["source"]] for r in out)
+
+
 def test_split_by_checksum(spark):
     from pathloom.llm.common import crc_mod
 
