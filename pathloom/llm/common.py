@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,32 @@ def crc_mod(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Python workers are reused from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 16_000_000
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes; a task's memory goes back when it ends."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:  # a user's own value stays
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Apply a batch function to the columns of ``df`` as Python lists.
 
@@ -87,7 +115,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
                     columns = {name: piece.column(i).to_pylist() for i, name in enumerate(piece.schema.names)}
                     yield pa.RecordBatch.from_pydict(work(columns), schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def _small(batch: pa.RecordBatch, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -106,10 +134,10 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 # ---------------------------------------------------------------- word hashes
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE_TABLE = np.zeros(256, dtype=bool)
 _SPACE_TABLE[[9, 10, 11, 12, 13, 32]] = True
+#: Words that a hasher remembers, and bytes of the longest of them.
+_REMEMBERED, _REMEMBERED_BYTES = 200_000, 48
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -121,42 +149,33 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """64-bit hashes of the words of a text, all at once, equal in every process."""
-
-    def __init__(self) -> None:
-        self.bytes = mix64(np.arange(1, 257, dtype=np.uint64), 7)
-        self._grow(1 << 14)
+class WordHasher(dict):
+    """64-bit hashes of the words of a text, equal in every process.
 
-    def _grow(self, n: int) -> None:
-        with np.errstate(over="ignore"):
-            ones = np.full(n, _BASE, dtype=np.uint64)
-            ones[0] = 1
-            self.powers = np.multiply.accumulate(ones)
-            ones = np.full(n, _INVERSE, dtype=np.uint64)
-            ones[0] = 1
-            self.inverses = np.multiply.accumulate(ones)
+    A word's hash is the first 8 bytes of its BLAKE2b digest, so no two words are
+    known to share one. Short words are remembered, a bounded number of them.
+    """
 
-    def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bytes of a text as numbers, and where its words start and end."""
-        raw = np.frombuffer(data, dtype=np.uint8)
-        inside = np.zeros(len(raw) + 2, dtype=np.int8)
-        inside[1:-1] = ~_SPACE_TABLE[raw]
-        edge = np.diff(inside)
-        return raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= _REMEMBERED_BYTES:
+            if len(self) >= _REMEMBERED:
+                self.clear()
+            self[word] = value
+        return value
 
     def __call__(self, data: bytes) -> np.ndarray:
         """Hashes of the white-space separated words of UTF-8 ``data``, in order."""
-        raw, starts, ends = self.spans(data)
-        if not len(starts):
-            return np.empty(0, dtype=np.uint64)
-        if len(raw) > len(self.powers):
-            self._grow(2 * len(raw))
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum(self.bytes[raw] * self.powers[: len(raw)], out=total[1:])
-            value = (total[ends] - total[starts]) * self.inverses[starts]
-            return mix64(value + (ends - starts).astype(np.uint64))
+        words = data.split()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def word_sizes(data: bytes) -> np.ndarray:
+    """Bytes of the white-space separated words of UTF-8 ``data``, in order."""
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = ~_SPACE_TABLE[np.frombuffer(data, dtype=np.uint8)]
+    edge = np.diff(inside)
+    return np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
