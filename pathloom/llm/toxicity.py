@@ -1,10 +1,14 @@
 """Toxicity scores from the nearest labelled examples by exact cosine of TF-IDF vectors.
 
-Terms are ASCII-delimited lower-cased words and their first 4, 5 and 6 bytes. All
-terms of the drawn labelled examples count. A term's weight is its inverse document
+Terms are lower-cased words, split at ASCII characters other than letters. All terms
+of the drawn labelled examples count. A term's weight is its inverse document
 frequency, of all documents, times one plus the chi-square by which its presence goes
 with the label. The distance-weighted votes of the k nearest examples are calibrated
 on the examples themselves, each scored without itself.
+
+Neighbours come from a block-max inverted index: examples lie in blocks of similar
+ones, every term has the largest weight of each block that holds it, and a text visits
+only blocks whose bound reaches its k-th best cosine so far. The k nearest are exact.
 """
 
 from __future__ import annotations
@@ -12,94 +16,113 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import map_batches, map_rows, materialize, release
 
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
-PREFIXES = (4, 5, 6)
-#: Texts whose cosines are found at once, and words whose terms a counter remembers.
-BATCH, WORDS = 256, 200_000
+#: Texts whose cosines are found at once, and examples of a block.
+BATCH, BLOCK = 256, 64
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_LETTERS).split()
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """A word's terms: itself, and its prefixes marked by a closing star."""
-    return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
-
-
-class _Words(dict):
-    """Numbers of words, given as they are met, and the known terms of each."""
-
-    def __init__(self, ids: dict[bytes, int]) -> None:
-        super().__init__()
-        self.ids, self.terms = ids, np.full((1024, 1 + len(PREFIXES)), -1, dtype=np.int32)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        if number == len(self.terms):
-            self.terms = np.concatenate([self.terms, np.full_like(self.terms, -1)])
-        known = [self.ids[t] for t in terms_of(word) if t in self.ids]
-        self.terms[number, : len(known)] = known
-        return number
-
-
 class TermCounter:
-    """Counts the known terms of texts; remembers the terms of words."""
+    """Counts the known terms of texts."""
 
-    def __init__(self, ids: dict[bytes, int]) -> None:
-        self.words = _Words(ids)
+    def __init__(self, terms: list[bytes]) -> None:
+        self.ids = {t: i for i, t in enumerate(terms)}
 
     def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the known terms in order, how often each occurs)."""
-        if len(self.words) >= WORDS:
-            self.words = _Words(self.words.ids)
-        numbers = np.fromiter(map(self.words.__getitem__, words_of(text)), dtype=np.int64)
-        found = self.words.terms[numbers].ravel()
-        found.sort()
-        found = found[np.searchsorted(found, 0) :]
-        first = np.flatnonzero(np.diff(found, prepend=-1))
-        return found[first].astype(np.int64), np.diff(first, append=len(found))
+        counts = Counter(words_of(text))
+        ids = np.fromiter(map(self.ids.get, counts, repeat(-1)), dtype=np.int64, count=len(counts))
+        times = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+        order = np.argsort(ids)
+        order = order[np.searchsorted(ids[order], 0) :]
+        return ids[order], times[order]
 
     def __call__(self, text: str | None) -> dict[int, int]:
         terms, times = self.arrays(text)
         return dict(zip(terms.tolist(), times.tolist(), strict=True))
 
 
-class ExampleIndex:
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range of n, one range after the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class BlockMaxIndex:
     """Unit example vectors of positive weights, to find those of largest cosine.
 
-    All cosines are added up in single precision: terms that many examples have by
-    one product of matrices for many texts, others from their lists of examples. What
-    by the bound of rounding errors may be among the k best is then computed from the
+    Terms that many examples have are rows of a dense matrix, others have lists of
+    their examples; both keep each block's largest weight. A batch of texts first
+    visits each text's two blocks of largest bound, then all blocks whose bound
+    reaches the text's k-th best cosine. Cosines add up in single precision; what by the
+    bound of rounding errors may be among the k best is computed again from the
     whole vectors in double precision, so the k nearest are exact.
     """
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK) -> None:
         self.size = len(rows)
         lengths = np.array([len(t) for t, _ in rows], dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        self.term = np.concatenate([t for t, _ in rows]).astype(np.int32) if rows else np.zeros(0, dtype=np.int32)
-        self.weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        owner = np.repeat(np.arange(self.size, dtype=np.int32), lengths)
-        common = np.flatnonzero(np.bincount(self.term, minlength=terms) > max(4, self.size // 24))
+        term = np.concatenate([t for t, _ in rows]).astype(np.int32) if rows else np.zeros(0, dtype=np.int32)
+        weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
+        held = np.bincount(term, minlength=terms)
+        common = np.flatnonzero(held > max(4, self.size // 24))
         self.column = np.full(terms, -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
-        at = self.column[self.term]
+        self.order = self._similar(term, weight, lengths, len(common), block)  # example of each place
+        first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        at = _ranges(first[self.order], lengths[self.order]) if self.size else np.zeros(0, dtype=np.int64)
+        self.term, self.weight = term[at], weight[at]
+        self.first = np.concatenate([[0], np.cumsum(lengths[self.order])]).astype(np.int64) if self.size else np.zeros(1, dtype=np.int64)
+        owner = np.repeat(np.arange(self.size), lengths[self.order]) if self.size else np.zeros(0, dtype=np.int64)
+        self.edges = np.append(np.arange(0, self.size, block), self.size)
+        self.blocks, self.block = len(self.edges) - 1, block
+        column = self.column[self.term]
         self.dense = np.zeros((len(common), self.size), dtype=np.float32)
-        self.dense[at[at >= 0], owner[at >= 0]] = self.weight[at >= 0]
-        rest = np.flatnonzero(at < 0)
-        rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.owner, self.light = owner[rest].astype(np.intp), self.weight[rest]
-        self.start = np.searchsorted(self.term[rest], np.arange(terms + 1)).astype(np.int64)
+        self.dense[column[column >= 0], owner[column >= 0]] = self.weight[column >= 0]
+        self.dense_most = np.maximum.reduceat(self.dense, self.edges[:-1], axis=1) if self.size else np.zeros((len(common), 0), dtype=np.float32)
+        rest = np.flatnonzero(column < 0)
+        rest = rest[np.lexsort((owner[rest], self.term[rest]))]
+        self.owner, self.light, light_term = owner[rest], self.weight[rest], self.term[rest].astype(np.int64)
+        # One entry a term and block: where its postings start, how many they are, the largest weight.
+        pair = light_term * max(1, self.blocks) + self.owner // block
+        self.posting = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.postings = np.diff(self.posting, append=len(pair))
+        self.most = np.maximum.reduceat(self.light, self.posting) if len(pair) else np.zeros(0)
+        self.at_block = self.owner[self.posting] // block
+        self.entry = np.searchsorted(light_term[self.posting], np.arange(terms + 1))
         self.query = np.zeros(terms)
+        self.visited = self.possible = 0
+
+    def _similar(self, term: np.ndarray, weight: np.ndarray, lengths: np.ndarray, columns: int, block: int) -> np.ndarray:
+        """The examples in an order that puts similar ones together: halves by the main direction, again and again."""
+        owner, column = np.repeat(np.arange(self.size), lengths), self.column[term]
+        x = np.zeros((self.size, columns), dtype=np.float32)
+        x[owner[column >= 0], column[column >= 0]] = weight[column >= 0]
+
+        def split(some: np.ndarray) -> list[np.ndarray]:
+            if len(some) <= block or not columns:
+                return [some]
+            part = x[some] - x[some].mean(axis=0)
+            direction = part[np.abs(part).sum(axis=1).argmax()]
+            for _ in range(8):
+                direction = part.T @ (part @ direction)
+                direction /= max(1e-30, np.sqrt((direction**2).sum()))
+            half = -(-len(some) // (2 * block)) * block  # whole blocks on the left
+            sides = some[np.argsort(part @ direction, kind="stable")]
+            return split(sides[:half]) + split(sides[half:])
+
+        return np.concatenate(split(np.arange(self.size))) if self.size else np.zeros(0, dtype=np.int64)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties by number: (numbers, cosines)."""
@@ -107,41 +130,80 @@ class ExampleIndex:
 
     def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each vector."""
+        place = np.argsort(self.order) if without else None
         out = []
         for a in range(0, len(vectors), BATCH):
-            some = vectors[a : a + BATCH]
-            columns = [self.column[t] for t, _ in some]
-            heavy = np.zeros((len(some), len(self.dense)), dtype=np.float32)
-            for row, c, (_, w) in zip(heavy, columns, some, strict=True):
-                row[c[c >= 0]] = w[c >= 0]
-            sums = heavy @ self.dense
-            for i, (c, (t, w)) in enumerate(zip(columns, some, strict=True)):
-                near = sums[i] + self._light(t[c < 0], w[c < 0])
-                if without and without[a + i] >= 0:
-                    near[without[a + i]] = 0
-                out.append(self._exact(t, w, near, k))
+            skip = [int(place[w]) if w >= 0 else -1 for w in without[a : a + BATCH]] if without else None
+            out += self._batch(vectors[a : a + BATCH], k, skip)
         return out
 
-    def _light(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        a = self.start[terms]
-        n = self.start[terms + 1] - a
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], self.light[at] * np.repeat(weights, n), minlength=self.size)
+    def _batch(self, some: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        n = len(some)
+        if not self.size:
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * n
+        columns = [self.column[t] for t, _ in some]
+        heavy = np.zeros((n, len(self.dense)), dtype=np.float32)
+        for row, c, (_, w) in zip(heavy, columns, some, strict=True):
+            row[c[c >= 0]] = w[c >= 0]
+        bound = heavy @ self.dense_most
+        entries = []
+        for i, (c, (t, w)) in enumerate(zip(columns, some, strict=True)):
+            rare = t[c < 0]
+            a = self.entry[rare]
+            m = self.entry[rare + 1] - a
+            e = _ranges(a, m)
+            weight = np.repeat(w[c < 0], m)
+            entries.append((e, weight))
+            bound[i] += np.bincount(self.at_block[e], self.most[e] * weight, minlength=self.blocks)
+        slack = np.array([1 + (len(t) + 8) * 2.0**-22 for t, _ in some])  # all summands are positive
+        sums = np.zeros((n, self.size), dtype=np.float32)
+        mask = np.zeros((n, self.blocks), dtype=bool)
+        best = np.argsort(-bound, axis=1, kind="stable")[:, : max(2, -(-2 * k // self.block))]
+        np.put_along_axis(mask, best, True, axis=1)
+        self._visit(mask, heavy, entries, sums)
+        if skip:
+            for i, s in enumerate(skip):
+                sums[i, s] = 0 if s >= 0 else sums[i, s]
+        least = np.zeros(n)
+        for i in range(n):
+            seen = np.concatenate([sums[i, self.edges[b] : self.edges[b + 1]] for b in best[i]])
+            least[i] = np.partition(seen, -k)[-k] if k < len(seen) else 0.0
+        more = (bound * slack[:, None] * slack[:, None] >= least[:, None]) & (bound > 0) & ~mask
+        self._visit(more, heavy, entries, sums)
+        self.visited += int(mask.sum() + more.sum())
+        self.possible += mask.size
+        out = []
+        for i, (t, w) in enumerate(some):
+            if skip and skip[i] >= 0:
+                sums[i, skip[i]] = 0
+            out.append(self._exact(t, w, sums[i], k, slack[i], float(least[i])))
+        return out
 
-    def _exact(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        least = np.partition(near, -k)[-k] if k < len(near) else 0.0
-        numbers = np.flatnonzero((near > 0) & (near >= least * (1 - (len(terms) + 8) * 2.0**-22)))  # all summands are positive
+    def _visit(self, mask: np.ndarray, heavy: np.ndarray, entries: list, sums: np.ndarray) -> None:
+        """Add the cosines of the masked (text, block) places to ``sums``."""
+        for b in np.flatnonzero(mask.any(axis=0)).tolist():
+            rows, a, z = np.flatnonzero(mask[:, b]), self.edges[b], self.edges[b + 1]
+            sums[rows, a:z] = heavy[rows] @ self.dense[:, a:z]
+        for i, (e, weight) in enumerate(entries):
+            use = mask[i, self.at_block[e]]
+            e, weight = e[use], weight[use]
+            m = self.postings[e]
+            at = _ranges(self.posting[e], m)
+            sums[i] += np.bincount(self.owner[at], self.light[at] * np.repeat(weight, m), minlength=self.size)
+
+    def _exact(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray, k: int, slack: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        places = np.flatnonzero(near * slack * slack >= floor) if floor > 0 else np.flatnonzero(near > 0)
+        if len(places) > k:
+            places = places[near[places] * slack * slack >= np.partition(near[places], -k)[-k]]
         self.query[terms] = weights
-        places = zip(self.first[numbers].tolist(), self.first[numbers + 1].tolist(), strict=True)
-        cosines = np.array([self.weight[a:z] @ self.query[self.term[a:z]] for a, z in places])
+        spans = zip(self.first[places].tolist(), self.first[places + 1].tolist(), strict=True)
+        cosines = np.array([self.weight[a:z] @ self.query[self.term[a:z]] for a, z in spans])
         self.query[terms] = 0
+        numbers = self.order[places]
         order = np.lexsort((numbers, -cosines.round(12)))[:k]
         return numbers[order], cosines[order]
 
 
-BlockMaxIndex = ExampleIndex
-
-
 @dataclass
 class ToxicityModel:
     terms: list[bytes]
@@ -149,7 +211,7 @@ class ToxicityModel:
     ids: np.ndarray  # of the examples
     labels: np.ndarray
     votes: np.ndarray  # an example's weight, so that drawn classes count as in all labelled rows
-    rows: list[tuple[np.ndarray, np.ndarray]]
+    index: BlockMaxIndex | None
     prior: float  # share of label 1 among labelled rows without any term
     k: int
     slope: float = 1.0
@@ -193,36 +255,47 @@ def _platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 def train(
     docs: DataFrame, labels: DataFrame, training: Column, *, max_examples: int = 3000, k: int = 15, seed: int = 3
 ) -> ToxicityModel:
-    """Learn from at most about ``max_examples`` labelled rows of each label, drawn by a seeded hash of doc_id.
+    """Learn from at most about ``max_examples`` labelled rows of each label, drawn by seeded hashes.
 
     All their terms count. Chi-square, of terms that five examples have or more, only
     adds to a term's weight. Null labels and rows outside ``training`` are skipped; of
-    a doc_id labelled twice the larger label counts. Document frequencies are of all ``docs``.
+    a doc_id labelled twice the larger label counts, and of equal rows of ``docs`` one
+    is an example. ``docs`` needs doc_id and text, ``labels`` doc_id and toxic; other
+    columns are ignored. Without labelled rows every score is the same. Document
+    frequencies are of all ``docs``.
     """
     spark = docs.sparkSession
-    known = labels.filter(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    limit = F.lit(0)
-    for label, n in counts.items():
-        limit = F.when(F.col("toxic") == label, F.lit(int(1_000_000 * min(1.0, max_examples / n)))).otherwise(limit)
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < limit)
-    drawn = materialize(drawn, "toxic-drawn")
-    few = drawn.count() <= 4 * max_examples  # by the draw about 2 * max_examples rows of two numbers
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(drawn) if few else drawn, "doc_id"), "toxic-examples")
+    known = labels.filter(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    counts = _of_labels(known)
+
+    def drawn(rows: DataFrame, sizes: dict[int, int], *key: str) -> DataFrame:
+        limit = F.lit(0)
+        for label, n in sizes.items():
+            limit = F.when(F.col("toxic") == label, F.lit(int(1_000_000 * min(1.0, max_examples / n)))).otherwise(limit)
+        return rows.filter(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) < limit)
+
+    ids = materialize(drawn(known, counts, "doc_id"), "toxic-drawn")
+    few = ids.count() <= 4 * max_examples  # by the draw about 2 * max_examples rows of two numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").dropDuplicates(["doc_id", "text"])
+    found = materialize(rows, "toxic-found")
+    sizes = _of_labels(found)
+    sample = found
+    if max(sizes.values(), default=0) > 1.1 * max_examples:  # several texts of one doc_id: rows are drawn once more
+        sample = materialize(drawn(found, sizes, "doc_id", "text"), "toxic-examples")
+        sizes = _of_labels(sample)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = {0: Counter(), 1: Counter()}
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
-                of[int(label.as_py() > 0)].update({t for w in set(words_of(text.as_py())) for t in terms_of(w)})
+                of[label.as_py()].update(set(words_of(text.as_py())))
             every = list(of[0].keys() | of[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(every, pa.binary()), *(pa.array([of[y][t] for t in every], pa.int64()) for y in (0, 1))], names=["term", "n0", "n1"]
             )
 
-    sizes = {int(r["y"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     all0, all1 = sizes.get(0, 0), sizes.get(1, 0)
-    held = sample.select("text", "toxic").mapInArrow(spread, "term binary, n0 long, n1 long")
+    held = map_batches(sample.select("text", "toxic"), spread, "term binary, n0 long, n1 long")
     held = held.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     total = float(all0 + all1)
@@ -230,21 +303,22 @@ def train(
     chi2 = F.try_divide(total * cross * cross, F.lit(float(all1)) * all0 * (a + b) * (total - a - b))
     table = held.select("term", F.when(a + b >= 5, F.coalesce(chi2, F.lit(0.0))).otherwise(0.0).alias("chi2")).toArrow().sort_by("term")
     terms, strength = table.column("term").to_pylist(), 1 + table.column("chi2").to_numpy()
-
-    ids = {t: i for i, t in enumerate(terms)}
-    shared = spark.sparkContext.broadcast(ids)
+    shared = spark.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, n = TermCounter(shared.value), np.zeros(len(shared.value) + 1, dtype=np.int64)
+        ids = TermCounter(shared.value).ids
+        n = np.zeros(len(ids) + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                n[-1] += 1
-                n[count.arrays(text.as_py())[0]] += 1
+            n[-1] += batch.num_rows
+            seen = Counter(chain.from_iterable(set(words_of(text.as_py())) for text in batch.column(0)))
+            at = np.fromiter(map(ids.get, seen, repeat(-1)), dtype=np.int64, count=len(seen))
+            times = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
+            n[at[at >= 0]] += times[at >= 0]
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
 
     df = np.zeros(len(terms) + 1)
-    seen = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = map_batches(docs.select("text"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
@@ -259,23 +333,31 @@ def train(
 
     bagged = map_rows(sample, bags, "doc_id long, toxic int, terms array<long>, times array<long>").toArrow()
     columns = (bagged.column(name) for name in ("doc_id", "toxic", "terms", "times"))
-    rows = [(i.as_py(), int(y.as_py() > 0), t.values.to_numpy(), n.values.to_numpy()) for i, y, t, n in zip(*columns, strict=True)]
+    rows = [(i.as_py(), y.as_py(), t.values.to_numpy(), n.values.to_numpy()) for i, y, t, n in zip(*columns, strict=True)]
     rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    shared.unpersist()
+    release(ids, found, sample)
     return _fit(rows, terms, idf * strength, counts, (all0, all1), k)
 
 
+def _of_labels(rows: DataFrame) -> dict[int, int]:
+    """Number of rows of each label."""
+    return {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def _fit(rows: list, terms: list[bytes], weight: np.ndarray, counts: dict, sizes: tuple[int, int], k: int) -> ToxicityModel:
-    share = [sum(n for y, n in counts.items() if (y > 0) == bool(c)) / max(1, sizes[c]) for c in (0, 1)]
-    positive = sum(n for y, n in counts.items() if y > 0)
+    share = [counts.get(c, 0) / max(1, sizes[c]) for c in (0, 1)]
+    positive = counts.get(1, 0)
     empty = [sum(share[y] for _, y, bag, _ in rows if not len(bag) and y == c) for c in (0, 1)]
     prior = (empty[1] + 0.01 * positive / max(1, sum(counts.values()))) / (sum(empty) + 0.01) if rows else positive / max(1, sum(counts.values()))
     used = [r for r in rows if len(r[2])]
     model = ToxicityModel(
         terms, weight, np.array([r[0] for r in used], dtype=np.int64), np.array([r[1] for r in used], dtype=float),
-        np.array([share[r[1]] for r in used], dtype=float) if used else np.ones(1), [], prior, k,
+        np.array([share[r[1]] for r in used], dtype=float) if used else np.ones(1), None, prior, k,
     )
-    model.rows = [model.unit(r[2], r[3]) for r in used]
-    found = ExampleIndex(model.rows, len(terms)).all_nearest(model.rows, k, list(range(len(used))))
+    vectors = [model.unit(r[2], r[3]) for r in used]
+    model.index = BlockMaxIndex(vectors, len(terms))
+    found = model.index.all_nearest(vectors, k, list(range(len(used))))
     raw = [model.raw(*f) for f in found]
     blank = [r for r in rows if not len(r[2])]
     raw += [prior] * len(blank)
@@ -292,22 +374,24 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) ->
     neighbours and cosines are the evidence: the nearest examples' doc_ids, nearest
     first. Texts that are null, empty or without known terms have no neighbours and
     get the score of labelled rows that have none either. Repeated rows are scored
-    one by one.
+    one by one. An empty table gives no rows. Columns besides doc_id, text and those
+    of ``keep`` are ignored; ``keep`` may not name an output.
     """
+    if clash := {"score", "predicted", "neighbours", "cosines"} & set(keep):
+        raise ValueError(f"columns to keep have names of outputs: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
 
     def make():
         model = shared.value
-        # Once a task and not kept from task to task: later stages run in the same processes.
-        index, count = ExampleIndex(model.rows, len(model.terms)), TermCounter({t: i for i, t in enumerate(model.terms)})
+        count = TermCounter(model.terms)
         blank = model.calibrated(model.prior)
 
         def work(c):
             out = {name: c[name] for name in ("doc_id", *keep)} | {"score": [], "neighbours": [], "cosines": []}
             for a in range(0, len(c["text"]), BATCH):
                 vectors = [model.unit(*count.arrays(text)) for text in c["text"][a : a + BATCH]]
-                for numbers, cosines in index.all_nearest(vectors, model.k):
+                for numbers, cosines in model.index.all_nearest(vectors, model.k):
                     out["score"].append(model.calibrated(model.raw(numbers, cosines)) if len(numbers) else blank)
                     out["neighbours"].append(model.ids[numbers].tolist())
                     out["cosines"].append(cosines.tolist())
@@ -316,6 +400,6 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) ->
         return work
 
     columns = list(dict.fromkeys(["doc_id", *keep, "text"]))
-    schema = ", ".join([f"`{c}` {types[c]}" for c in ("doc_id", *keep)] + ["score double, neighbours array<long>, cosines array<double>"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in dict.fromkeys(["doc_id", *keep])] + ["score double, neighbours array<long>, cosines array<double>"])
     scored = map_rows(docs.select(*columns), make, schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
