@@ -136,56 +136,92 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 _SPACE_TABLE = np.zeros(256, dtype=bool)
 _SPACE_TABLE[[9, 10, 11, 12, 13, 32]] = True
-#: Words that a hasher remembers, and bytes of the longest of them.
-_REMEMBERED, _REMEMBERED_BYTES = 200_000, 48
+#: Bytes of the longest word whose hash comes from a table.
+_TABLED = 64
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A bijective finaliser of 64-bit values (splitmix64)."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-class WordHasher(dict):
-    """64-bit hashes of the words of a text, equal in every process.
-
-    A word's hash is the first 8 bytes of its BLAKE2b digest, so no two words are
-    known to share one. Short words are remembered, a bounded number of them.
+    """A bijective finaliser of arrays of 64-bit values (splitmix64)."""
+    x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+class WordHasher:
+    """64-bit hashes of the words of a text, all at once, equal in every process.
+
+    Tabulation hashing: every byte at every place of a word has a number of its own, as if
+    drawn at random, and their sum is mixed with the word's length. So two words share a
+    hash by chance alone, whatever they are made of. The hash of a word of more than 64
+    bytes is taken from its BLAKE2b digest.
     """
 
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= _REMEMBERED_BYTES:
-            if len(self) >= _REMEMBERED:
-                self.clear()
-            self[word] = value
-        return value
+    def __init__(self) -> None:
+        self.table = mix64(np.arange(1, 256 * _TABLED + 1, dtype=np.uint64), 7)
 
     def __call__(self, data: bytes) -> np.ndarray:
         """Hashes of the white-space separated words of UTF-8 ``data``, in order."""
-        words = data.split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        return self._hashes(data, *word_spans(data))
+
+    def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the words of all texts, where each text's begin and the last's end)."""
+        data = b" ".join(texts)
+        raw, starts, sizes = word_spans(data)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return self._hashes(data, raw, starts, sizes), np.searchsorted(starts, begin)
+
+    def _hashes(self, data: bytes, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.empty(0, dtype=np.uint64)
+        inside = np.flatnonzero(~_SPACE_TABLE[raw])
+        place = inside - np.repeat(starts, sizes)
+        longest = sizes.max()
+        if longest > _TABLED:
+            np.minimum(place, _TABLED - 1, out=place)
+        total = np.add.reduceat(self.table[(place << 8) | raw[inside]], np.cumsum(sizes) - sizes)
+        out = mix64(total + sizes.astype(np.uint64))
+        if longest > _TABLED:
+            for i in np.flatnonzero(sizes > _TABLED).tolist():
+                out[i] = int.from_bytes(blake2b(data[starts[i] : starts[i] + sizes[i]], digest_size=8).digest(), "little")
+        return out
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a text as numbers, where its white-space separated words start, and their bytes."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    inside = np.zeros(len(raw) + 2, dtype=np.int8)
+    inside[1:-1] = ~_SPACE_TABLE[raw]
+    edge = np.diff(inside)
+    starts = np.flatnonzero(edge == 1)
+    return raw, starts, np.flatnonzero(edge == -1) - starts
 
 
-def word_sizes(data: bytes) -> np.ndarray:
-    """Bytes of the white-space separated words of UTF-8 ``data``, in order."""
-    inside = np.zeros(len(data) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE_TABLE[np.frombuffer(data, dtype=np.uint8)]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+def _chained(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    n = len(words) - size + 1
+    value = np.full(n, np.uint64(size), dtype=np.uint64)
+    for j in range(size):
+        value = mix64(value, 11) + words[j : n + j]
+    return mix64(value, 13)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; with fewer words, of the whole sequence."""
-    n = len(words)
-    if not n:
-        return words
-    size = min(n, k)
-    with np.errstate(over="ignore"):
-        value = np.full(n - size + 1, np.uint64(size), dtype=np.uint64)
-        for j in range(size):
-            value = mix64(value, 11) + words[j : n - size + 1 + j]
-        return np.unique(mix64(value, 13))
+    return distinct(_chained(words, min(len(words), k))) if len(words) else words
+
+
+def shingle_sets(words: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
+    """``shingles`` of many texts, whose words lie between neighbouring bounds."""
+    every = _chained(words, k) if len(words) >= k else words
+    spans = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+    return [distinct(every[a : z - k + 1]) if z - a >= k else shingles(words[a:z], k) for a, z in spans]

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, materialize, mix64, word_sizes
+from .common import WordHasher, map_rows, materialize, mix64, word_spans
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -52,7 +52,7 @@ class Statistics:
         kinds = np.bincount(raw, minlength=256)
         upper, lower, digits = kinds[65:91].sum(), kinds[97:123].sum(), kinds[48:58].sum()
         marks = kinds[[33, 44, 46, 58, 59, 63]].sum()
-        sizes = word_sizes(data)
+        sizes = word_spans(data)[2]
         _, times = np.unique(words, return_counts=True)
         ended = kinds[[33, 46, 63]].sum()
         features = [
