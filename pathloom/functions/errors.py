@@ -112,6 +112,24 @@ def suggestion(category: Column | str) -> Column:
     return _lookup(column(category), SUGGESTIONS)
 
 
+def enhanced_error(
+    message: Column | str, category: Column | str, file: Column | None = None, *, recoverable: Column | None = None, severity: Column | None = None,
+    suggestion_: Column | None = None, at: Column | None = None,
+) -> Column:
+    """An error with what a user needs: struct(category, type, message, user_message, suggestion, recoverable, severity, timestamp).
+
+    What is given wins; the rest follows from category and message. ``at``: when it happened, null if not told, so that results repeat.
+    """
+    message, category = column(message), column(category)
+    return F.struct(
+        category.alias("category"), error_type(category).alias("type"), message.alias("message"), user_message(message, category, file).alias("user_message"),
+        F.coalesce(F.lit(None).cast("string") if suggestion_ is None else suggestion_, suggestion(category)).alias("suggestion"),
+        F.coalesce(F.lit(None).cast("boolean") if recoverable is None else recoverable, is_recoverable(message, category)).alias("recoverable"),
+        F.coalesce(F.lit(None).cast("string") if severity is None else severity, F.lit("medium")).alias("severity"),
+        (F.lit(None).cast("timestamp") if at is None else at).alias("timestamp"),
+    )
+
+
 def parse_error(message: Column, path: Column | None = None, line: Column | None = None, at: Column | None = None) -> Column:
     """A recoverable parsing error with its place, if known."""
     none = F.lit(None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -117,10 +118,18 @@ def array(items: Column | str) -> Column:
 
 def entries(c: Column | str) -> Column:
     """A map of strings, its first five entries."""
-    c = column(c)
-    pairs = F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null"))))
-    size = F.size(pairs)
-    shown = F.array_join(F.slice(pairs, 1, 5), ", ")
+    return _braced(column(c), lambda v: F.coalesce(v, F.lit("null")))
+
+
+def nested_entries(c: Column | str) -> Column:
+    """A map of maps of strings, the first five entries of each; the inner ones in braces of their own."""
+    return _braced(column(c), lambda v: F.coalesce(entries(v), F.lit("null")))
+
+
+def _braced(c: Column, show: Callable[[Column], Column]) -> Column:
+    size = F.cardinality(c)
+    pairs = F.transform(F.slice(F.map_entries(c), 1, 5), lambda e: F.concat(e["key"], F.lit(": "), show(e["value"])))
+    shown = F.array_join(pairs, ", ")
     more = F.concat(F.lit("{"), shown, F.lit(", ... and "), (size - 5).cast("string"), F.lit(" more}"))
     return F.when(size == 0, "{}").when(size > 5, more).otherwise(F.concat(F.lit("{"), shown, F.lit("}")))
 
@@ -184,9 +193,14 @@ def invalid_number(c: Column | str, least: float | None = None, most: float | No
 
 
 def invalid_url(c: Column | str) -> Column:
-    """The message about a typed URL, or null: a scheme, and a host where the scheme needs one."""
+    """The message about a typed URL, or null: a scheme, and where the scheme needs them a host and a port that can be."""
     from .text import trim
 
     c = column(c)
-    good = trim(c).rlike("\\A(?i:(?:https?|wss?|ftp):[/\\\\]*[^/\\\\?#\\s:@][^\\s]*|file:.*|(?!https?:|wss?:|ftp:|file:)[a-z][a-z0-9+.-]*:.*)\\z")
-    return F.when(c.isNull() | (F.length(trim(c)) == 0), "URL cannot be empty").when(~good, "Please enter a valid URL")
+    web, t = "\\A(?i:https?|wss?|ftp):[/\\\\]*", trim(c)
+    authority = F.regexp_extract(t, f"{web}([^/\\\\?#]*)", 1)
+    host = authority.rlike("\\A(?:.*@)?(?:\\[[0-9a-fA-F:.]+\\]|[^\\s#%/:<>?@\\[\\\\\\]^|]+)(?::[0-9]*)?\\z")
+    port = F.coalesce(F.regexp_extract(authority, ":([0-9]+)\\z", 1).try_cast("double"), F.lit(0.0))
+    other = t.rlike("\\A(?i:file:|(?!https?:|wss?:|ftp:)[a-z][a-z0-9+.-]*:)")
+    good = F.when(t.rlike(web), host & (port <= 65_535)).otherwise(other)
+    return F.when(c.isNull() | (F.length(t) == 0), "URL cannot be empty").when(~good, "Please enter a valid URL")

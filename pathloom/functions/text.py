@@ -7,6 +7,8 @@ closing newline is part of the value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,23 +46,60 @@ def starts(c: Column, *prefixes: str) -> Column:
     return test
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, also inside other higher-order functions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Numbers that are summed up one by one; longer arrays are cut into pieces of this many.
+_PIECE = 256
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it.
+
+    An array grows by copying, so sums are carried within pieces and from piece to
+    piece: n numbers cost n * _PIECE / 2 + (n / _PIECE)^2 / 2 copies.
+    """
+
+    def carried(array: Column, start: Column) -> Column:
+        state = F.struct(start.alias("sum"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out"))
+        return F.aggregate(array, state, step)["out"]
+
+    def in_pieces(array: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.size(array) - 1, F.lit(_PIECE)), lambda i: F.slice(array, i + 1, F.lit(_PIECE)))
+
+        def joined(p: Column) -> Column:
+            starts_at = carried(F.transform(p, lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)), F.lit(0))
+            return F.flatten(F.transform(F.arrays_zip(p.alias("piece"), starts_at.alias("start")), lambda z: carried(z["piece"], z["start"])))
+
+        return let(pieces, joined)
+
+    return let(numbers, lambda array: F.when(F.size(array) > _PIECE, in_pieces(array)).otherwise(carried(array, F.lit(0))))
+
+
 def matches(line: Column, pattern: str, groups: list[int]) -> Column:
     """All matches of ``pattern``: array of (text, g0.., column), column 1-based in code units.
 
-    Spark gives the matched texts but no offsets. A pattern without look-around
-    matches at the first place after the previous match where its text stands, so
-    each text is located from there, left to right; groups come from the text alone.
+    Spark gives the matched texts but no offsets. The line split at the same pattern
+    gives what lies between them, so a match begins after all gaps and texts before
+    it. Groups come from the text alone, which is the same for a pattern without
+    look-around.
     """
-    fields = ", ".join(f"g{i}: string" for i in range(len(groups)))
-    empty = F.array().cast(f"array<struct<text: string, {fields}, column: int>>")
     plain = F.octet_length(line) == F.length(line)
 
-    def step(state: Column, m: Column) -> Column:
-        at = F.position(m, line, state["next"])
-        units = F.when(plain, at).otherwise(utf16_length(F.substring(line, F.lit(1), at - 1)) + 1)
-        parts = (F.regexp_extract(m, pattern, g).alias(f"g{i}") for i, g in enumerate(groups))
-        found = F.struct(m.alias("text"), *parts, units.alias("column"))
-        return F.struct((at + F.length(m)).alias("next"), F.concat(state["out"], F.array(found)).alias("out"))
+    def located(parts: Column) -> Column:
+        units = lambda x: F.when(parts["plain"], F.length(x)).otherwise(utf16_length(x))
+        gaps = F.transform(F.slice(parts["gaps"], F.lit(1), F.size(parts["texts"])), units)
+
+        def placed(gap: Column) -> Column:
+            before = sums_before(F.zip_with(gap, parts["texts"], lambda g, t: g + units(t)))
+            at = F.zip_with(gap, before, lambda g, b: g + b + 1)
+            groups_of = lambda t: (F.regexp_extract(t, pattern, g).alias(f"g{i}") for i, g in enumerate(groups))
+            return F.zip_with(parts["texts"], at, lambda t, c: F.struct(t.alias("text"), *groups_of(t), c.alias("column")))
+
+        return let(gaps, placed)
 
     texts = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    return F.aggregate(texts, F.struct(F.lit(1).alias("next"), empty.alias("out")), step)["out"]
+    return let(F.struct(texts.alias("texts"), F.split(line, pattern, -1).alias("gaps"), plain.alias("plain")), located)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -12,29 +14,31 @@ def _count(values: DataFrame, name: str, by: tuple[str, ...]) -> DataFrame:
     return values.groupBy(*by, name).agg(F.count(F.lit(1)).alias("count"))
 
 
-def patterns(values: DataFrame, by: tuple[str, ...] = (), value: str = "value", order: str = "ordinal", examples: int = 3) -> DataFrame:
-    """(*by, pattern, count, percentage, examples, first): the shapes of normalised paths.
+def patterns(
+    values: DataFrame, by: tuple[str, ...] = (), value: str = "value", order: tuple[str, ...] = ("doc_id", "ordinal"), examples: int = 3
+) -> DataFrame:
+    """(*by, pattern, count, percentage, examples): the shapes of normalised paths.
 
-    examples are the first raw values in order. Rows are first reduced to the
-    smallest orders of each (pattern, bucket of 1000 orders), so that a pattern that
-    most paths have is not gathered whole.
+    examples are the first raw values by ``order``. Counts combine before they shuffle,
+    and so do the first values: each task sends at most ``examples`` rows a pattern, so
+    a pattern that most paths have is nowhere gathered.
     """
-    rows = values.select(*by, F.col(value).alias("_value"), F.col(order).alias("_order"), P.pattern(P.normalize(value)).alias("pattern"))
-    pick = lambda rows, c: F.slice(F.array_sort(rows), 1, c)
-    part = rows.withColumn("_bucket", F.floor(F.col("_order") / 1000)).groupBy(*by, "pattern", "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), pick(F.collect_list(F.struct("_order", "_value")), examples).alias("_some")
+    rows = values.select(*by, F.col(value).alias("_value"), F.struct(*order).alias("_order"), P.pattern(P.normalize(value)).alias("pattern"))
+    key = [*by, "pattern"]
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("count"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("_order", "_value"))
+    some = rows.withColumn("_place", place).filter(F.col("_place") <= examples).groupBy(*(F.col(k).alias(f"_{i}") for i, k in enumerate(key))).agg(
+        F.array_sort(F.collect_list(F.struct("_place", "_value"))).alias("_first")
     )
-    few = part.groupBy(*by, "pattern").agg(
-        F.sum("_n").alias("count"), pick(F.flatten(F.collect_list("_some")), examples).alias("_first")
-    ).withColumn("first", F.expr("_first[0]._order"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(key)))
+    found = counts.join(some, same, "left")
     if by:
-        total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-        few = few.join(total, list(by))
+        total = rows.groupBy(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(by))).agg(F.count(F.lit(1)).alias("_total"))
+        found = found.join(total, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(by))), "left")
     else:
-        few = few.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_total"))))  # one row
-    return few.select(
-        *by, "pattern", "count", (F.col("count") / F.col("_total") * 100).alias("percentage"), F.expr("transform(_first, x -> x._value)").alias("examples"), "first"
-    )
+        found = found.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_total"))))  # one row
+    shown = F.transform("_first", lambda x: x["_value"])
+    return found.select(*key, "count", (F.col("count") / F.col("_total") * 100).alias("percentage"), shown.alias("examples"))
 
 
 def depths(values: DataFrame, by: tuple[str, ...] = (), value: str = "value") -> DataFrame:

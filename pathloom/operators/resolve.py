@@ -13,9 +13,18 @@ from ..functions.text import trim
 _FEW_FOLDERS = 1000
 
 
-def is_virtual(folders: DataFrame) -> DataFrame:
-    """One row: whether any folder is not on a file system."""
-    return folders.agg(F.coalesce(F.bool_or(F.col("scheme") != "file"), F.lit(False)).alias("virtual"))
+#: Rows of an inventory up to which it is sent to all tasks.
+_FEW_ENTRIES = 200_000
+
+
+def small_to_all(table: DataFrame) -> DataFrame:
+    """A table of strings, marked for broadcast if a count shows that it is small; else joins split hot keys at run time."""
+    return F.broadcast(table) if table.limit(_FEW_ENTRIES + 1).count() <= _FEW_ENTRIES else table
+
+
+def is_virtual(folders: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, virtual), without ``by`` one row: whether any folder is not on a file system."""
+    return folders.groupBy(*by).agg(F.coalesce(F.bool_or(F.col("scheme") != "file"), F.lit(False)).alias("virtual"))
 
 
 def _prefixes(path: Column) -> Column:
@@ -67,7 +76,7 @@ def resolve_paths(
     rows = paths.withColumn("_at", out)
     if symlinks and entries is not None and not virtual:
         real = entries.filter("real_path is not null").groupBy(F.col("path").alias("_path")).agg(F.min("real_path").alias("_real"))
-        rows = rows.join(real, F.col("_at") == F.col("_path"), "left").withColumn("_at", F.coalesce("_real", "_at"))
+        rows = rows.join(small_to_all(real), F.col("_at") == F.col("_path"), "left").withColumn("_at", F.coalesce("_real", "_at"))
     address = v.rlike("\\A[A-Za-z][A-Za-z0-9+.-]+://") & F.lit(not compat_urls)
     done = F.when(v.isNull() | (F.length(trim(v)) == 0) | address, v).otherwise(F.col("_at"))
     return rows.select(*paths.columns, done.alias("resolved"))
@@ -79,6 +88,37 @@ def resolve_enhanced(paths: DataFrame, base: str, value: str = "value", **option
     return resolve_paths(first, value="_from", **options).drop("_from")
 
 
+def resolve_monorepo(paths: DataFrame, folders: DataFrame, value: str = "value", given: str | None = None, **options) -> DataFrame:
+    """Adds resolved: from the ``given`` folder of each path, else from the workspace folder that contains it, else from none."""
+    found = containing_folder(paths, folders, value).withColumnRenamed("folder", "_found")
+    own = F.coalesce(F.col(given), F.col("_found")) if given else F.col("_found")
+    return resolve_paths(found.withColumn("_folder", own), value=value, folder="_folder", **options).drop("_found", "_folder")
+
+
+def canonical(
+    paths: DataFrame, *, folders: DataFrame | None = None, links: DataFrame | None = None, value: str = "value", at: str = "value", **options
+) -> DataFrame:
+    """Adds resolved and fallback to extracted paths.
+
+    ``folders``: workspace folders, found by the column ``at``. ``links`` (path,
+    real_path): the link inventory. A path whose link has no known target keeps its
+    value and is a fallback; no folders on a file system, no links are followed.
+    """
+    rows, kept = paths, paths.columns
+    virtual = False
+    if folders is not None:
+        virtual = bool(is_virtual(folders).first()["virtual"])
+        rows = containing_folder(rows, folders, at).withColumnRenamed("folder", "_folder")
+    rows = resolve_paths(rows, value=value, folder="_folder" if folders is not None else None, entries=links, virtual=virtual, **options)
+    fallback = F.lit(False)
+    if links is not None and not virtual:
+        whole = links.groupBy(F.col("path").alias("_link")).agg(F.max("real_path").alias("_target")).filter("_target is null").select("_link")
+        rows = rows.join(small_to_all(whole), F.col("resolved") == F.col("_link"), "left")
+        fallback = F.col("_link").isNotNull()
+    return rows.select(*kept, F.when(fallback, F.col(value)).otherwise(F.col("resolved")).alias("resolved"), fallback.alias("fallback"))
+
+
 def resolution_counts(resolved: DataFrame, value: str = "value") -> DataFrame:
-    """One row: paths, and how many the resolution changed."""
-    return resolved.agg(F.count(F.lit(1)).alias("paths"), F.count_if(F.col("resolved") != F.col(value)).alias("changed"))
+    """One row: paths, how many the resolution changed, and how many it left for want of a link's target."""
+    fallback = F.count_if("fallback") if "fallback" in resolved.columns else F.lit(0).cast("long")
+    return resolved.agg(F.count(F.lit(1)).alias("paths"), F.count_if(F.col("resolved") != F.col(value)).alias("changed"), fallback.alias("fallback"))

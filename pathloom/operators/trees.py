@@ -7,8 +7,6 @@ paths, and is no error unless asked for.
 
 from __future__ import annotations
 
-import csv
-import io
 import json
 import re
 import tomllib
@@ -16,6 +14,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.predicates import SPACED, STRICT, TREE
 
@@ -113,16 +113,71 @@ def walk_tree(text: str, root: str = "root") -> Iterator[Found]:
                     stack += [(False, v, f"{at}.{k}"), (True, k, f"{at}.key")]
 
 
-def walk_csv(text: str) -> Iterator[Found]:
-    text = text.removeprefix("\ufeff")
-    record = 0
-    csv.field_size_limit(2**31 - 1)
-    for cells in csv.reader(io.StringIO(text, newline=""), skipinitialspace=True):
-        if not cells or cells == [""]:
+#: Fixed value: what is trimmed around cells and makes a line empty.
+_TRIMMED = " \t\n\r\f"
+_LINE_END = re.compile("\r\n|\n|\r")
+
+
+def _records(text: str) -> Iterator[list[str]]:
+    """The records of a comma-separated text. Empty lines are none; a quoted empty cell makes a record.
+
+    The first line end outside quotes is the line end of the whole text. A quoted cell
+    ends at a quote before a comma or line end, blanks aside; with anything else behind
+    the quote the cell is taken as it stands, quotes included. An open quote is an error.
+    """
+    if '"' not in text:
+        end = _LINE_END.search(text)
+        for line in text.split(end.group()) if end else [text]:
+            if line.strip(_TRIMMED):
+                yield line.split(",")
+        return
+    end, at, size, stops = None, 0, len(text), re.compile("[,\r\n]")
+    cells: list[str] = []
+    quoted = False
+    while True:
+        start = at
+        while at < size and text[at] in " \t\f" or (at < size and text[at] in "\r\n" and end is not None and text[at] not in end):
+            at += 1
+        whole = None
+        if at < size and text[at] == '"':
+            close = at + 1
+            while True:
+                close = text.find('"', close)
+                if close < 0:
+                    raise ValueError("quoted cell without an end")
+                if text[close + 1 : close + 2] != '"':
+                    break
+                close += 2
+            after = close + 1
+            while after < size and text[after] in " \t\f":
+                after += 1
+            if after == size or text[after] in ",\r\n":
+                whole, at = text[at + 1 : close].replace('""', '"'), after
+        if whole is None:  # up to the next comma or line end
+            found = stops.search(text, at)
+            stop = found.start() if found else size
+            cell, at = text[start:stop].strip(_TRIMMED), stop
+        else:
+            cell, quoted = whole, True
+        if at < size and text[at] == ",":
+            cells.append(cell)
+            at += 1
             continue
-        record += 1
+        if end is None and at < size:
+            end = _LINE_END.match(text, at).group()
+            stops = re.compile(f",|{end}")
+        if cells or quoted or cell:
+            yield [*cells, cell]
+        cells, quoted = [], False
+        if at >= size:
+            return
+        at += len(end) if text.startswith(end, at) else 1
+
+
+def walk_csv(text: str) -> Iterator[Found]:
+    for record, cells in enumerate(_records(text.removeprefix("\ufeff")), 1):
         for i, cell in enumerate(cells, 1):
-            if strict(value := cell.strip(WHITE)):
+            if ("/" in cell or "." in cell or "\\" in cell) and strict(value := cell.strip(WHITE)):
                 yield value, record, i, f"CSV cell [{record},{i}]"
 
 
@@ -130,14 +185,44 @@ WALKERS: dict[str, Callable[[str], Iterator[Found]]] = {"json": walk_json, "toml
 _FIELDS = [("ordinal", pa.int32()), ("value", pa.string()), ("path_type", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("context", pa.string())]
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def whole(text: str) -> str:
+    """A text without half characters: escapes can name them, but UTF-8 cannot hold them."""
+    return text if text.isascii() else _LONE.sub("\ufffd", text)
+
+
 def found_in(kind: str, text: str | None) -> tuple[list[Found], str | None]:
     """A document's paths, and the parser's message if it failed."""
     if not text or not text.strip(WHITE):
         return [], None
     try:
-        return list(WALKERS[kind](text)), None
-    except (ValueError, csv.Error, RecursionError, tomllib.TOMLDecodeError) as failed:
-        return [], str(failed)
+        return [(whole(value), line, at, whole(context)) for value, line, at, context in WALKERS[kind](text)], None
+    except (ValueError, RecursionError) as failed:
+        return [], whole(str(failed))
+
+
+_PATH = pa.struct([("value", pa.string()), ("path_type", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("context", pa.string())])
+_RESULT = pa.struct([("paths", pa.list_(_PATH)), ("message", pa.string())])
+
+
+_FOUND = T.StructType([T.StructField(n, T.IntegerType() if n in ("line", "column") else T.StringType()) for n in ("value", "path_type", "line", "column", "context")])
+
+
+@arrow_udf(T.StructType([T.StructField("paths", T.ArrayType(_FOUND)), T.StructField("message", T.StringType())]))
+def tree_result(kind: pa.Array, content: pa.Array) -> pa.Array:
+    """(paths, parser's message) of texts of the kinds of ``WALKERS``; rows of other kinds are null."""
+    out = []
+    for name, text in zip(kind, content, strict=True):
+        name = name.as_py()
+        if name not in WALKERS:
+            out.append(None)
+            continue
+        found, failed = found_in(name, text.as_py())
+        paths = [{"value": v, "path_type": path_type(v), "line": line, "column": at, "context": context} for v, line, at, context in found]
+        out.append({"paths": paths, "message": failed})
+    return pa.array(out, _RESULT)
 
 
 def extract_tree(docs: DataFrame, kind: str, content: str = "content", *, report_parse_errors: bool = False) -> DataFrame:

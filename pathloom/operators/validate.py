@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import classify
 from ..functions.predicates import INVALID, RESERVED_PATTERN, is_valid_path, segments
 from ..functions.text import column, trim, utf16_length
+from .resolve import small_to_all
 
 
 def format_errors(c: Column | str) -> Column:
     """What is wrong with a path's form, in order of testing; a blank path has one error."""
+    #: The messages, in order.
     c = column(c)
     reserved = F.filter(segments(c), lambda s: s.rlike(RESERVED_PATTERN))
     checks = F.array(
@@ -36,7 +38,7 @@ def validate_paths(
     wrong = format_errors(value)
     rows = paths.withColumn("_wrong", wrong).withColumn("_target", target)
     if entries is not None:
-        known = entries.select(F.col("path").alias("_path")).distinct().withColumn("_there", F.lit(True))
+        known = small_to_all(entries.select(F.col("path").alias("_path")).distinct()).withColumn("_there", F.lit(True))
         rows = rows.join(known, F.col("_target") == F.col("_path"), "left")
         there = F.coalesce("_there", F.lit(False))
     else:
@@ -62,5 +64,5 @@ def rollup(validated: DataFrame) -> DataFrame:
 
 def broken_references(paths: DataFrame, entries: DataFrame, resolved: str = "resolved") -> DataFrame:
     """The path rows whose resolved path is not in the inventory."""
-    known = entries.select(F.col("path").alias("_path")).distinct()
+    known = small_to_all(entries.select(F.col("path").alias("_path")).distinct())
     return paths.join(known, paths[resolved] == F.col("_path"), "left_anti")

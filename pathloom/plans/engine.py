@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import column
+from ..operators.admission import admit
 from ..operators.extract import NATIVE, explode_paths
-from ..operators.trees import extract_tree
+from ..operators.post import dedupe_first
+from ..operators.resolve import canonical
+from ..operators.settings import EngineConfig
+from ..operators.trees import tree_result
 from ..schema import PATH_ARRAY
 
 #: The format of each language id.
@@ -19,7 +23,7 @@ LANGUAGES = {
     "scss": "css", "less": "css",
 }
 SUPPORTED = ("csv", "toml", "dotenv", "javascript", "typescript", "json", "html", "css")
-_EXTRACTOR = {"typescript": "javascript"}
+PARSED = ("csv", "json", "toml")
 
 
 def file_format(language_id: Column | str) -> Column:
@@ -29,6 +33,7 @@ def file_format(language_id: Column | str) -> Column:
 
 
 def unsupported_error(language_id: Column | str) -> Column:
+    #: The texts of the error.
     language = F.coalesce(column(language_id), F.lit(""))
     return F.struct(
         F.lit("format").alias("category"), F.lit("info").alias("severity"),
@@ -43,57 +48,90 @@ def unsupported_error(language_id: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Extraction:
-    """paths: one row a path; errors: one row a failed document; results: one row a document."""
+    """Projections of ``documents``, which reads its input once and shuffles nothing.
 
-    paths: DataFrame
-    errors: DataFrame
-    results: DataFrame
+    documents: a row a document, (doc_id, success, paths, error); paths: one row a path;
+    errors: one row a failed document; results: one row a document, with counts.
+    """
+
+    documents: DataFrame
+    dedupe: bool = False
+
+    @property
+    def paths(self) -> DataFrame:
+        rows = explode_paths(self.documents, F.col("paths"))
+        return dedupe_first(rows) if self.dedupe else rows
+
+    @property
+    def errors(self) -> DataFrame:
+        return self.documents.filter(F.col("error").isNotNull()).select("doc_id", "error.*")
+
+    @property
+    def results(self) -> DataFrame:
+        values = F.transform("paths", lambda p: p["value"])
+        return self.documents.select("doc_id", "success", F.size(F.array_distinct(values) if self.dedupe else values).cast("long").alias("n_paths"))
 
 
 def native_paths(language_id: Column | str, content: Column | str) -> Column:
     """Paths of a document in one expression, by its language; empty for formats that need a parser."""
-    kind = file_format(language_id)
-    kind = F.when(kind == "typescript", "javascript").otherwise(kind)
+    kind = _extractor(language_id)
     out = None
     for name, paths in NATIVE.items():
         out = F.when(kind == name, paths(content)) if out is None else out.when(kind == name, paths(content))
     return out.otherwise(F.array().cast(PATH_ARRAY))
 
 
-def extract_documents(docs: DataFrame, *, report_parse_errors: bool = False) -> Extraction:
-    """Extract from (doc_id, language_id, content).
+def _extractor(language_id: Column | str) -> Column:
+    kind = file_format(language_id)
+    return F.when(kind == "typescript", "javascript").otherwise(kind)
+
 
-    Each format has its own branch behind a filter on language_id, so branches read
-    only their rows. ``errors`` has the unsupported documents, and the unparsable
-    ones if ``report_parse_errors``; without it those succeed with no paths.
+def _parse_error(message: Column) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        F.lit("parsing").alias("category"), F.lit("error").alias("severity"), message.alias("message"), none.cast("string").alias("context"),
+        F.lit(True).alias("recoverable"), F.lit("skip").alias("recovery_action"), none.cast("map<string,string>").alias("metadata"),
+    )
+
+
+def extract_documents(docs: DataFrame, *, report_parse_errors: bool = False, dedupe: bool = False) -> Extraction:
+    """Extract from (doc_id, language_id, content) in one pass.
+
+    Native formats are expressions; the texts of the others, and only those, go through
+    one Arrow function. ``errors`` has the unsupported documents, and the unparsable
+    ones if ``report_parse_errors``; without it those succeed with no paths. With
+    ``dedupe`` a document's paths keep the first of equal values.
+    """
+    kind = _extractor("language_id")
+    parsed = kind.isin(*PARSED)
+    rows = docs.select(
+        "doc_id", "language_id", tree_result(kind, F.when(parsed, F.col("content"))).alias("_tree"),
+        F.when(~parsed, F.col("content")).alias("_native"), parsed.alias("_parsed"),
+    )
+    failed = F.when(F.lit(report_parse_errors) & F.col("_parsed") & F.col("_tree.message").isNotNull(), _parse_error(F.col("_tree.message")))
+    error = F.when(file_format("language_id") == "unknown", unsupported_error("language_id")).otherwise(failed)
+    paths = F.when(F.col("_parsed"), F.col("_tree.paths")).otherwise(native_paths("language_id", "_native"))
+    out = rows.select("doc_id", paths.alias("paths"), error.alias("error"))
+    return Extraction(out.select("doc_id", F.col("error").isNull().alias("success"), "paths", "error"), dedupe)
+
+
+def extract_with(
+    docs: DataFrame, config: EngineConfig, *, folders: DataFrame | None = None, links: DataFrame | None = None, sources: str | None = None
+) -> tuple[Extraction, DataFrame]:
+    """(extraction, resolved paths) of documents as a configuration asks for.
+
+    With ``safety_enabled`` documents above the size limit are not read. Parse errors
+    and duplicates follow ``show_parse_errors`` and ``dedupe_enabled``. Paths are
+    resolved if ``folders`` or ``links`` are given (see ``resolve.canonical``), else
+    ``resolved`` is the path as it stands. ``sources``: a column of ``docs`` with the
+    place of each document, by which its workspace folder is found.
     """
-    by = docs.select("doc_id", "language_id", "content")
-    branches, failed = [], []
-    for name in ("html", "css", "javascript", "dotenv"):
-        ids = [i for i, f in LANGUAGES.items() if _EXTRACTOR.get(f, f) == name]
-        branches.append(explode_paths(by.filter(F.col("language_id").isin(*ids)), NATIVE[name]("content")))
-    for name in ("csv", "json", "toml"):
-        ids = [i for i, f in LANGUAGES.items() if f == name]
-        rows = extract_tree(by.filter(F.col("language_id").isin(*ids)), name, report_parse_errors=report_parse_errors)
-        branches.append(rows.filter("ordinal >= 0") if report_parse_errors else rows)
-        if report_parse_errors:
-            failed.append(rows.filter("ordinal < 0").select("doc_id", "context"))
-    paths = branches[0]
-    for more in branches[1:]:
-        paths = paths.unionByName(more)
-    unknown = F.coalesce(~F.col("language_id").isin(*LANGUAGES), F.lit(True))
-    errors = by.filter(unknown).select("doc_id", unsupported_error("language_id").alias("_e")).select("doc_id", "_e.*")
-    for rows in failed:
-        errors = errors.unionByName(
-            rows.select(
-                "doc_id", F.lit("parsing").alias("category"), F.lit("error").alias("severity"), F.col("context").alias("message"),
-                F.lit(None).cast("string").alias("context"), F.lit(True).alias("recoverable"), F.lit("skip").alias("recovery_action"),
-                F.lit(None).cast("map<string,string>").alias("metadata"),
-            )
-        )
-    counts = paths.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paths"))
-    wrong = errors.select("doc_id", F.lit(True).alias("_failed"))
-    results = by.select("doc_id").join(counts, "doc_id", "left").join(wrong, "doc_id", "left").select(
-        "doc_id", F.col("_failed").isNull().alias("success"), F.coalesce("n_paths", F.lit(0)).cast("long").alias("n_paths")
-    )
-    return Extraction(paths, errors, results)
+    admitted = admit(docs, max_units=config.safety_file_size_warn_bytes, max_lines=config.safety_large_output_lines_threshold) if config.safety_enabled else docs
+    found = extract_documents(admitted, report_parse_errors=config.show_parse_errors, dedupe=config.dedupe_enabled)
+    if folders is None and links is None:
+        return found, found.paths.withColumn("resolved", F.col("value"))
+    rows = found.paths
+    if sources:
+        rows = rows.join(docs.select("doc_id", F.col(sources).alias("_source")), "doc_id", "left")
+    resolved = canonical(rows, folders=folders, links=links, at="_source" if sources else "value")
+    return found, resolved.drop("_source")

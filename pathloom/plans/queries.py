@@ -27,11 +27,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | None = None, name: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = oracle
+            ORACLES[name or f.__name__] = oracle
         return f
 
     return add
@@ -357,15 +357,38 @@ def validation_rollup(spark, sf_dir):
     return validate.rollup(validate.validate_paths(variants(spark, sf_dir), value="p"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id = 0 THEN '0 Bytes' WHEN page_id < 1024 THEN CAST(page_id AS VARCHAR) || ' Bytes' ELSE
-    regexp_replace(regexp_replace(printf('%.2f', page_id / 1024.0), '0+$', ''), '\\.$', '') || ' KB' END AS bytes,
-  CASE WHEN page_id * 37 < 1000 THEN CAST(page_id * 37 AS VARCHAR) || 'ms' WHEN page_id * 37 < 60000 THEN printf('%.2f', page_id * 37 / 1000.0) || 's'
-    ELSE printf('%.2f', page_id * 37 / 60000.0) || 'm' END AS duration,
-  CASE WHEN page_id > 0 THEN CAST(page_id AS VARCHAR) || CASE WHEN page_id = 1 THEN ' minute ago' ELSE ' minutes ago' END ELSE 'just now' END AS ago,
-  printf('%.2f', page_id / 8.0 * 100) || '%' AS share, 'URL: ' || url AS label FROM pages WHERE page_id < 60""")
+# printf rounds a decimal tie to even; the displays round it up, so a tie gets a little more.
+_TIE = "CASE WHEN {n} % {step} = {half} THEN 0.001 ELSE 0 END"
+_SHORT = "regexp_replace(regexp_replace(printf('%.2f', {x}), '0+$', ''), '\\.$', '')"
+
+
+def _bytes_case() -> str:
+    cases = ["WHEN {n} = 0 THEN '0 Bytes' WHEN {n} < 1024 THEN CAST({n} AS VARCHAR) || ' Bytes'"]
+    for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        size = 1024**i
+        number = f"{{n}} / {size}.0 + " + _TIE.replace("{step}", str(size // 4)).replace("{half}", str(size // 8))
+        cases.append(f"WHEN {{n}} < {1024 * size} OR {i} = 4 THEN {_SHORT.replace('{x}', number)} || ' {unit}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _time(size: int, step: int) -> str:
+    return f"printf('%.2f', {{n}} / {size}.0 + " + _TIE.replace("{step}", str(step)).replace("{half}", str(step // 2)) + ")"
+
+
+BYTES = _bytes_case()
+DURATION = f"""CASE WHEN {{n}} < 1000 THEN CAST({{n}} AS VARCHAR) || 'ms' WHEN {{n}} < 60000 THEN {_time(1000, 250)} || 's'
+    WHEN {{n}} < 3600000 THEN {_time(60_000, 15_000)} || 'm' ELSE {_time(3_600_000, 900_000)} || 'h' END"""
+AGO = "CASE " + " ".join(
+    f"WHEN {{s}} >= {size} THEN CAST({{s}} // {size} AS VARCHAR) || CASE WHEN {{s}} // {size} = 1 THEN ' {unit} ago' ELSE ' {unit}s ago' END"
+    for size, unit in ((86_400, "day"), (3_600, "hour"), (60, "minute"), (1, "second"))
+) + " ELSE 'just now' END"
+
+
+@query(f"""SELECT page_id, {BYTES.format(n="page_id")} AS bytes, {DURATION.format(n="(page_id * 37)")} AS duration, {AGO.format(s="(page_id * 60)")} AS ago,
+  printf('%.2f', page_id / 8.0 * 100) || '%' AS share, 'URL: ' || url AS label FROM pages""")
 def format_functions(spark, sf_dir):
     n = F.col("page_id")
-    return read(spark, sf_dir, "pages").filter("page_id < 60").select(
+    return read(spark, sf_dir, "pages").select(
         n, formats.number_of_bytes(n).alias("bytes"), formats.duration(n * 37).alias("duration"),
         formats.relative_time(F.lit(0), n * 60_000).alias("ago"), formats.percentage(n / 8.0).alias("share"), formats.path("url").alias("label"),
     )
@@ -410,9 +433,7 @@ _PROFILE = f"""{HTML_CTE}, q AS (SELECT value, ordinal, doc_id, regexp_replace(r
 @query(f"""WITH {_PROFILE}, g AS (SELECT regexp_replace(norm, '[a-zA-Z0-9]', 'X', 'g') AS pattern, count(*) AS count FROM w GROUP BY 1)
   SELECT pattern, count, round(count * 100.0 / (SELECT sum(count) FROM g), 6) AS percentage FROM g""")
 def profile_patterns(spark, sf_dir):
-    rows = html(spark, sf_dir).withColumn("ordinal", F.struct("doc_id", "ordinal"))
-    rows = rows.withColumn("order", F.col("ordinal.doc_id") * 100_000 + F.col("ordinal.ordinal"))
-    found = profile.patterns(rows, order="order")
+    found = profile.patterns(html(spark, sf_dir))
     return found.select("pattern", "count", F.round("percentage", 6).alias("percentage"))
 
 

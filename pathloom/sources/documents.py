@@ -71,8 +71,8 @@ def language_of_file(path: Column | str) -> Column:
 
 def scan_files(spark: SparkSession, path: str | list[str], *, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """Whole files as documents: (doc_id, uri, language_id, content). doc_id is a hash of the uri."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True)
     uri = F.col("_metadata.file_path")
     return files.select(F.xxhash64(uri).alias("doc_id"), uri.alias("uri"), language_of_file(uri).alias("language_id"), F.col("value").alias("content"))
 

@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import logging
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger("pathloom")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or under a local master a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def write_text(paths: DataFrame, target: str, *, mode: str = "errorifexists", value: str = "value") -> None:
     """Values, one a line, in order of document and emission; mode ``overwrite`` replaces."""
     paths.orderBy("doc_id", "ordinal").select(value).write.mode(mode).text(target)

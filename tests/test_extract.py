@@ -1,8 +1,11 @@
 """Extractors against hand-made cases: values, types, positions, contexts, order of emission."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.operators import settings
 from pathloom.operators.extract import NATIVE, extract
 from pathloom.operators.trees import extract_tree
 from pathloom.plans.engine import extract_documents, native_paths
@@ -120,3 +123,50 @@ def test_native_plan_has_no_exchange_and_no_python(spark):
 def test_extra_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, content string, value string, line int")
     assert extract(docs, "html").count() == 0 and extract_tree(docs, "csv").count() == 0
+
+
+def test_engine_reads_its_input_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, k, c) for i, (k, c) in enumerate(MIXED)], "doc_id long, language_id string, content string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    found = extract_documents(spark.read.parquet(f"{tmp_path}/docs"), report_parse_errors=True)
+    for df in (found.paths, found.errors, found.results):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    assert {r["doc_id"]: (r["success"], r["n_paths"]) for r in found.results.collect()} == {0: (True, 1), 1: (True, 2), 2: (False, 0), 3: (False, 0), 4: (True, 1), 5: (True, 0)}
+    assert {r["doc_id"]: r["category"] for r in found.errors.collect()} == {2: "parsing", 3: "format"}
+    assert [r["value"] for r in extract_documents(docs, dedupe=True).paths.filter("doc_id = 1").collect()] == ["/xy"]
+
+
+MIXED = [("html", '<a href="./a">'), ("json", '["/xy", "/xy"]'), ("toml", "a = "), ("yaml", "a: ./b"), ("csv", "./a/b"), ("css", None)]
+
+
+@pytest.mark.parametrize("accent", ["e", "é", "\U0001f600"])
+def test_offsets_on_one_long_line(spark, accent):
+    """More matches than fit in one piece of the running sum, by one and by many."""
+    for n in (255, 256, 257, 700):
+        line = "".join(f'<a href="./p{i}">{accent}</a>' for i in range(n))
+        got = [r["column"] for r in extract(spark.createDataFrame([(1, line)], "doc_id long, content string"), "html").orderBy("ordinal").collect()]
+        units = line.encode("utf-16-le")
+        assert got == [len(line[: m.start()].encode("utf-16-le")) // 2 + 1 for m in re.finditer("href", line)] and len(units) > 0
+
+
+def test_csv_records():
+    from pathloom.operators.trees import _records
+
+    cases = {
+        '""\n./a/b': [[""], ["./a/b"]], 'a,b\n\n ,\n"x, y",z': [["a", "b"], ["", ""], ["x, y", "z"]], '"a"b,c\nd': [['"a"b', "c"], ["d"]],
+        '"q","/m n",3.5\r\nx\r\n\r\n"l1\nl2",z': [["q", "/m n", "3.5"], ["x"], ["l1\nl2", "z"]], '"a""b",c': [['a"b', "c"]], "\n\n": [], "a,b,\n": [["a", "b", ""]],
+        ' \t \n"a"\n': [["a"]], 'x"y"\n"z"': [['x"y"'], ["z"]], '"a\r\nb"\r\nc': [["a\r\nb"], ["c"]],
+    }
+    assert {text: list(_records(text)) for text in cases} == cases
+    with pytest.raises(ValueError):
+        list(_records('a,"open\nb'))
+
+
+def test_half_characters_do_not_stop_a_job(spark):
+    text = '{"a\\udc00":"./x\\ud800/y.txt","b":"./\\ud83d\\ude00"}'
+    docs = spark.createDataFrame([(1, text), (2, '["/ok"]')], "doc_id long, content string")
+    for kind in ("json", "tree"):
+        assert {r["value"] for r in extract_tree(docs, kind).collect()} == {"./x\ufffd/y.txt", "./\U0001f600", "/ok"}
+    checked = settings.validate_settings(spark.createDataFrame([(1, text)], "doc_id long, content string")).first()
+    assert checked["errors"][0] == 'Unknown setting: "a\ufffd"'

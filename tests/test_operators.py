@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.operators import admission, metrics, post, profile, resolve, settings, validate
 from pathloom.sources import sinks
@@ -39,8 +40,8 @@ def test_sorts(values, mode, expected):
 
 def test_profile(spark):
     rows = [(i, v) for i, v in enumerate(["/a/b.js", "/c/d.js", "/e/f_g.TS", "/x/y.js", "/z/w.js"])]
-    found = profile.patterns(spark.createDataFrame(rows, "ordinal int, value string"))
-    top = found.orderBy("first").first()
+    found = profile.patterns(spark.createDataFrame([(1, *r) for r in rows], "doc_id long, ordinal int, value string"))
+    top = found.orderBy(F.desc("count")).first()
     assert (top["pattern"], top["count"], top["percentage"], top["examples"]) == ("/X/X.XX", 4, 80.0, ["/a/b.js", "/c/d.js", "/x/y.js"])
     assert {r["extension"]: r["count"] for r in profile.extensions(spark.createDataFrame(rows, "ordinal int, value string")).collect()} == {"js": 4, "ts": 1}
 
