@@ -3,8 +3,10 @@
 The exact state is a reference table: one row for each (line key, document),
 and from it one row for each key that at least two documents hold, with the
 number of documents and the smallest of them, the keeper. Sharded cuckoo filters
-hold the latter keys. A pass over documents asks the filters first, so that only
-lines that may be shared travel to the exact table; it alone decides.
+hold the latter keys. A pass over documents asks the filters first, by a broadcast
+of checked size or shard by shard, so that only lines that may be shared travel to the
+exact table; it alone decides. Insertions add a table of references and deletions a
+table of ids; ``compact`` writes the references as one table again.
 
 A key is 128 bits of a hash of the stripped, ASCII-lower-cased line.
 """
@@ -20,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, release
+from .common import map_batches, map_rows, materialize, release
 from .cuckoo import CuckooFilter
 
 _SPACES = b" \t\n\x0b\x0c\r"
-#: Keys in a shard's filter, and bytes of all filters up to which they are broadcast.
+#: Keys in a shard's filter, bytes of all filters up to which they are broadcast, and references that one task asks a filter for, about.
 SHARD_KEYS = 100_000
+_FEW_IDS = 1_000_000
 BROADCAST_BYTES = 64_000_000
+ASKED_TOGETHER = 500_000
 
 
 def line_key(line: str, min_chars: int = 10) -> bytes | None:
@@ -56,26 +60,34 @@ def references(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             k1, k2 = _halves(keys)
             yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(owners, pa.int64())], names=["k1", "k2", "doc_id"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
+    found = map_batches(docs.filter("doc_id is not null").select("doc_id", "text"), run, schema)
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if not again.limit(1).count():
+        return found
+    # Rows that share a doc_id are one document: each of its lines counts once.
+    several = F.broadcast(again) if again.limit(_FEW_IDS + 1).count() <= _FEW_IDS else again
+    return found.join(several, "doc_id", "left_anti").select("k1", "k2", "doc_id").unionByName(found.join(several, "doc_id", "left_semi").select("k1", "k2", "doc_id").distinct())
 
 
 def _shared_keys(refs: DataFrame) -> DataFrame:
     """Keys of at least two documents: (k1, k2, n_docs, keeper)."""
-    one = refs.groupBy("k1", "k2").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")
-    )
-    return one.filter("keeper < _last").drop("_last")
+    one = refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("keeper"))
+    return one.filter("n_docs > 1")
 
 
 @dataclass
 class LineIndex:
-    """The state; every change makes a new one and leaves the old one valid."""
+    """The state; every change makes a new one and leaves the old one valid.
+
+    ``tables``: the written tables that ``refs`` reads, which later states read, too.
+    """
 
     refs: DataFrame
     shared: DataFrame
     filters: DataFrame
     shards: int
     min_chars: int
+    tables: tuple[DataFrame, ...] = ()
 
     @classmethod
     def build(cls, docs: DataFrame, *, min_chars: int = 10) -> LineIndex:
@@ -89,11 +101,10 @@ class LineIndex:
 
         keyed = shared.select("k1", "k2", F.pmod("k2", F.lit(shards)).alias("shard"))
         filters = keyed.groupBy("shard").applyInArrow(fill, "shard long, cells binary")
-        return cls(refs, shared, materialize(filters, "line-filters"), shards, min_chars)
+        return cls(refs, shared, materialize(filters, "line-filters"), shards, min_chars, (refs,))
 
-    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
-        """The state with other references; ``touched`` has the keys whose counts may differ."""
-        refs = materialize(refs, "line-refs")
+    def _changed(self, refs: DataFrame, touched: DataFrame, *tables: DataFrame) -> LineIndex:
+        """The state with other references; ``touched`` has the keys whose counts may differ, ``tables`` what was written for it."""
         touched = touched.select("k1", "k2").distinct()
         now = _shared_keys(refs.join(touched, ["k1", "k2"], "left_semi"))
         shared = materialize(self.shared.join(touched, ["k1", "k2"], "left_anti").unionByName(now), "line-shared")
@@ -117,25 +128,33 @@ class LineIndex:
             return pa.table({"shard": [shard], "cells": [made.dump()]})
 
         filters = self.filters.groupBy("shard").cogroup(steps.groupBy("shard")).applyInArrow(update, "shard long, cells binary")
-        return LineIndex(refs, shared, materialize(filters, "line-filters"), self.shards, self.min_chars)
+        return LineIndex(refs, shared, materialize(filters, "line-filters"), self.shards, self.min_chars, (*self.tables, *tables))
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Take in new documents (ids that are not in yet)."""
-        new = materialize(references(docs, self.min_chars), "line-new")
-        return self._changed(self.refs.unionByName(new), new)
+        """Take in documents; of those that are in already, the lines that they did not have."""
+        new = references(docs, self.min_chars).join(self.refs, ["k1", "k2", "doc_id"], "left_anti")
+        new = materialize(new, "line-new")
+        return self._changed(self.refs.unionByName(new), new, new)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """Take out the documents of a doc_id column; their lines' keepers and counts go back."""
-        gone = doc_ids.select("doc_id").distinct()
-        return self._changed(self.refs.join(gone, "doc_id", "left_anti"), self.refs.join(gone, "doc_id", "left_semi"))
+        """Take out the documents of a doc_id column; their lines' keepers and counts go back. Unknown and null ids change nothing."""
+        gone = materialize(doc_ids.select("doc_id").filter("doc_id is not null").distinct(), "line-gone")
+        left_out = F.broadcast(gone) if gone.limit(_FEW_IDS + 1).count() <= _FEW_IDS else gone
+        return self._changed(self.refs.join(left_out, "doc_id", "left_anti").select("k1", "k2", "doc_id"), self.refs.join(left_out, "doc_id", "left_semi"), gone)
+
+    def compact(self) -> LineIndex:
+        """The same state with its references in one table."""
+        refs = materialize(self.refs, "line-refs")
+        return LineIndex(refs, self.shared, self.filters, self.shards, self.min_chars, (refs,))
 
     def _suspects(self, docs: DataFrame) -> DataFrame:
         """References of ``docs`` that may be shared lines: those that the filters don't rule out."""
+        refs, shards = references(docs, self.min_chars), self.shards
+        schema = "k1 long, k2 long, doc_id long"
         size = self.filters.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0)).alias("n")).first()["n"]
-        if size > BROADCAST_BYTES:  # filters of any size would not fit: the exact join takes all references
-            return references(docs, self.min_chars)
+        if size > BROADCAST_BYTES:
+            return self._suspects_by_shard(refs).select("k1", "k2", "doc_id")
         cells = docs.sparkSession.sparkContext.broadcast({r.shard: r.cells for r in self.filters.collect()})
-        shards = self.shards
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loaded = {s: CuckooFilter.load(c) for s, c in cells.value.items()}
@@ -149,7 +168,28 @@ class LineIndex:
                         may[mine] = loaded[s].has(key[mine])
                 yield batch.filter(pa.array(may))
 
-        return references(docs, self.min_chars).mapInArrow(ask, "k1 long, k2 long, doc_id long")
+        return map_batches(refs, ask, schema)
+
+    def _suspects_by_shard(self, refs: DataFrame) -> DataFrame:
+        """``_suspects`` where the filters are too large for a broadcast: references meet their shard's filter.
+
+        A filter is sent to as many tasks as its references need; they are dealt by
+        document, so that one line of very many documents is spread as well.
+        """
+        refs = materialize(refs, "line-asked")
+        turns = max(1, -(-refs.count() // (self.shards * ASKED_TOGETHER)))
+        shard, turn = F.pmod("k2", F.lit(self.shards)).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(turns)).alias("turn")
+        sent = self.filters.select("shard", "cells", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"))
+
+        def ask(refs: pa.Table, filters: pa.Table) -> pa.Table:
+            if not filters.num_rows or not refs.num_rows:
+                return refs.slice(0, 0)
+            held = CuckooFilter.load(filters.column("cells")[0].as_py())
+            keys = refs.column("k1").to_numpy() ^ (refs.column("k2").to_numpy() << 1)
+            return refs.filter(pa.array(held.has(keys)))
+
+        both = refs.select("k1", "k2", "doc_id", shard, turn).groupBy("shard", "turn").cogroup(sent.groupBy("shard", "turn"))
+        return both.applyInArrow(ask, "k1 long, k2 long, doc_id long, shard long, turn long")
 
     def apply(self, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """(doc_id, *keep, text, n_lines, n_dropped) of all rows of ``docs``, without repeated lines.
@@ -157,8 +197,11 @@ class LineIndex:
         A counted line stays only in the smallest doc_id that holds it, there as
         often as it occurs; other lines stay, joined by newlines. A null text is
         one empty line and comes back empty. Rows without doc_id are unchanged.
-        Rows that share a doc_id are one holder of their lines.
+        Rows that share a doc_id are one holder of their lines. An empty table gives no
+        rows; columns outside ``keep`` are ignored, and ``keep`` may not name an output.
         """
+        if clash := {"text", "n_lines", "n_dropped", "_drops", "_k1", "_k2", "_doc"} & set(keep):
+            raise ValueError(f"columns to keep have names of outputs: {sorted(clash)}")
         hits = self._suspects(docs).join(self.shared, ["k1", "k2"]).filter("doc_id <> keeper")
         drops = hits.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_drops"))
         types = dict(docs.dtypes)
@@ -189,7 +232,8 @@ class LineIndex:
         return map_rows(joined, make, schema)
 
     def release(self) -> None:
-        release(self.refs, self.filters)
+        """Delete this state's tables and those it shares with the states it came from; no result may read them any more."""
+        release(self.shared, self.filters, *self.tables)
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
