@@ -2,8 +2,9 @@
 
 Targets are weighted shares of a budget, capped at ``cap`` times each source and
 reshared. Sainte-Laguë apportionment turns them into whole blocks of
-``block_tokens`` for every source, and again for every shard of a source. In a
-shard, documents lie in a seeded order; it gives whole passes and then a run of
+``block_tokens`` for every source, and again for the shards of a source: where these
+are many, first for groups of shards, so that no window has more than ``FAN_OUT`` of
+them. In a shard, documents lie in a seeded order; it gives whole passes and then a run of
 blocks that starts at a seeded block, circularly, so every row's share is plain
 arithmetic on its place and no block is ever made a row.
 """
@@ -18,6 +19,8 @@ from .common import SPACE, WORD, materialize
 #: Up to so many sources their totals are broadcast (a row has a name and a few numbers).
 _BROADCAST_SOURCES = 10_000
 _SALTS = 32
+#: Shards, or groups of them, that blocks are dealt to at once; equal rows that one task lists at once.
+FAN_OUT, _LISTED = 512, 4096
 PARTS = ("passes", "skipped", "direct", "wrapped")
 
 
@@ -80,6 +83,31 @@ def sainte_lague(rows: DataFrame, weight: str, seats: Column, order: list[Column
     return q.groupBy(*rows.columns, "_sure").agg((F.first("_sure") + F.sum("_won")).alias(out)).drop("_sure")
 
 
+def shard_quotas(shards: DataFrame, most: int, fan_out: int | None = None) -> DataFrame:
+    """(rank, shard, shard_size, quota): the blocks of each source (rank, shard, blocks, shard_size) dealt to its shards, of which it has at most ``most``.
+
+    Level by level: at each, blocks go to at most ``fan_out`` neighbouring groups of shards.
+    """
+    fan = fan_out or FAN_OUT
+    levels = 1
+    while fan**levels < most:
+        levels += 1
+    if levels > 1:
+        shards = materialize(shards, "mixing-shards")
+    given = None
+    for level in range(levels - 1, -1, -1):
+        group = F.floor(F.col("shard") / fan**level).cast("long").alias("group")
+        sums = shards.select("rank", group, "blocks", "shard_size").groupBy("rank", "group", "blocks").agg(F.sum("shard_size").alias("shard_size"))
+        if given is None:
+            quotas = sainte_lague(sums, "shard_size", F.col("blocks"), [F.col("group")], ["rank"], "quota")
+        else:
+            above = sums.withColumn("above", F.floor(F.col("group") / fan).cast("long")).join(given, ["rank", "above"])
+            quotas = sainte_lague(above, "shard_size", F.col("seats"), [F.col("group")], ["rank", "above"], "quota")
+        if level:
+            given = materialize(quotas.select("rank", F.col("group").alias("above"), F.col("quota").alias("seats")), "mixing-quotas")
+    return quotas.select("rank", F.col("group").alias("shard"), "shard_size", "quota")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -101,15 +129,20 @@ def mix(
     at most cap * size. Rows may repeat a doc_id; other columns are ignored. The
     same rows and seed give the same mix. An empty table gives no rows.
     """
-    sized = materialize(docs.select("doc_id", "source", words_in("text").alias("size")), "mixing")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    alike = docs.select("doc_id", "source", words_in("text").alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_n"))
+    alike = materialize(alike, "mixing")
+    totals = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"), F.sum("_n").alias("rows"))
     plan = targets(totals, weights, share, cap)
     everything = Window.partitionBy()
     seats = F.floor(F.sum("target").over(everything) / block_tokens + 0.5)
     plan = sainte_lague(plan, "target", seats, [F.col("rank")], [], "blocks")
-    plan = materialize(plan.withColumn("shards", F.ceil(F.col("rows") / shard_rows).cast("int")), "mixing-plan")
+    plan = materialize(plan.withColumn("shards", F.ceil(F.col("rows") / shard_rows).cast("long")), "mixing-plan")
 
-    row_hash = F.xxhash64("doc_id", "size", F.lit(seed))
+    # Equal rows are told apart by number, so that they spread over the shards.
+    stretch = alike.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(_LISTED).cast("long"))))
+    copies = F.sequence(F.col("_from"), F.least(F.col("_n") - 1, F.col("_from") + _LISTED - 1))
+    sized = stretch.withColumn("_copy", F.explode(copies)).drop("_n", "_from")
+    row_hash = F.xxhash64("doc_id", "size", "_copy", F.lit(seed))
     if plan.count() <= _BROADCAST_SOURCES:
         placed = sized.join(F.broadcast(plan.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
     else:  # too many sources to broadcast: a hot one is spread over salts
@@ -118,12 +151,12 @@ def mix(
             salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt"))
         )
     placed = placed.select(
-        "doc_id", "size", "rank", "source", "source_size", "target", "blocks", F.pmod(row_hash, F.col("shards")).alias("shard")
+        "doc_id", "size", "_copy", "rank", "source", "source_size", "target", "blocks", F.pmod(row_hash, F.col("shards")).alias("shard")
     )
     shards = placed.groupBy("rank", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
-    quotas = sainte_lague(shards, "shard_size", F.col("blocks"), [F.col("shard")], ["rank"], "quota")
+    quotas = shard_quotas(shards, plan.agg(F.coalesce(F.max("shards"), F.lit(1)).alias("n")).first()["n"])
     quotas = quotas.select(F.col("rank").alias("_rank"), F.col("shard").alias("_shard"), "shard_size", "quota")
-    order = Window.partitionBy("rank", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
+    order = Window.partitionBy("rank", "shard").orderBy(F.xxhash64("doc_id", "_copy", F.lit(seed + 1)), "doc_id", "size", "_copy")
     stream = placed.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     row = stream.join(quotas, (F.col("rank") == F.col("_rank")) & (F.col("shard") == F.col("_shard")))
 
