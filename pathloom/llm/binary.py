@@ -26,18 +26,18 @@ from struct import Struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import map_batches, materialize, release
 from .tokens import read_vocabulary, tokenizer
 
 _HEAD, _CRC, _DOC = Struct("<QI"), Struct("<I"), Struct("<qB")
 END = b"\n"
 _FRAMES = "file string, position long, bytes long, doc_id long, n_tokens long"
 _FLUSH = 8_000_000
-#: Files up to which their table (about 60 bytes a row) is broadcast.
-_BROADCAST_FILES = 200_000
+#: Bytes of text that go to a file, about; files up to which their table (about 60 bytes a row) is broadcast.
+FILE_BYTES, _BROADCAST_FILES = 48_000_000, 200_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -82,13 +82,17 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, *, end_id: int | Non
     """Tokenise all documents and write path/data in ascending doc_id order, then path/index.
 
     Nulls: a null doc_id comes first, a null text is its end id alone. Rows that
-    repeat a doc_id keep a frame each, in order of their texts. ``files`` defaults
-    to the number of input splits. An empty table gives empty folders.
+    repeat a doc_id keep a frame each, in order of a hash of their texts, and may lie in
+    several files. ``files`` defaults to what gives each about ``FILE_BYTES`` of text; only
+    a document that is longer itself makes a longer file. An empty table gives empty
+    folders. Columns besides doc_id and text are ignored.
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    rows = docs.select("doc_id", "text")
-    files = files or max(1, rows.rdd.getNumPartitions())
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_draw"))
+    if files is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        files = max(1, min(4 * spark.sparkContext.defaultParallelism, -(-size // 1_000_000)), -(-size // FILE_BYTES))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(vocabulary.value, end_id)
@@ -103,14 +107,13 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, *, end_id: int | Non
                     out, held = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    ordered = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text"
-    )
-    raw = ordered.mapInArrow(frames, "value binary").select(F.col("value").cast("string"))
+    order = (F.col("doc_id").asc_nulls_first(), "_draw")
+    ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
+    raw = map_batches(ordered, frames, "value binary").select(F.col("value").cast("string"))
     raw.write.option("lineSep", END.decode()).option("compression", "none").text(f"{path}/data")
     frames_found = materialize(_scan(spark, path), "binary-frames")
     whole = frames_found.groupBy("file").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy(file_number("file")).rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     whole.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/files")
     inside = Window.partitionBy("file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     placed = frames_found.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
@@ -121,8 +124,13 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, *, end_id: int | Non
     release(frames_found)
 
 
+def file_number(file: str) -> Column:
+    """The place of a data file in the order of the documents; names have leading zeros up to five digits only."""
+    return F.regexp_extract(file, "part-([0-9]+)", 1).cast("long")
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """The data files, whole: (file, content). Files are named in the order of their documents."""
+    """The data files, whole: (file, content)."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
     return found.filter("length > 0").select(F.substring_index("path", "/", -1).alias("file"), "content")
 
@@ -141,7 +149,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "position", "bytes", "doc_id", "n_tokens"]
                 )
 
-    return _files(spark, path).mapInArrow(scan, _FRAMES)
+    return map_batches(_files(spark, path), scan, _FRAMES)
 
 
 def file_table(spark: SparkSession, path: str) -> DataFrame:
@@ -201,7 +209,7 @@ def read(spark: SparkSession, path: str, chosen: DataFrame | None = None) -> Dat
                         out, held = [], 0
                 yield batch_of(out)
 
-    return pairs.mapInArrow(pick, "doc_id long, start long, n_tokens long, ids binary")
+    return map_batches(pairs, pick, "doc_id long, start long, n_tokens long, ids binary")
 
 
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
