@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches, materialize, release
+
 DIMENSIONS = 1 << 14
 ORDERS = 3
 UNKNOWN = "und"
@@ -75,19 +77,22 @@ def fit(bits: np.ndarray, labels: list[str], *, landmarks: int = 192, ridge: flo
     return KernelModel(languages, bits[chosen], (whiten @ solved).astype(np.float32))
 
 
-def train(docs: DataFrame, training: Column, *, max_rows: int = 4000, seed: int = 5, landmarks: int = 192) -> KernelModel:
-    """Learn from at most about ``max_rows`` rows of ``training`` with a language, the same number from each language.
+def train(
+    docs: DataFrame, training: Column, *, max_rows: int = 4000, max_languages: int = 400, seed: int = 5, landmarks: int = 192
+) -> KernelModel:
+    """Learn from at most about ``max_rows`` different rows of ``training`` with a language, the same number from each language.
 
-    Rows are drawn by a seeded hash of doc_id; only their packed n-gram presence
-    reaches the driver.
+    ``docs`` needs doc_id, text and lang; other columns are ignored. Rows without text,
+    letters or language are skipped; a null doc_id is a row like others. Of more than
+    ``max_languages`` languages the most frequent are learned, ties by name. Rows are drawn
+    by a seeded hash of doc_id, text and language; only their packed n-gram presence
+    reaches the driver. An empty table teaches no language.
     """
-    usable = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    most = max(1, max_rows // max(1, len(counts)))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(1_000_000 if n <= most else int(1_000_000 * most / n))).otherwise(limit)
+    usable = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text", "lang").alias("draw"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    counts = materialize(counts, "language-counts")
+    most = max(1, max_rows // max(1, counts.count()))
+    drawn = usable.join(F.broadcast(counts), "lang").filter(F.pmod("draw", F.lit(1_000_000)) < F.ceil(F.lit(1e6 * most) / F.col("n")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +105,10 @@ def train(docs: DataFrame, training: Column, *, max_rows: int = 4000, seed: int
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.string()), strict=True)], names=["draw", "bits", "lang"])
 
-    found = usable.filter(draw < limit).select(F.xxhash64(F.lit(seed + 1), "doc_id").alias("draw"), "text", "lang")
-    sample = sorted((r["draw"], bytes(r["bits"]), r["lang"]) for r in found.mapInArrow(rows, "draw long, bits binary, lang string").collect())
+    found = map_batches(drawn.select("draw", "text", "lang"), rows, "draw long, bits binary, lang string")
+    sample = sorted((r["draw"], bytes(r["bits"]), r["lang"]) for r in found.dropDuplicates(["draw", "lang"]).collect())
     bits = np.frombuffer(b"".join(b for _, b, _ in sample), dtype=np.uint8).reshape(len(sample), DIMENSIONS // 8)
+    release(counts)
     return fit(bits, [lang for _, _, lang in sample], landmarks=landmarks)
 
 
@@ -111,7 +117,8 @@ def predict(docs: DataFrame, model: KernelModel, *, batch_rows: int = 256) -> Da
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or if
     no language was learned. score: the regression's value, cut to 0 to 1. Ties go
-    to the first language by name. Repeated rows are predicted one by one.
+    to the first language by name. Repeated rows are predicted one by one. An empty table
+    gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -139,4 +146,4 @@ def predict(docs: DataFrame, model: KernelModel, *, batch_rows: int = 256) -> Da
                     scores[known] = np.clip(values.max(axis=1)[known], 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
