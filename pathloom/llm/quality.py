@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, materialize, mix64, word_spans
+from .common import WordHasher, map_rows, materialize, mix64, release, word_spans
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -180,38 +180,48 @@ def _best(binned, g, h, mine, edges, signs, l2, low, high, min_rows):
 _STATS = "doc_id long, " + ", ".join(f"{c} long" for c in BASE)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, base counts, features array) of every whole text; a null text has no words."""
+def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, base counts, features array) of every whole text; a null text has no words."""
 
     def make():
         count = Statistics()
 
         def work(c):
             both = [count(t) for t in c["text"]]
-            return {"doc_id": c["doc_id"], "features": [f for _, f in both]} | {
+            return {k: c[k] for k in ("doc_id", *keep)} | {"features": [f for _, f in both]} | {
                 name: [b[i] for b, _ in both] for i, name in enumerate(BASE)
             }
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), make, _STATS + ", features array<double>")
+    types = dict(docs.dtypes)
+    kept = "".join(f", `{k}` {types[k]}" for k in keep)
+    return map_rows(docs.select("doc_id", *keep, "text"), make, _STATS + kept + ", features array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, seed: int = 17) -> Trees:
     """Trees for the chance that a document's quality label is 1.
 
-    Learns from at most about ``max_labelled`` labelled rows, drawn by a seeded
-    hash of doc_id; null labels are skipped. Only their statistics reach the driver.
+    Learns from at most about ``max_labelled`` labelled rows, drawn by seeded hashes, of
+    equal rows from one; null labels and ids are skipped, of a doc_id labelled twice the
+    larger label counts. ``docs`` needs doc_id and text, ``labels`` doc_id and quality;
+    other columns are ignored. Without labels no document differs in its chance. Only
+    statistics of the drawn rows reach the driver.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    total = known.count()
-    share = min(1.0, max_labelled / max(1, total))
-    drawn = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else F.lit(True)
-    chosen = materialize(known.filter(drawn), "quality-drawn")
+
+    def drawn(rows: DataFrame, n: int, *key: str) -> DataFrame:
+        share = int(1_000_000 * min(1.0, max_labelled / max(1, n)))
+        return rows.filter(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000)) < share)
+
+    chosen = materialize(drawn(known, known.count(), "doc_id"), "quality-drawn")
     few = chosen.count() <= 2 * max_labelled  # by the draw about max_labelled rows of two numbers
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")) if few else chosen.select("doc_id"), "doc_id")
-    quality = {r.doc_id: r.quality for r in chosen.collect()}
-    rows = sorted((r.doc_id, quality[r.doc_id], r.features) for r in statistics(sample).select("doc_id", "features").collect())
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id").dropDuplicates(["doc_id", "text"]), "quality-rows")
+    n = sample.count()
+    some = drawn(sample, n, "doc_id", "text") if n > 1.1 * max_labelled else sample  # several texts of one doc_id
+    both = statistics(some.select("doc_id", "text", "quality"), keep=("quality",)).select("doc_id", "quality", "features").collect()
+    rows = sorted((r.doc_id, r.quality, r.features) for r in both)
+    release(chosen, sample)
     x = np.array([r[2] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return grow(x, np.array([float(r[1]) for r in rows]), list(FEATURES.values()))
 
@@ -221,7 +231,8 @@ def judge(docs: DataFrame, model: Trees, *, threshold: float = 0.5) -> DataFrame
 
     base_failed: under 50 words, or over half of the words in repeated 3-word
     windows. kept: not base_failed and score >= ``threshold``. A null or empty
-    text has no words and fails. Repeated rows are judged one by one.
+    text has no words and fails. Repeated rows are judged one by one. An empty table
+    gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
