@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_batches, materialize
 from .tokens import read_vocabulary, tokenizer
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -133,7 +133,7 @@ def pack(
         if rows:
             yield _batch(rows)
 
-    placed = docs.select("doc_id", "text").mapInArrow(place, _RAW)
+    placed = map_batches(docs.select("doc_id", "text"), place, _RAW)
     placed = materialize(placed.withColumn("open", F.col("merge_group").isNotNull()), "packing", ["open"])
 
     def merge(table: pa.Table) -> pa.Table:

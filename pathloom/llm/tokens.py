@@ -40,7 +40,7 @@ def byte_letters() -> dict[int, str]:
 class WordTokenizer:
     """Encodes texts; ``end_id`` follows every text. It caches chunks, up to ``cache_size`` of them."""
 
-    def __init__(self, vocabulary: str, end_id: int | None = 1, cache_size: int = 400_000) -> None:
+    def __init__(self, vocabulary: str, end_id: int | None = 1, cache_size: int = 250_000) -> None:
         self.whole = Tokenizer.from_str(vocabulary)
         spec = json.loads(vocabulary)
         splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
