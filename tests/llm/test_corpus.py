@@ -408,6 +408,25 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.link_vectors(df.filter("false")).count() == 0
 
 
+def test_distant_groups_are_skipped(spark):
+    """Clusters far apart: no group meets all others, and nothing is lost by it."""
+    draw = np.random.default_rng(8)
+    centres = np.linalg.qr(draw.normal(size=(32, 32)))[0][:8]
+    vectors = [centres[i % 8] + draw.normal(size=32) * 0.02 * (1 + i % 3) for i in range(400)]
+    unit = embedding_dedup.unit(np.array(vectors))
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    met, partners = [], embedding_dedup._partners
+    embedding_dedup._partners = lambda packed, groups, threshold: met.append((groups, partners(packed, groups, threshold).count())) or partners(packed, groups, threshold)
+    try:
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link_vectors(df, block_rows=25, group_blocks=1).collect()}
+    finally:
+        embedding_dedup._partners = partners
+    assert got == dict(enumerate(linked.sum(axis=1).tolist()))
+    assert met[0][0] >= 8 and met[0][1] < 0.75 * met[0][0] ** 2
+
+
 def test_quantisation_bound_holds():
     draw = np.random.default_rng(2)
     u = embedding_dedup.unit(draw.normal(size=(200, 64)) * np.exp(draw.normal(size=(200, 64))))
