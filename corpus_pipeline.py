@@ -27,7 +27,11 @@ def _show(rows: DataFrame, names: dict[str, str], columns: list[str]) -> DataFra
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score does not reject; null and empty texts score as texts without evidence."""
+    """Documents that the toxicity score does not reject.
+
+    Null and empty texts score as texts without evidence. Repeated rows and rows without
+    doc_id are judged one by one; an empty table stays empty.
+    """
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     hidden, names = _hide(docs)
     scored = toxicity.score(hidden, model, keep=(*names, "text"))
@@ -42,7 +46,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates of five-word shingles at 0.8."""
+    """One document, that of the smallest doc_id, of each group of near-duplicates of five-word shingles at 0.8.
+
+    Texts without words and rows without doc_id are in no group and stay. Rows that repeat
+    a doc_id are one document and stay or go together. An empty table stays empty.
+    """
     found = near_dedup.near_duplicates(docs)
     gone = found.filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
@@ -51,7 +59,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; of one that it takes in part, a row with those words.
 
-    n_chars follows the text. Rows alike in doc_id, source and number of words are
+    Documents without words, null texts among them, are no part of a mix of words and go.
+    A null source is a source of its own, a null doc_id an id like others; an empty table
+    stays empty. n_chars follows the text. Rows alike in doc_id, source and number of words are
     told apart by their text.
     """
     hidden, names = _hide(docs)
@@ -80,7 +90,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with ids and places, in windows of 2048 ids."""
+    """The pieces of all documents, with ids and places, in windows of 2048 ids.
+
+    A null or empty text is its end id alone; repeated rows are documents of their own; an
+    empty table gives no pieces.
+    """
     return packing.pack(docs, vocabulary())
 
 
