@@ -20,7 +20,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 
 def odd_rows():
     lexicons = {"aa": [f"{a}en{b}" for a in "kmnst" for b in ("ta", "ko", "ri")], "bb": [f"{a}un{b}" for a in "dfgzw" for b in ("esch", "ich", "auf")]}
-    rows = [(i, t, "aa" if i % 2 else "bb", [None, "s1", "s2"][i % 3]) for i, t in ODD]
+    rows = [(i, t, "aa" if (i or 0) % 2 else "bb", [None, "s1", "s2"][(i or 0) % 3]) for i, t in ODD]
     for n, (lang, lexicon) in enumerate(lexicons.items()):
         rows += [(100 * (n + 1) + i, t + "\nthe same long line here" * (i % 5 == 0), lang, f"s{i % 3}") for i, t in enumerate(sentences(n, 80, lexicon, ["vilest"]))]
     return rows + [(300, rows[20][1], "aa", None), (301, rows[20][1] + " more", None, "s1"), (302, "longest " + " ".join(f"w{i % 5000}" for i in range(60_000)), "aa", "s2")]
