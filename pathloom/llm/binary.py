@@ -109,7 +109,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, *, end_id: int | Non
 
     order = (F.col("doc_id").asc_nulls_first(), "_draw")
     ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
-    raw = map_batches(ordered, frames, "value binary").select(F.col("value").cast("string"))
+    raw = map_batches(ordered, frames, "value binary", keeps=True).select(F.col("value").cast("string"))
     raw.write.option("lineSep", END.decode()).option("compression", "none").text(f"{path}/data")
     frames_found = materialize(_scan(spark, path), "binary-frames")
     whole = frames_found.groupBy("file").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

@@ -82,17 +82,36 @@ def give_back() -> None:
         pass
 
 
+_kept: dict[object, object] = {}
+
+
+def keep_here(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept in this worker process from task to task; one thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 16_000_000
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` in batches of bounded bytes; a task's memory goes back when it ends."""
+def map_batches(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *, keeps: bool = False
+) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes; a task's memory goes back when it ends.
+
+    ``keeps``: whether its tasks use ``keep_here``; those of others let go of what is kept.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(key, None) is None:  # a user's own value stays
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps and _kept:
+            _kept.clear()
+            give_back()
         yield from run(batches)
         give_back()
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_batches, materialize
+from .common import WordHasher, keep_here, map_batches, materialize
 
 EDGE, ORDER = 0xFF, 5
 #: Orders whose contexts are all broadcast; the bytes bound them: 256**3 runs, far fewer in UTF-8.
@@ -313,7 +313,7 @@ class Tables:
                 p[open_] = trie.descend(key[open_].astype(np.uint64), escape[open_], below[open_], kinds[open_], WHOLE)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(p))], names=["key", "log"])
 
-        return map_batches(rows, run_down, "key long, log double")
+        return map_batches(rows, run_down, "key long, log double", keeps=True)
 
 
 def _arrays(runs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -321,17 +321,6 @@ def _arrays(runs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column("key").to_numpy(), table.column("n").to_numpy()
 
 
-_kept: dict[str, object] = {}
-
-
-def _once(key: int, make: Callable[[], Trie]) -> Trie:
-    """The trie that ``make`` returns, kept in this process from task to task of one model."""
-    if _kept.get("model") != key:
-        _kept.clear()
-        _kept.update(model=key, trie=make())
-    return _kept["trie"]
-
-
 # ------------------------------------------------------------------- on DataFrames
 
 
@@ -377,7 +366,7 @@ def score(docs: DataFrame, training: Column, *, max_runs: int = 3_000_000, max_f
     )
 
     def trie_here() -> Trie:
-        return _once(model_key, lambda: shared.value[0] if isinstance(shared.value[0], Trie) else Trie({ORDER: shared.value[0]}))
+        return keep_here(("trie", model_key), lambda: shared.value[0] if isinstance(shared.value[0], Trie) else Trie({ORDER: shared.value[0]}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, keys, times = shared.value
@@ -413,6 +402,7 @@ def score(docs: DataFrame, training: Column, *, max_runs: int = 3_000_000, max_f
     looked = map_batches(
         docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training")), run,
         "row_id long, doc_id long, training boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<int>, runs array<long>, run_times array<int>",
+        keeps=True,
     )
     looked = materialize(looked, "lm-scored")
     rare = looked.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("_w")).select(

@@ -133,7 +133,7 @@ def pack(
         if rows:
             yield _batch(rows)
 
-    placed = map_batches(docs.select("doc_id", "text"), place, _RAW)
+    placed = map_batches(docs.select("doc_id", "text"), place, _RAW, keeps=True)
     placed = materialize(placed.withColumn("open", F.col("merge_group").isNotNull()), "packing", ["open"])
 
     def merge(table: pa.Table) -> pa.Table:

@@ -20,6 +20,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .common import keep_here
+
 #: Fixed value: the vocabulary's own pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters beyond ASCII whose normal form, case and class agree between libraries.
@@ -100,13 +102,6 @@ class WordTokenizer:
         return b"".join(map(cache.__getitem__, chunks)) + self.end
 
 
-_kept: dict[tuple, WordTokenizer] = {}
-
-
 def tokenizer(vocabulary: str, end_id: int | None = 1) -> WordTokenizer:
     """The tokenizer of this process, kept with its cache from task to task."""
-    key = (hash(vocabulary), end_id)
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = WordTokenizer(vocabulary, end_id)
-    return _kept[key]
+    return keep_here(("tokens", hash(vocabulary), end_id), lambda: WordTokenizer(vocabulary, end_id))

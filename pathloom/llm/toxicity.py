@@ -56,6 +56,7 @@ class TermCounter:
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each range of n, one range after the other."""
+    start, n = start.astype(np.int64), n.astype(np.int64)
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
@@ -93,14 +94,14 @@ class BlockMaxIndex:
         self.dense_most = np.maximum.reduceat(self.dense, self.edges[:-1], axis=1) if self.size else np.zeros((len(common), 0), dtype=np.float32)
         rest = np.flatnonzero(column < 0)
         rest = rest[np.lexsort((owner[rest], self.term[rest]))]
-        self.owner, self.light, light_term = owner[rest], self.weight[rest], self.term[rest].astype(np.int64)
+        self.owner, self.light, light_term = owner[rest].astype(np.int32), self.weight[rest].astype(np.float32), self.term[rest].astype(np.int64)
         # One entry a term and block: where its postings start, how many they are, the largest weight.
         pair = light_term * max(1, self.blocks) + self.owner // block
-        self.posting = np.flatnonzero(np.diff(pair, prepend=-1))
-        self.postings = np.diff(self.posting, append=len(pair))
-        self.most = np.maximum.reduceat(self.light, self.posting) if len(pair) else np.zeros(0)
-        self.at_block = self.owner[self.posting] // block
-        self.entry = np.searchsorted(light_term[self.posting], np.arange(terms + 1))
+        self.posting = np.flatnonzero(np.diff(pair, prepend=-1)).astype(np.int32)
+        self.postings = np.diff(self.posting, append=len(pair)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.light, self.posting) if len(pair) else np.zeros(0, dtype=np.float32)
+        self.at_block = (self.owner[self.posting] // block).astype(np.int32)
+        self.entry = np.searchsorted(light_term[self.posting], np.arange(terms + 1)).astype(np.int32)
         self.query = np.zeros(terms)
         self.visited = self.possible = 0
 
