@@ -17,34 +17,36 @@ def normalize(c: Column | str) -> Column:
 
 def components(c: Column | str) -> Column:
     """struct(directory, filename, extension, basename) of the normalised path; a leading dot starts an extension."""
+    return F.struct(directory(c).alias("directory"), file_name(c).alias("filename"), written_extension(c).alias("extension"), base_name(c).alias("basename"))
+
+
+def directory(c: Column | str) -> Column:
     n = normalize(c)
-    directory = F.when(n.contains("/"), F.regexp_replace(n, "/[^/]*\\z", "")).otherwise("")
-    filename = F.regexp_extract(n, "([^/]*)\\z", 1)
-    dotted = filename.contains(".")
-    extension = F.when(dotted, F.regexp_extract(filename, "\\.([^.]*)\\z", 1)).otherwise("")
-    basename = F.when(dotted, F.regexp_replace(filename, "\\.[^.]*\\z", "")).otherwise(filename)
-    return F.struct(directory.alias("directory"), filename.alias("filename"), extension.alias("extension"), basename.alias("basename"))
+    return F.when(n.contains("/"), F.regexp_replace(n, "/[^/]*\\z", "")).otherwise("")
 
 
-def depth(c: Column | str) -> Column:
-    """Number of non-empty segments."""
-    return F.size(F.filter(F.split(normalize(c), "/", -1), lambda s: s != ""))
+def file_name(c: Column | str) -> Column:
+    return F.regexp_extract(normalize(c), "([^/]*)\\z", 1)
 
 
-def extension(c: Column | str) -> Column:
-    return F.lower(components(c)["extension"])
+def written_extension(c: Column | str) -> Column:
+    """What follows the file name's last dot, in its own case."""
+    name = file_name(c)
+    return F.when(name.contains("."), F.regexp_extract(name, "\\.([^.]*)\\z", 1)).otherwise("")
 
 
-def directory(c: Column | str) -> Column:
-    return components(c)["directory"]
+def base_name(c: Column | str) -> Column:
+    name = file_name(c)
+    return F.when(name.contains("."), F.regexp_replace(name, "\\.[^.]*\\z", "")).otherwise(name)
 
 
-def file_name(c: Column | str) -> Column:
-    return components(c)["filename"]
+def depth(c: Column | str) -> Column:
+    """Number of non-empty segments."""
+    return F.size(F.filter(F.split(normalize(c), "/", -1), lambda s: s != ""))
 
 
-def base_name(c: Column | str) -> Column:
-    return components(c)["basename"]
+def extension(c: Column | str) -> Column:
+    return F.lower(written_extension(c))
 
 
 def resolve(base: Column | str, relative: Column | str) -> Column:

@@ -73,9 +73,9 @@ def is_relative_path(c: Column | str) -> Column:
 
 
 def is_file_path(c: Column | str) -> Column:
-    from .paths import components
+    from .paths import written_extension
 
-    return F.length(components(c)["extension"]) > 0
+    return F.length(written_extension(c)) > 0
 
 
 def is_directory_path(c: Column | str) -> Column:

@@ -41,6 +41,7 @@ def admission(content: Column | str, *, enabled: bool = True, max_units: int = 1
         return F.struct(F.lit(True).alias("proceed"), F.lit("").alias("message"), F.array().cast("array<string>").alias("warnings"))
     units, count, paths, hard = utf16_length(c), F.size(lines(c)), estimated_paths(c), complex_patterns(c)
     text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    #: The messages.
     warnings = F.array_compact(F.array(
         F.when(count > max_lines, text("Large file detected: ", count, " lines (threshold: ", str(max_lines), ")")),
         F.when(paths > MANY_PATHS, text("Large number of paths detected: estimated ", paths, " paths")),

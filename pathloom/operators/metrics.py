@@ -30,6 +30,7 @@ def check_thresholds(metrics: DataFrame, limits: Thresholds = Thresholds()) -> D
         fields = (F.lit(kind).alias("type"), text.alias("message"), F.col(name).cast("double").alias("value"), F.lit(float(limit)).alias("threshold"), F.lit("warning").alias("severity"))
         return F.when(bad, F.struct(*fields))
 
+    #: The messages.
     over = "exceeds threshold"
     warnings = F.array_compact(F.array(
         warn("duration", "duration", F.col("duration") > limits.max_duration, limits.max_duration, duration, over, "Duration"),
@@ -59,6 +60,7 @@ def recent(metrics: DataFrame, order: str, n: int = 10) -> DataFrame:
 def describe(duration: Column, memory: Column, cpu: Column, throughput: Column, hits: Column, misses: Column) -> Column:
     """The text report of one operation."""
     rate = F.when(hits + misses > 0, F.format_string("%.2f", hits / (hits + misses) * 100)).otherwise("0")
+    #: The lines of the report.
     parts = (
         ("Performance Metrics\n==================\n\nDuration: ", formats.duration(duration)), ("\nMemory Usage: ", formats.number_of_bytes(memory)),
         ("\nCPU Usage: ", formats.duration(cpu)), ("\nThroughput: ", formats.throughput(throughput, "items/s")),

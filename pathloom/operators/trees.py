@@ -225,6 +225,18 @@ def tree_result(kind: pa.Array, content: pa.Array) -> pa.Array:
     return pa.array(out, _RESULT)
 
 
+#: Bytes of an Arrow batch of documents.
+BATCH_BYTES = 16_000_000
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches are bounded in bytes; a session's own bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if docs.sparkSession.conf.get(key, None) is None:
+        docs.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def extract_tree(docs: DataFrame, kind: str, content: str = "content", *, report_parse_errors: bool = False) -> DataFrame:
     """Paths of csv, json, toml or tree documents: (doc_id, ordinal, value, path_type, line, column, context).
 
@@ -248,4 +260,4 @@ def extract_tree(docs: DataFrame, kind: str, content: str = "content", *, report
             arrays = [pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *arrays], names=["doc_id", *(n for n, _ in _FIELDS)])
 
-    return docs.select("doc_id", content).mapInArrow(run, schema)
+    return bounded(docs).select("doc_id", content).mapInArrow(run, schema)

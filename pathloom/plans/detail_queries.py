@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..functions import errors, formats
 from ..functions import paths as P
 from ..functions import predicates as Q
@@ -16,7 +17,7 @@ from ..operators.trees import extract_tree
 from ..sources import documents as sources
 from ..sources import sinks
 from . import engine
-from .queries import HTML_CTE, VARIANTS, html, pages, query, read, text, variants
+from .queries import AGO, BYTES, DURATION, HTML_CTE, VARIANTS, html, pages, query, read, text, variants
 
 
 def one_of(values: tuple, key: str | Column) -> Column:
@@ -357,8 +358,6 @@ def typed_urls(spark, sf_dir):
 
 # ---------------------------------------------------------------------- formats
 
-from .queries import AGO, BYTES, DURATION  # noqa: E402
-
 _BIG = "(event_id * event_id * 2 * (event_id % 7 * 100000 + 1) + 1)"
 
 
@@ -615,3 +614,38 @@ def metric_recent(spark, sf_dir):
 def metric_describe(spark, sf_dir):
     k = F.col("event_id")
     return read(spark, sf_dir, "events").select(k, metrics.describe(k * 101, k * 2000 + 1, k, k, k % 9, k % 4).alias("report"))
+
+
+# --------------------------------------------------------------- SQL and streams
+
+
+@query(f"""WITH {VARIANTS} SELECT page_id, k, norm AS normalized, lower(ext) AS extension, base AS basename, dir AS directory,
+  p LIKE '/%' OR regexp_matches(p, '^[A-Za-z]:[\\\\/]') AS absolute, CAST(len(list_filter(string_split(norm, '/'), lambda z: z <> '')) AS INTEGER) AS depth FROM x""")
+def sql_scalars(spark, sf_dir):
+    """The scalar functions as a SQL user calls them."""
+    sql.register(spark)
+    variants(spark, sf_dir).createOrReplaceTempView("pathloom_variants")
+    return spark.sql("""SELECT page_id, k, path_normalize(p) AS normalized, path_extension(p) AS extension, path_base_name(p) AS basename,
+      path_directory(p) AS directory, path_is_absolute(p) AS absolute, path_depth(p) AS depth FROM pathloom_variants""")
+
+
+@query("""SELECT event_id AS doc_id, v AS value FROM events, (SELECT unnest([0, 1]) AS i) CROSS JOIN LATERAL (SELECT CASE i WHEN 0 THEN './x' || event_id ELSE '/two/' || event_id END AS v)""")
+def sql_tables(spark, sf_dir):
+    """A table function over a column."""
+    sql.register(spark)
+    k = F.col("event_id")
+    read(spark, sf_dir, "events").select(k, text('{"a":"./x', k, '","b":["/two/', k, '","no"]}').alias("c")).createOrReplaceTempView("pathloom_trees")
+    return spark.sql("SELECT d.event_id AS doc_id, t.value FROM pathloom_trees d, LATERAL extract_json(d.c) t")
+
+
+@query(f"WITH {HTML_CTE} SELECT * FROM html")
+def stream_extract(spark, sf_dir):
+    """Pages as a stream of files, extracted to the end of what is there."""
+    from ..streaming.extract import stream_paths
+
+    path, docs = sinks.scratch(spark, "stream"), pages(spark, sf_dir).withColumn("language_id", F.lit("html"))
+    docs.repartition(3).write.parquet(f"{path}/in")
+    found = stream_paths(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in"))
+    run = found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out")

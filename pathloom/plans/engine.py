@@ -13,7 +13,7 @@ from ..operators.extract import NATIVE, explode_paths
 from ..operators.post import dedupe_first
 from ..operators.resolve import canonical
 from ..operators.settings import EngineConfig
-from ..operators.trees import tree_result
+from ..operators.trees import bounded, tree_result
 from ..schema import PATH_ARRAY
 
 #: The format of each language id.
@@ -104,7 +104,7 @@ def extract_documents(docs: DataFrame, *, report_parse_errors: bool = False, ded
     """
     kind = _extractor("language_id")
     parsed = kind.isin(*PARSED)
-    rows = docs.select(
+    rows = bounded(docs).select(
         "doc_id", "language_id", tree_result(kind, F.when(parsed, F.col("content"))).alias("_tree"),
         F.when(~parsed, F.col("content")).alias("_native"), parsed.alias("_parsed"),
     )

@@ -147,6 +147,19 @@ def test_sql_functions(spark):
     assert tuple(row) == ("a/b/c", True, 2, "XX")
 
 
+def test_every_sql_scalar_equals_its_expression(spark):
+    from pathloom.sql import SCALARS
+
+    register(spark)
+    texts = ["/a//b_c/D.tar.gz/", "C:\\x\\CON", "./a b", "https://h/x", "..\\y", "", "token=q /Users/me/x", ".env", None]
+    views = {"STRING": texts, "BIGINT": [0, 5000, 2**33 + 1, None], "DOUBLE": [0.125, 0.3, None]}
+    for kind, values in views.items():
+        spark.createDataFrame([(v,) for v in values], f"p {kind}").createOrReplaceTempView(f"some_{kind}")
+    for name, (kind, function) in SCALARS.items():
+        by_sql = [r[0] for r in spark.sql(f"SELECT {name}(p) FROM some_{kind}").collect()]
+        assert by_sql == [r[0] for r in spark.table(f"some_{kind}").select(function("p")).collect()], name
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
