@@ -52,6 +52,7 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     writer.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.pathloom_path = path
+    give_back()
     return back
 
 

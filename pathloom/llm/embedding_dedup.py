@@ -91,6 +91,13 @@ class Block:
         return float(angle(self.centre[None, :], other.centre[None, :])[0, 0]) > self.wide + other.wide + np.arccos(threshold) + _SLACK
 
 
+def cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray | None = None, j: np.ndarray | None = None) -> np.ndarray:
+    """Products of the unit rows i of one matrix and j of another, or of all rows, pair by pair."""
+    i, j = (np.arange(len(a)), np.arange(len(b))) if i is None else (i, j)
+    parts = [np.einsum("ij,ij->i", a[i[k : k + 65536]], b[j[k : k + 65536]]) for k in range(0, len(i), 65536)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def tile(one: Block, two: Block, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (in one, in two) of all linked pairs; in one block, each pair once."""
     product = one.codes @ two.codes.T
@@ -104,10 +111,10 @@ def tile(one: Block, two: Block, threshold: float) -> tuple[np.ndarray, np.ndarr
     i, j = i[near], j[near]
     if len(i) * 16 > one.n * two.n:
         exact = (one.units @ two.units.T)[i, j]
+        close = np.flatnonzero(np.abs(exact - threshold) < 1e-9)  # the same sums decide here as below
+        exact[close] = cosines(one.units[i[close]], two.units[j[close]])
     else:
-        exact = np.concatenate(
-            [np.einsum("ij,ij->i", one.units[i[a : a + 65536]], two.units[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)]
-        )
+        exact = cosines(one.units, two.units, i, j)
     return i[exact >= threshold], j[exact >= threshold]
 
 

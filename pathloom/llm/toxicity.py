@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_rows, materialize, release
+from .common import give_back, map_batches, map_rows, materialize, release
 
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 #: Texts whose cosines are found at once, and examples of a block.
@@ -85,13 +85,29 @@ class BlockMaxIndex:
         at = _ranges(first[self.order], lengths[self.order]) if self.size else np.zeros(0, dtype=np.int64)
         self.term, self.weight = term[at], weight[at]
         self.first = np.concatenate([[0], np.cumsum(lengths[self.order])]).astype(np.int64) if self.size else np.zeros(1, dtype=np.int64)
-        owner = np.repeat(np.arange(self.size), lengths[self.order]) if self.size else np.zeros(0, dtype=np.int64)
+        self.terms, self.block = terms, block
+        self._arrange()
+
+    def __getstate__(self) -> tuple:
+        """The vectors alone: the rest follows from them, and what is broadcast stays small."""
+        return self.terms, self.block, self.order, self.term, self.weight, self.first, self.column
+
+    def __setstate__(self, state: tuple) -> None:
+        self.terms, self.block, self.order, self.term, self.weight, self.first, self.column = state
+        self.size = len(self.order)
+        self._arrange()
+
+    def _arrange(self) -> None:
+        """The dense rows, the lists, and the largest weights of the blocks."""
+        terms, block = self.terms, self.block
+        owner = np.repeat(np.arange(self.size), np.diff(self.first))
         self.edges = np.append(np.arange(0, self.size, block), self.size)
-        self.blocks, self.block = len(self.edges) - 1, block
+        self.blocks = len(self.edges) - 1
         column = self.column[self.term]
-        self.dense = np.zeros((len(common), self.size), dtype=np.float32)
+        common = int(self.column.max(initial=-1)) + 1
+        self.dense = np.zeros((common, self.size), dtype=np.float32)
         self.dense[column[column >= 0], owner[column >= 0]] = self.weight[column >= 0]
-        self.dense_most = np.maximum.reduceat(self.dense, self.edges[:-1], axis=1) if self.size else np.zeros((len(common), 0), dtype=np.float32)
+        self.dense_most = np.maximum.reduceat(self.dense, self.edges[:-1], axis=1) if self.size else np.zeros((common, 0), dtype=np.float32)
         rest = np.flatnonzero(column < 0)
         rest = rest[np.lexsort((owner[rest], self.term[rest]))]
         self.owner, self.light, light_term = owner[rest].astype(np.int32), self.weight[rest].astype(np.float32), self.term[rest].astype(np.int64)
@@ -105,6 +121,12 @@ class BlockMaxIndex:
         self.query = np.zeros(terms)
         self.visited = self.possible = 0
 
+    def resting(self) -> BlockMaxIndex:
+        """The index as it is broadcast; it wakes where it is read."""
+        for name in ("dense", "dense_most", "owner", "light", "posting", "postings", "most", "at_block", "entry", "query"):
+            setattr(self, name, None)
+        return self
+
     def _similar(self, term: np.ndarray, weight: np.ndarray, lengths: np.ndarray, columns: int, block: int) -> np.ndarray:
         """The examples in an order that puts similar ones together: halves by the main direction, again and again."""
         owner, column = np.repeat(np.arange(self.size), lengths), self.column[term]
@@ -303,7 +325,8 @@ def train(
     cross = a * (all0 - b) - b * (all1 - a)
     chi2 = F.try_divide(total * cross * cross, F.lit(float(all1)) * all0 * (a + b) * (total - a - b))
     table = held.select("term", F.when(a + b >= 5, F.coalesce(chi2, F.lit(0.0))).otherwise(0.0).alias("chi2")).toArrow().sort_by("term")
-    terms, strength = table.column("term").to_pylist(), 1 + table.column("chi2").to_numpy()
+    terms, strength = table.column("term").to_pylist(), 1 + table.column("chi2").to_numpy().copy()
+    del table
     shared = spark.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,6 +344,7 @@ def train(
     df = np.zeros(len(terms) + 1)
     seen = map_batches(docs.select("text"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
+    del seen
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def bags():
@@ -332,13 +356,18 @@ def train(
 
         return work
 
-    bagged = map_rows(sample, bags, "doc_id long, toxic int, terms array<long>, times array<long>").toArrow()
+    bagged = map_rows(sample, bags, "doc_id long, toxic int, terms array<int>, times array<int>").toArrow()
     columns = (bagged.column(name) for name in ("doc_id", "toxic", "terms", "times"))
-    rows = [(i.as_py(), y.as_py(), t.values.to_numpy(), n.values.to_numpy()) for i, y, t, n in zip(*columns, strict=True)]
+    rows = [(i.as_py(), y.as_py(), t.values.to_numpy().astype(np.int32), n.values.to_numpy().astype(np.int32)) for i, y, t, n in zip(*columns, strict=True)]
+    del bagged, columns
     rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
     shared.unpersist()
     release(ids, found, sample)
-    return _fit(rows, terms, idf * strength, counts, (all0, all1), k)
+    give_back()
+    model = _fit(rows, terms, idf * strength, counts, (all0, all1), k)
+    del rows
+    give_back()
+    return model
 
 
 def _of_labels(rows: DataFrame) -> dict[int, int]:
@@ -359,6 +388,7 @@ def _fit(rows: list, terms: list[bytes], weight: np.ndarray, counts: dict, sizes
     vectors = [model.unit(r[2], r[3]) for r in used]
     model.index = BlockMaxIndex(vectors, len(terms))
     found = model.index.all_nearest(vectors, k, list(range(len(used))))
+    model.index.resting()
     raw = [model.raw(*f) for f in found]
     blank = [r for r in rows if not len(r[2])]
     raw += [prior] * len(blank)

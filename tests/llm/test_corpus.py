@@ -5,8 +5,10 @@ import random
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -496,6 +498,29 @@ def test_block_max_index_is_exact(block):
     assert len(toxicity.BlockMaxIndex([], 3).nearest(np.array([1]), np.array([1.0]), 5)[0]) == 0
 
 
+def test_neighbours_of_real_texts_equal_brute_force():
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("the tables are not here")
+    texts = pq.read_table(path, columns=["text"]).column("text").to_pylist()[:700]
+    terms = sorted({w for t in texts[:500] for w in toxicity.words_of(t)})
+    count, held = toxicity.TermCounter(terms), Counter(w for t in texts for w in set(toxicity.words_of(t)))
+    weight = np.array([math.log(701 / (1 + held[t])) + 1 for t in terms])
+    model = toxicity.ToxicityModel(terms, weight, np.arange(500), np.zeros(500), np.ones(500), None, 0.1, 15)
+    vectors = [model.unit(*count.arrays(t)) for t in texts]
+    index = toxicity.BlockMaxIndex(vectors[:500], len(terms))
+    dense = np.zeros((500, len(terms)))
+    for row, (t, w) in zip(dense, vectors, strict=False):
+        row[t] = w
+    for (t, w), (numbers, cosines) in zip(vectors, index.all_nearest(vectors, 15), strict=True):
+        cosine = dense[:, t] @ w
+        want = sorted((-round(float(c), 12), i) for i, c in enumerate(cosine) if c > 0)[:15]
+        assert np.allclose(cosines, [-c for c, _ in want], atol=1e-10)
+        clear = [k for k in range(len(want)) if sum(abs(want[k][0] - c) < 1e-9 for c, _ in want) == 1 and k < 14]
+        assert [numbers[k] for k in clear] == [want[k][1] for k in clear]
+    assert index.visited < index.possible
+
+
 def test_terms_are_counted_alike():
     draw = random.Random(3)
     texts = ["".join(draw.choice(["ab", "abc", "d", "efgh", " ", ".", "É", "\n", "1"]) for _ in range(draw.randint(0, 40))) for _ in range(400)] + [None]
