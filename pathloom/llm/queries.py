@@ -113,11 +113,17 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_order_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import order_sketch
+
+    return order_sketch.edited_neighbours(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_lines, op5_language, op6_mixing, op7_binary, op8_embeddings, op9_quality, op10_language_model, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_lines, op5_language, op6_mixing, op7_binary, op8_embeddings, op9_quality, op10_language_model, op11_order_sketch, pipeline)}
 ORACLES: dict[str, str] = {"op4_lines": OP4_SQL}
