@@ -119,11 +119,46 @@ def op11_order_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_sketch.edited_neighbours(read(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import centroids
+
+    found = centroids.cluster(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op13_sql(rounds: int = 3) -> str:
+    """Every vector against every centroid, round by round, in whole numbers."""
+    assign = """SELECT vec_id, x, list_min(list_transform(cs, lambda c: {{'d': list_sum(list_transform(list_zip(x, c.x),
+      lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'k': c.k}})) AS best FROM kept, (SELECT list(c{0}) AS cs FROM c{0})"""
+    parts = [
+        """kept AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64)""",
+        """c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM kept
+    WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 16))""",
+    ]
+    for i in range(rounds):
+        parts.append(f"a{i} AS (SELECT vec_id, x, best.k AS k FROM ({assign.format(i)}))")
+        parts.append(f"""s{i} AS (SELECT k, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY k, i)""")
+        parts.append(f"""m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{i} GROUP BY k)""")
+        parts.append(f"c{i + 1} AS (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON c.k = m.k)")
+    parts.append(f"done AS (SELECT vec_id, best.k AS k, best.d AS d FROM ({assign.format(rounds)}))")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, done.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY done.k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM done JOIN c{rounds} c ON c.k = done.k"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_lines, op5_language, op6_mixing, op7_binary, op8_embeddings, op9_quality, op10_language_model, op11_order_sketch, pipeline)}
-ORACLES: dict[str, str] = {"op4_lines": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_lines, op5_language, op6_mixing, op7_binary, op8_embeddings, op9_quality, op10_language_model, op11_order_sketch, op12_whitening, op13_centroids, pipeline)}
+ORACLES: dict[str, str] = {"op4_lines": OP4_SQL, "op13_centroids": _op13_sql()}
