@@ -82,24 +82,33 @@ def sums_before(numbers: Column) -> Column:
 def matches(line: Column, pattern: str, groups: list[int]) -> Column:
     """All matches of ``pattern``: array of (text, g0.., column), column 1-based in code units.
 
-    Spark gives the matched texts but no offsets. The line split at the same pattern
-    gives what lies between them, so a match begins after all gaps and texts before
-    it. Groups come from the text alone, which is the same for a pattern without
+    Spark gives the matched texts but no offsets. A sole match begins where its text first
+    occurs: were that before the match, the pattern would have matched there. With more of them
+    the line split at the same pattern gives what lies between, so a match begins after all gaps
+    and texts before it. Groups come from the text alone, which is the same for a pattern without
     look-around.
     """
-    plain = F.octet_length(line) == F.length(line)
+    groups_of = lambda t: (F.regexp_extract(t, pattern, g).alias(f"g{i}") for i, g in enumerate(groups))
+    found = lambda t, at: F.struct(t.alias("text"), *groups_of(t), at.alias("column"))
 
-    def located(parts: Column) -> Column:
+    def sole(texts: Column) -> Column:
+        text = F.get(texts, F.lit(0))
+        return F.array(let(F.instr(line, text), lambda at: found(text, F.when(F.octet_length(line) == F.length(line), at).otherwise(utf16_length(F.left(line, at - 1)) + 1))))
+
+    def several(parts: Column) -> Column:
         units = lambda x: F.when(parts["plain"], F.length(x)).otherwise(utf16_length(x))
         gaps = F.transform(F.slice(parts["gaps"], F.lit(1), F.size(parts["texts"])), units)
 
         def placed(gap: Column) -> Column:
             before = sums_before(F.zip_with(gap, parts["texts"], lambda g, t: g + units(t)))
             at = F.zip_with(gap, before, lambda g, b: g + b + 1)
-            groups_of = lambda t: (F.regexp_extract(t, pattern, g).alias(f"g{i}") for i, g in enumerate(groups))
-            return F.zip_with(parts["texts"], at, lambda t, c: F.struct(t.alias("text"), *groups_of(t), c.alias("column")))
+            return F.zip_with(parts["texts"], at, found)
 
         return let(gaps, placed)
 
-    texts = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    return let(F.struct(texts.alias("texts"), F.split(line, pattern, -1).alias("gaps"), plain.alias("plain")), located)
+    def located(texts: Column) -> Column:
+        split = F.struct(texts.alias("texts"), F.split(line, pattern, -1).alias("gaps"), (F.octet_length(line) == F.length(line)).alias("plain"))
+        return F.when(F.size(texts) == 1, sole(texts)).when(F.size(texts) > 1, let(split, several))
+
+    none = F.struct(F.lit("").alias("text"), *(F.lit("").alias(f"g{i}") for i in range(len(groups))), F.lit(0).alias("column"))
+    return F.coalesce(let(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), located), F.filter(F.array(none), lambda x: F.lit(False)))

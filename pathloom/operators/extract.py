@@ -118,8 +118,11 @@ NATIVE: dict[str, Callable[[Column | str], Column]] = {"html": html_paths, "css"
 
 
 def explode_paths(docs: DataFrame, paths: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row a path: (*keep, ordinal, value, path_type, line, column, context)."""
-    rows = docs.select(*keep, F.posexplode(paths).alias("ordinal", "_path"))
+    """One row a path: (*keep, ordinal, value, path_type, line, column, context).
+
+    An outer explode: for an inner one Spark tests the array's size before, and extracts twice.
+    """
+    rows = docs.select(*keep, F.posexplode_outer(paths).alias("ordinal", "_path")).filter(F.col("ordinal").isNotNull())
     return rows.select(*keep, "ordinal", "_path.*")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, trim, utf16_length
+from ..functions.text import let, lines, trim, utf16_length
 
 
 def trimmed_lines(docs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -26,6 +26,34 @@ def dedupe_first(values: DataFrame, by: tuple[str, ...] = ("doc_id",), value: st
     return kept.select(*by, value, *(F.col(f"_first.{c}").alias(c) for c in others)).select(*values.columns)
 
 
+def numbered(paths: str) -> Column:
+    """The paths of an array as (ordinal, path)."""
+    return F.transform(paths, lambda p, i: F.struct(i.alias("ordinal"), p.alias("path")))
+
+
+def first_in_array(paths: str) -> Column:
+    """(ordinal, path) of the first of equal values of a document's array of paths, in order; nothing leaves the row.
+
+    Equal values lie next to each other once the array is sorted, so this costs a sort and not a comparison of all pairs.
+    """
+    keyed = F.array_sort(F.transform(paths, lambda p, i: F.struct(p["value"].alias("value"), i.alias("ordinal"), p.alias("path"))))
+    firsts = let(keyed, lambda rows: F.filter(rows, lambda x, i: (i == 0) | (F.get(rows, i - 1)["value"] != x["value"])))
+    return F.array_sort(F.transform(firsts, lambda x: F.struct(x["ordinal"].alias("ordinal"), x["path"].alias("path"))))
+
+
+def ranked_in_array(paths: str, mode: str) -> Column:
+    """(rank, ordinal, path) of a document's array of paths in one of the four orders; nothing leaves the row.
+
+    Descending orders are ascending ones reversed, with ordinals negated, so that equal keys stay in order.
+    """
+    down = mode.endswith("-desc")
+    key = lambda p: F.collate(p["value"], "UNICODE") if mode.startswith("alpha") else utf16_length(p["value"])
+    place = lambda i: -i if down else i
+    rows = F.array_sort(F.transform(paths, lambda p, i: F.struct(key(p).alias("key"), place(i).alias("place"), i.alias("ordinal"), p.alias("path"))))
+    rows = F.reverse(rows) if down else rows
+    return F.transform(rows, lambda x, i: F.struct((i + 1).alias("rank"), x["ordinal"].alias("ordinal"), x["path"].alias("path")))
+
+
 def removed_counts(docs: DataFrame, content: str = "content") -> DataFrame:
     """(doc_id, total, kept, removed): lines before and after deduplication; blank lines count as removed."""
     every = F.transform(lines(content), lambda x: trim(x))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import normalize, posix_resolve, resolve
 from ..functions.predicates import is_absolute_path
 from ..functions.text import trim
+from .links import canonical_links
 
 #: Workspace roots up to which they are compared with every path; beyond, prefixes are joined.
 _FEW_FOLDERS = 1000
@@ -96,22 +97,30 @@ def resolve_monorepo(paths: DataFrame, folders: DataFrame, value: str = "value",
 
 
 def canonical(
-    paths: DataFrame, *, folders: DataFrame | None = None, links: DataFrame | None = None, value: str = "value", at: str = "value", **options
-) -> DataFrame:
+    paths: DataFrame, *, folders: DataFrame | None = None, links: DataFrame | None = None, value: str = "value", at: str = "value",
+    parents: bool = False, **options,
+) -> DataFrame:
     """Adds resolved and fallback to extracted paths.
 
     ``folders``: workspace folders, found by the column ``at``. ``links`` (path,
     real_path): the link inventory. A path whose link has no known target keeps its
     value and is a fallback; no folders on a file system, no links are followed.
+    ``parents``: links on the folders of a path are followed too, and links of links; what
+    leads to a loop or to a link without target is a fallback. ``real_path`` is then where
+    the link itself points, from its own folder if relative.
     """
     rows, kept = paths, paths.columns
     virtual = False
     if folders is not None:
         virtual = bool(is_virtual(folders).first()["virtual"])
         rows = containing_folder(rows, folders, at).withColumnRenamed("folder", "_folder")
-    rows = resolve_paths(rows, value=value, folder="_folder" if folders is not None else None, entries=links, virtual=virtual, **options)
+    whole_paths = None if parents else links
+    rows = resolve_paths(rows, value=value, folder="_folder" if folders is not None else None, entries=whole_paths, virtual=virtual, **options)
     fallback = F.lit(False)
-    if links is not None and not virtual:
+    if parents and links is not None and not virtual:
+        rows = canonical_links(rows.withColumnRenamed("resolved", "_plain"), links, "_plain", target="real_path")
+        fallback = F.col("fallback")
+    elif links is not None and not virtual:
         whole = links.groupBy(F.col("path").alias("_link")).agg(F.max("real_path").alias("_target")).filter("_target is null").select("_link")
         rows = rows.join(small_to_all(whole), F.col("resolved") == F.col("_link"), "left")
         fallback = F.col("_link").isNotNull()

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import column
 from ..operators.admission import admit
-from ..operators.extract import NATIVE, explode_paths
-from ..operators.post import dedupe_first
+from ..operators.extract import NATIVE
+from ..operators.post import first_in_array, numbered
 from ..operators.resolve import canonical
 from ..operators.settings import EngineConfig
 from ..operators.trees import bounded, tree_result
@@ -56,11 +56,18 @@ class Extraction:
 
     documents: DataFrame
     dedupe: bool = False
+    keep: tuple[str, ...] = ()
 
     @property
     def paths(self) -> DataFrame:
-        rows = explode_paths(self.documents, F.col("paths"))
-        return dedupe_first(rows) if self.dedupe else rows
+        return self.placed.drop(*self.keep)
+
+    @property
+    def placed(self) -> DataFrame:
+        """``paths`` with the columns that were kept of their documents. Duplicates go inside their document's array."""
+        every = first_in_array("paths") if self.dedupe else numbered("paths")
+        rows = self.documents.select("doc_id", *self.keep, F.explode_outer(every).alias("_each")).filter(F.col("_each").isNotNull())
+        return rows.select("doc_id", *self.keep, "_each.ordinal", "_each.path.*")
 
     @property
     def errors(self) -> DataFrame:
@@ -94,44 +101,47 @@ def _parse_error(message: Column) -> Column:
     )
 
 
-def extract_documents(docs: DataFrame, *, report_parse_errors: bool = False, dedupe: bool = False) -> Extraction:
+def extract_documents(docs: DataFrame, *, report_parse_errors: bool = False, dedupe: bool = False, keep: tuple[str, ...] = ()) -> Extraction:
     """Extract from (doc_id, language_id, content) in one pass.
 
     Native formats are expressions; the texts of the others, and only those, go through
     one Arrow function. ``errors`` has the unsupported documents, and the unparsable
     ones if ``report_parse_errors``; without it those succeed with no paths. With
-    ``dedupe`` a document's paths keep the first of equal values.
+    ``dedupe`` a document's paths keep the first of equal values. ``keep``: columns of
+    ``docs`` that come along (see ``Extraction.placed``).
     """
     kind = _extractor("language_id")
     parsed = kind.isin(*PARSED)
     rows = bounded(docs).select(
-        "doc_id", "language_id", tree_result(kind, F.when(parsed, F.col("content"))).alias("_tree"),
+        "doc_id", *(f"`{c}`" for c in keep), "language_id", tree_result(kind, F.when(parsed, F.col("content"))).alias("_tree"),
         F.when(~parsed, F.col("content")).alias("_native"), parsed.alias("_parsed"),
     )
     failed = F.when(F.lit(report_parse_errors) & F.col("_parsed") & F.col("_tree.message").isNotNull(), _parse_error(F.col("_tree.message")))
     error = F.when(file_format("language_id") == "unknown", unsupported_error("language_id")).otherwise(failed)
     paths = F.when(F.col("_parsed"), F.col("_tree.paths")).otherwise(native_paths("language_id", "_native"))
-    out = rows.select("doc_id", paths.alias("paths"), error.alias("error"))
-    return Extraction(out.select("doc_id", F.col("error").isNull().alias("success"), "paths", "error"), dedupe)
+    kept = ["doc_id", *(f"`{c}`" for c in keep)]
+    out = rows.select(*kept, paths.alias("paths"), error.alias("error"))
+    return Extraction(out.select(*kept, F.col("error").isNull().alias("success"), "paths", "error"), dedupe, keep)
 
 
 def extract_with(
-    docs: DataFrame, config: EngineConfig, *, folders: DataFrame | None = None, links: DataFrame | None = None, sources: str | None = None
-) -> tuple[Extraction, DataFrame]:
+    docs: DataFrame, config: EngineConfig, *, folders: DataFrame | None = None, links: DataFrame | None = None, sources: str | None = None,
+    parents: bool = False,
+) -> tuple[Extraction, DataFrame]:
     """(extraction, resolved paths) of documents as a configuration asks for.
 
     With ``safety_enabled`` documents above the size limit are not read. Parse errors
     and duplicates follow ``show_parse_errors`` and ``dedupe_enabled``. Paths are
     resolved if ``folders`` or ``links`` are given (see ``resolve.canonical``), else
     ``resolved`` is the path as it stands. ``sources``: a column of ``docs`` with the
-    place of each document, by which its workspace folder is found.
+    place of each document, by which its workspace folder is found; it travels with the
+    paths. ``parents``: links on folders and links of links are followed too.
     """
     admitted = admit(docs, max_units=config.safety_file_size_warn_bytes, max_lines=config.safety_large_output_lines_threshold) if config.safety_enabled else docs
-    found = extract_documents(admitted, report_parse_errors=config.show_parse_errors, dedupe=config.dedupe_enabled)
+    keep = (sources,) if sources else ()
+    found = extract_documents(admitted, report_parse_errors=config.show_parse_errors, dedupe=config.dedupe_enabled, keep=keep)
     if folders is None and links is None:
         return found, found.paths.withColumn("resolved", F.col("value"))
-    rows = found.paths
-    if sources:
-        rows = rows.join(docs.select("doc_id", F.col(sources).alias("_source")), "doc_id", "left")
-    resolved = canonical(rows, folders=folders, links=links, at="_source" if sources else "value")
+    rows = found.placed.withColumnRenamed(sources, "_source") if sources else found.paths
+    resolved = canonical(rows, folders=folders, links=links, at="_source" if sources else "value", parents=parents)
     return found, resolved.drop("_source")

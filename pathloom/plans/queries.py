@@ -42,7 +42,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.from_table(read(spark, sf_dir, "pages"), "html", doc_id="page_id", language_id="html", uri="url")
+    return sources.from_table(read(spark, sf_dir, "pages"), "html", doc_id="page_id", language_id=F.lit("html"), uri="url")
 
 
 def html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,12 +399,13 @@ def format_functions(spark, sf_dir):
 
 @query(f"WITH {HTML_CTE} SELECT doc_id, min(ordinal) AS ordinal, value FROM html GROUP BY doc_id, value")
 def dedupe_first(spark, sf_dir):
-    return post.dedupe_first(html(spark, sf_dir).select("doc_id", "ordinal", "value"))
+    return engine.extract_documents(pages(spark, sf_dir), dedupe=True).paths.select("doc_id", "ordinal", "value")
 
 
 def _sorted(mode: str, keys: str) -> None:
     def run(spark, sf_dir):
-        return post.ranked(html(spark, sf_dir).select("doc_id", "ordinal", "value"), mode)
+        docs = engine.extract_documents(pages(spark, sf_dir)).documents.select("doc_id", F.explode_outer(post.ranked_in_array("paths", mode)).alias("_each"))
+        return docs.filter("_each is not null").select("doc_id", "_each.ordinal", "_each.path.value", "_each.rank")
 
     run.__name__ = "sort_" + mode.replace("-", "_")
     query(f"WITH {HTML_CTE} SELECT doc_id, ordinal, value, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {keys}, ordinal) AS INTEGER) AS rank FROM html")(run)

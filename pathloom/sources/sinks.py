@@ -22,6 +22,18 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out and kept as a checkpoint in the shared folder, so that rounds don't repeat each other's work.
+
+    Spark deletes checkpoints that nothing refers to any more, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(shared or scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def write_text(paths: DataFrame, target: str, *, mode: str = "errorifexists", value: str = "value") -> None:
     """Values, one a line, in order of document and emission; mode ``overwrite`` replaces."""
     paths.orderBy("doc_id", "ordinal").select(value).write.mode(mode).text(target)

@@ -171,3 +171,71 @@ def test_recent_lines(spark):
     rows = spark.createDataFrame([(i, 1000 * i, 1024, 10) for i in range(15)], "t int, duration long, memory_usage long, throughput long")
     got = [r["line"] for r in metrics.recent_lines(rows, "t", 3).orderBy("place").collect()]
     assert got == [f"{k}. Duration: {s}.00s, Memory: 1 KB, Throughput: 10 items/s" for k, s in ((1, 12), (2, 13), (3, 14))]
+
+
+def test_links_of_links_on_folders_and_loops(spark):
+    from pathloom.operators import links
+
+    chain = [(f"/c/n{i}", f"n{i + 1}") for i in range(12)]
+    table = [
+        *chain, ("/w/site", "/c/n0"), ("/c/n12/lib", "../../opt/lib"), ("/a", "/b"), ("/b", "/a"), ("/self", "/self/x"), ("/dead", None), ("/to-dead", "dead/x"), ("/root", "/"),
+        ("/two", "/x"), ("/two", "/y"), (None, "/z"), ("relative", "/z"), ("/w//odd/", "\\c\\n11"), ("/opt/lib/v", "/opt/v2"),
+    ]
+    inventory = spark.createDataFrame(table, "path string, target string").withColumn("at", F.lit(1)).withColumn("real", F.lit("x"))
+    closed = {r["path"]: (r["real"], r["follows"]) for r in links.close_links(inventory).collect()}
+    assert closed["/c/n0"] == ("/c/n12", 12) and closed["/w/site"] == ("/c/n12", 13) and closed["/w/odd"] == ("/c/n12", 2)
+    assert closed["/a"] == (None, 41) and closed["/self"] == (None, 41) and closed["/dead"][0] is None and closed["/to-dead"][0] is None
+    assert closed["/c/n12/lib"] == ("/opt/lib", 1) and closed["/two"] == ("/x", 1) and len(closed) == 23
+    values = ["/w/site/lib/v/z.js", "/w/site", "/w/sites", "/a/x", "/dead", "/root/etc", "/root", "/plain//p/", "./up", None, "", "/c/n12/x", "/c/n12/x"]
+    paths = spark.createDataFrame(list(enumerate(values)), "i int, value string").withColumn("follows_", F.lit(0)).withColumn("_key", F.lit(1))
+    got = {r["i"]: (r["resolved"], r["follows"], r["fallback"]) for r in links.canonical_links(paths, inventory).collect()}
+    assert got[0] == ("/opt/v2/z.js", 15, False) and got[1] == ("/c/n12", 13, False) and got[2] == ("/w/sites", 0, False)
+    assert got[3] == ("/a/x", 41, True) and got[4][::2] == ("/dead", True) and got[5] == ("/etc", 1, False) and got[6] == ("/", 1, False)
+    assert got[7] == ("/plain/p", 0, False) and got[8] == ("./up", 0, False) and got[9] == (None, 0, False) and got[11] == got[12] == ("/c/n12/x", 0, False)
+    assert links.close_links(inventory.filter("false")).count() == 0 and links.canonical_links(paths, inventory.filter("false")).filter("fallback").count() == 0
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    from pathloom.operators import links
+
+    rounds = []
+    step = links._step
+    monkeypatch.setattr(links, "_step", lambda *a: rounds.append(1) or step(*a))
+    for length, most in ((4, 4), (32, 7)):
+        inventory = spark.createDataFrame([(f"/n{i}", f"n{i + 1}") for i in range(length)], "path string, target string")
+        rounds.clear()
+        assert {r["real"] for r in links.close_links(inventory).collect()} == {f"/n{length}"} and len(rounds) <= most
+
+
+def test_canonical_follows_links_on_folders(spark):
+    from pathloom.operators.resolve import canonical
+
+    folders = spark.createDataFrame([(0, "w", "/w", "file")], "folder_index int, name string, fs_path string, scheme string")
+    inventory = spark.createDataFrame([("/w/lib", "../shared/lib"), ("/w/loop", "loop"), ("/shared/lib/x", "y")], "path string, real_path string")
+    paths = spark.createDataFrame([(0, "./lib/x/a.js"), (1, "loop/a.js"), (2, "https://x/lib"), (3, "plain.js")], "i int, value string")
+    got = {r["i"]: (r["resolved"], r["fallback"]) for r in canonical(paths, folders=folders, links=inventory, parents=True).collect()}
+    assert got == {0: ("/shared/lib/y/a.js", False), 1: ("loop/a.js", True), 2: ("https://x/lib", False), 3: ("/w/plain.js", False)}
+
+
+def test_dedupe_and_sorts_stay_in_their_rows(spark):
+    from pathloom.operators import post
+    from pathloom.plans.engine import extract_documents
+
+    docs = spark.createDataFrame([(1, "html", '<a href="./b"><a href="./a"><a href="./b"><a href="./B"><a href="./aa">'), (2, "html", None)], "doc_id long, language_id string, content string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = extract_documents(docs, dedupe=True)
+    assert "Exchange" not in plan(found.paths) and [(r["ordinal"], r["value"]) for r in found.paths.collect()] == [(0, "./b"), (1, "./a"), (3, "./B"), (4, "./aa")]
+    every = extract_documents(docs).documents
+    for mode, want in {"alpha-asc": [1, 4, 0, 2, 3], "alpha-desc": [3, 0, 2, 4, 1], "length-asc": [0, 1, 2, 3, 4], "length-desc": [4, 0, 1, 2, 3]}.items():
+        ranked = every.select("doc_id", F.explode(post.ranked_in_array("paths", mode)).alias("x")).select("x.*")
+        assert "Exchange" not in plan(ranked) and [r["ordinal"] for r in ranked.orderBy("rank").collect()] == want
+
+
+def test_places_of_documents_travel_with_their_paths(spark):
+    from pathloom.operators.settings import EngineConfig
+    from pathloom.plans.engine import extract_with
+
+    docs = spark.createDataFrame([(1, "html", '<a href="x.js">', "/w/a"), (1, "html", '<a href="y.js">', "/w/b")], "doc_id long, language_id string, content string, uri string")
+    folders = spark.createDataFrame([(0, "a", "/w/a", "file"), (1, "b", "/w/b", "file")], "folder_index int, name string, fs_path string, scheme string")
+    rows = extract_with(docs, EngineConfig(), folders=folders, sources="uri")[1]
+    assert sorted(r["resolved"] for r in rows.collect()) == ["/w/a/x.js", "/w/b/y.js"]  # rows that share an id are not multiplied

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from pathloom.plans import detail_queries  # noqa: F401  registers its queries
+from pathloom.plans import detail_queries, scale_queries  # noqa: F401  register their queries
 from pathloom.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
