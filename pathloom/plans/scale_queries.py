@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import links
+from ..streaming import extract as streams
 from ..sources import pieces, sinks
-from .queries import query, read, text
+from .detail_queries import _carried
+from .queries import _LANGS, _mixed, query, read, text
 
 # ------------------------------------------------------------------------ links
 
@@ -95,3 +97,39 @@ def csv_pieces(spark, sf_dir):
     path = _in_files(rows, "k", "csv-pieces", ".csv")
     found = pieces.extract_csv_files(spark, path).join(F.broadcast(_file_numbers(spark, path)), "doc_id")
     return found.select("f", "ordinal", "value", "line", "column")
+
+
+# ----------------------------------------------------------------------- streams
+
+
+@query(f"""SELECT CAST(r_regionkey * 100 + i AS BIGINT) AS doc_id, l NOT IN ('yaml', 'ini') AS success, CAST(CASE WHEN l IN ('yaml', 'ini') THEN 0 ELSE 1 END AS BIGINT) AS n_paths,
+  CASE WHEN l IN ('yaml', 'ini') THEN 'format' END AS category FROM region, {_LANGS}
+  UNION ALL SELECT CAST(100000 + n_nationkey * 10 + i AS BIGINT), i = 0, CASE i WHEN 0 THEN 3 ELSE 0 END, CASE i WHEN 1 THEN 'parsing' WHEN 2 THEN 'format' END
+  FROM nation, (SELECT unnest([0, 1, 2]) AS i)""")
+def stream_mixed(spark, sf_dir):
+    """Documents of all formats as a stream of files, with their errors, to the end of what is there."""
+    docs = _mixed(spark, sf_dir).unionByName(_carried(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 100_000))
+    path = sinks.scratch(spark, "stream-mixed")
+    docs.repartition(3).write.parquet(f"{path}/in")
+    found = streams.stream_documents(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")).documents
+    run = found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+    run.awaitTermination()
+    back = spark.read.schema(found.schema).parquet(f"{path}/out")
+    return back.select("doc_id", "success", F.size("paths").cast("long").alias("n_paths"), F.col("error.category").alias("category"))
+
+
+@query("""SELECT CAST(n_nationkey % 5 AS VARCHAR) AS source, count(*) * 3 AS documents, count(*) * 3 AS paths, count(*) * 2 AS failed, count(*) * 3 AS relative FROM nation GROUP BY 1""")
+def stream_profiles(spark, sf_dir):
+    """Running profiles of sources over a stream that ends and, with more files, begins again from its state."""
+    docs = _carried(spark, sf_dir).withColumn("source", F.floor(F.col("doc_id") / 10) % 5)
+    path = sinks.scratch(spark, "stream-profiles")
+    for part in range(2):
+        docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part).repartition(2).write.mode("append").parquet(f"{path}/in")
+        found = streams.running_profiles(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in"))
+        run = found.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(
+            lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")
+        )
+        run.trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.parquet(f"{path}/out")
+    last = seen.groupBy("source").agg(F.max_by(F.struct("documents", "paths", "failed", F.col("by_type")["relative"].alias("relative")), "batch").alias("p"))
+    return last.select("source", "p.*")
