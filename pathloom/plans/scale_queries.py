@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import links
+from ..operators import links, variants
 from ..streaming import extract as streams
 from ..sources import pieces, sinks
 from .detail_queries import _carried
-from .queries import _LANGS, _mixed, query, read, text
+from .queries import _LANGS, _event_tree, _mixed, query, read, text
 
 # ------------------------------------------------------------------------ links
 
@@ -133,3 +133,20 @@ def stream_profiles(spark, sf_dir):
     seen = spark.read.parquet(f"{path}/out")
     last = seen.groupBy("source").agg(F.max_by(F.struct("documents", "paths", "failed", F.col("by_type")["relative"].alias("relative")), "batch").alias("p"))
     return last.select("source", "p.*")
+
+
+# ------------------------------------------------------------------ JSON, no order
+
+_TREE = """(SELECT event_id AS doc_id, 'one' || event_id || '.txt' AS value, 'file' AS path_type, 'JSON 1.[0]' AS context FROM events
+  UNION ALL SELECT event_id, '/two' || event_id, 'absolute', 'JSON 2' FROM events UNION ALL SELECT event_id, './x' || event_id, 'relative', 'JSON b' FROM events
+  UNION ALL SELECT event_id, '../last' || event_id, 'relative', 'JSON d' FROM events)"""
+
+
+@query(f"SELECT * FROM {_TREE}")
+def json_any_order(spark, sf_dir):
+    return variants.json_paths(_event_tree(spark, sf_dir))
+
+
+@query(f"SELECT path_type, context, count(*) AS count, count(DISTINCT value) AS distinct_values FROM {_TREE} GROUP BY ALL")
+def json_type_counts(spark, sf_dir):
+    return json_any_order(spark, sf_dir).groupBy("path_type", "context").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("value").alias("distinct_values"))

@@ -170,3 +170,22 @@ def test_half_characters_do_not_stop_a_job(spark):
         assert {r["value"] for r in extract_tree(docs, kind).collect()} == {"./x\ufffd/y.txt", "./\U0001f600", "/ok"}
     checked = settings.validate_settings(spark.createDataFrame([(1, text)], "doc_id long, content string")).first()
     assert checked["errors"][0] == 'Unknown setting: "a\ufffd"'
+
+
+def test_json_without_order_equals_the_ordered_walk(spark):
+    from collections import Counter
+
+    from pathloom.operators import variants
+    from pathloom.operators.trees import extract_tree
+
+    texts = [
+        '{"b":"./x","a":{"c":["1","/y.z",[["http://h/p.q"]]],"d":"q"},"b":"./zz","n":null,"e":[],"":"./empty","x.y":"../k"}', "bad", '"./root.x"', None, " \n", "[NaN]", '["./a.bc"] x',
+        '{"a":"./ab"} // c', "['./ab.cd']", '["./ab.cd",]', '{"10":"./a.bcd","9":"./b.bcd"}', "[1e400, \"./big\"]", '"./a.bc","end":1', '"./a.bc"} x', '"./a.bc"],["./b.cd"', '{"k":"/half\\ud800.ab"}',
+        '{"k":"/pair\\ud83d\\ude00.ab"}', '{"k":"/back\\\\ud800.ab"}', '{"k":"/low\\udc00x.ab"}', '[01, "./ab.cd"]', '\ufeff["./ab.cd"]', "[" * 60 + '"./deep"' + "]" * 60, '["tab\there/ab.cd"]', '"C:\\\\dir\\\\f.txt"',
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").withColumn("value", F.lit(1)).withColumn("_at", F.lit("x"))
+    want = Counter((r["doc_id"], r["value"], r["path_type"], r["context"]) for r in extract_tree(docs, "json").collect())
+    found = variants.json_paths(docs.select("doc_id", "content"))
+    assert Counter(map(tuple, found.collect())) == want and len(want) > 12
+    assert "Python" not in variants.json_paths(docs)._jdf.queryExecution().executedPlan().toString()
+    assert variants.json_paths(docs.filter("false")).count() == 0
