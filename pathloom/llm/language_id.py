@@ -78,21 +78,23 @@ def fit(bits: np.ndarray, labels: list[str], *, landmarks: int = 192, ridge: flo
 
 
 def train(
-    docs: DataFrame, training: Column, *, max_rows: int = 4000, max_languages: int = 400, seed: int = 5, landmarks: int = 192
+    docs: DataFrame, training: Column, *, max_rows: int = 4000, seed: int = 5, landmarks: int = 192
 ) -> KernelModel:
     """Learn from at most about ``max_rows`` different rows of ``training`` with a language, the same number from each language.
 
     ``docs`` needs doc_id, text and lang; other columns are ignored. Rows without text,
-    letters or language are skipped; a null doc_id is a row like others. Of more than
-    ``max_languages`` languages the most frequent are learned, ties by name. Rows are drawn
-    by a seeded hash of doc_id, text and language; only their packed n-gram presence
-    reaches the driver. An empty table teaches no language.
+    letters or language are skipped; a null doc_id is a row like others. Every language is
+    learned, from one row at least, so more languages than ``max_rows`` raise the bound to their number,
+    and landmarks grow with them. Rows are drawn by a seeded hash of doc_id, text and language,
+    whose 53 bits keep to the bound at any size; a very long text counts with all its n-grams.
+    Only their packed presence reaches the driver. An empty table teaches no language.
     """
-    usable = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text", "lang").alias("draw"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    counts = materialize(counts, "language-counts")
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text", "lang")
+    usable = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}"))
+    usable = usable.select("lang", "text", F.shiftrightunsigned(draw, 11).alias("draw"))
+    counts = materialize(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")), "language-counts")
     most = max(1, max_rows // max(1, counts.count()))
-    drawn = usable.join(F.broadcast(counts), "lang").filter(F.pmod("draw", F.lit(1_000_000)) < F.ceil(F.lit(1e6 * most) / F.col("n")))
+    drawn = usable.join(counts, "lang").filter(F.col("draw") <= F.greatest(F.lit(2.0**53 * most) / F.col("n"), F.col("least").cast("double")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -262,3 +262,37 @@ def test_line_index_counts_documents(spark):
     more = again.insert(spark.createDataFrame([(3, "and more of it"), (2, "and more of it")], "doc_id long, text string")).compact()
     assert sorted(r["n_docs"] for r in more.shared.collect()) == [2, 3]
     assert more.delete(spark.createDataFrame([(9,), (None,), (3,)], "doc_id long")).shared.count() == 2
+
+
+def test_every_language_is_learned(spark):
+    from pathloom.llm import language_id
+
+    draw = random.Random(8)
+    rows = [(i, " ".join("".join(draw.choice(f"{chr(0x4E00 + 4 * (i % 120))}{chr(0x4E01 + 4 * (i % 120))}{chr(0x4E02 + 4 * (i % 120))}") for _ in range(5)) for _ in range(6)), f"l{i % 120}") for i in range(1200)]
+    docs = spark.createDataFrame([*rows, (5000, "12 34", "digits")], "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True), max_rows=60)  # fewer rows than languages
+    assert len(model.languages) == 120 and 120 <= len(model.landmarks) < 300
+    got = language_id.predict(docs, model).filter("doc_id < 5000").join(docs, "doc_id")
+    assert got.filter("lang_pred = lang").count() > 1100
+
+
+def test_predictions_equal_the_kernel_by_hand(spark):
+    from pathloom.llm import language_id
+
+    lexicons = {"aa": ["kento", "mita", "sori", "tenko"], "bb": ["dunesch", "fich", "gauf", "zunauf"], "cc": ["éla", "oqu", "ièn", "tou"]}
+    rows = [(100 * n + i, t, lang) for n, (lang, lexicon) in enumerate(lexicons.items()) for i, t in enumerate(sentences(n, 30, lexicon, []))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.col("doc_id") % 3 != 1, max_rows=10_000)
+
+    def grams(text):
+        row = np.zeros(language_id.DIMENSIONS, dtype=np.uint8)
+        language_id.presence(text, row)
+        return frozenset(np.flatnonzero(row).tolist())
+
+    landmarks = [frozenset(np.flatnonzero(np.unpackbits(b)).tolist()) for b in model.landmarks]
+    for r in language_id.predict(docs, model).collect():
+        own = grams(next(t for i, t, _ in rows if i == r["doc_id"]))
+        kernel = np.array([len(own & x) / math.sqrt(len(own) * len(x)) for x in landmarks])
+        values = kernel @ model.weights
+        best = int(values.argmax())
+        assert r["lang_pred"] == model.languages[best] and math.isclose(r["score"], min(1, max(0, values[best])), abs_tol=1e-4)
