@@ -248,7 +248,16 @@ def file_scan(spark, sf_dir):
 
 # ------------------------------------------------------------------ file types
 
-_TYPES = ", ".join(f"({literal(t)}, {literal(n)}, {literal(','.join(e))}, {literal(','.join(i))}, {literal(d)})" for t, n, e, i, d in sources.FILE_TYPES)
+#: The registry, written out and not taken from the code under test.
+_TYPES = """('json', 'JSON', '.json', 'json', 'JavaScript Object Notation files'),
+  ('yaml', 'YAML', '.yaml,.yml', 'yaml,yml', 'YAML Ain''t Markup Language files'),
+  ('javascript', 'JavaScript', '.js,.mjs,.cjs', 'javascript', 'JavaScript source files'),
+  ('typescript', 'TypeScript', '.ts,.tsx,.mts,.cts', 'typescript,typescriptreact', 'TypeScript source files'),
+  ('log', 'Log', '.log,.txt', 'log,plaintext', 'Log and text files'),
+  ('ini', 'INI', '.ini,.cfg,.conf', 'ini', 'Configuration files'),
+  ('csv', 'CSV', '.csv', 'csv', 'Comma-separated values files'),
+  ('toml', 'TOML', '.toml', 'toml', 'Tom''s Obvious, Minimal Language files'),
+  ('dotenv', 'Environment', '.env,.env.local,.env.production', 'dotenv,env', 'Environment variable files')"""
 _TYPE_TABLE = f"t(type, name, extensions, languages, description) AS (VALUES {_TYPES})"
 
 
@@ -268,11 +277,20 @@ def file_type_by_language(spark, sf_dir):
     return rows.select("page_id", "id", sources.type_of_language("id").alias("type"), sources.is_supported_type("id").alias("supported"))
 
 
-@query(f"""WITH {_TYPE_TABLE} SELECT 'types' AS what, type AS value FROM t UNION ALL SELECT 'extensions', unnest(string_split(extensions, ',')) FROM t
-  UNION ALL SELECT 'language_ids', unnest(string_split(languages, ',')) FROM t""")
+_NAMED = ("json", "xml", ".mts", "cfg", ".cfg", "typescriptreact", "plaintext", "log", ".env.production", "env", ".html", "yml", ".yml", "")
+
+
+@query(f"""WITH v AS (SELECT event_id, {listed(_NAMED, "event_id")} AS value FROM events)
+SELECT event_id, value, value IN ('json', 'yaml', 'javascript', 'typescript', 'log', 'ini', 'csv', 'toml', 'dotenv') AS is_type,
+  value IN ('.json', '.yaml', '.yml', '.js', '.mjs', '.cjs', '.ts', '.tsx', '.mts', '.cts', '.log', '.txt', '.ini', '.cfg', '.conf', '.csv', '.toml', '.env', '.env.local', '.env.production') AS is_extension,
+  value IN ('json', 'yaml', 'yml', 'javascript', 'typescript', 'typescriptreact', 'log', 'plaintext', 'ini', 'csv', 'toml', 'dotenv', 'env') AS is_language FROM v""")
 def supported_values(spark, sf_dir):
-    parts = [sources.supported(spark, w).select(F.lit(w).alias("what"), F.col(w).alias("value")) for w in ("types", "extensions", "language_ids")]
-    return reduce(DataFrame.unionByName, parts)
+    """Which values of a table are supported types, extensions or language ids."""
+    rows = read(spark, sf_dir, "events").select("event_id", one_of(_NAMED, "event_id").alias("value"))
+    for what, name in (("types", "is_type"), ("extensions", "is_extension"), ("language_ids", "is_language")):
+        known = sources.supported(spark, what).select(F.col(what).alias("_known")).distinct()
+        rows = rows.join(F.broadcast(known), F.col("value") == F.col("_known"), "left").withColumn(name, F.col("_known").isNotNull()).drop("_known")  # about twenty rows
+    return rows
 
 
 # ------------------------------------------------------------------ predicates
@@ -538,18 +556,26 @@ def error_structs(spark, sf_dir):
 # ---------------------------------------------------------------------- settings
 
 
-_RULE_ROWS = ", ".join(
-    f"({literal(k)}, {literal(kind)}, {literal(','.join(allowed) if allowed else None)}, {literal(low)}, {literal(high)})" for k, (kind, allowed, low, high) in settings.RULES.items()
-)
+_JUDGED = ("safety.fileSizeWarnBytes", "performance.maxDuration", "performance.maxCacheSize", "safety.manyDocumentsThreshold", "performance.minThroughput", "performance.unknown")
 
 
-@query(f"SELECT key, kind, allowed, CAST(least AS DOUBLE) AS least, CAST(most AS DOUBLE) AS most FROM (VALUES {_RULE_ROWS}) AS r(key, kind, allowed, least, most)")
+@query("""WITH r(i, key, least, most) AS (VALUES (0, 'safety.fileSizeWarnBytes', 1000, 100000000), (1, 'performance.maxDuration', 1000, 300000), (2, 'performance.maxCacheSize', 100, 100000),
+  (3, 'safety.manyDocumentsThreshold', 1, 100), (4, 'performance.minThroughput', 100, 10000000), (5, 'performance.unknown', NULL, NULL))
+SELECT o_orderkey, key, CASE WHEN least IS NULL THEN 'unknown' WHEN o_custkey * 37 < least THEN 'low' WHEN o_custkey * 37 > most THEN 'high' ELSE 'in range' END AS judged
+FROM orders JOIN r ON i = o_orderkey % 6""")
 def settings_rules(spark, sf_dir):
-    return settings.rules_table(spark).withColumn("allowed", F.array_join("allowed", ","))
+    """Numbers of a table judged by the rule of the setting that each names."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", one_of(_JUDGED, "o_orderkey").alias("_name"), (F.col("o_custkey") * 37).alias("_value"))
+    rows = rows.join(F.broadcast(settings.rules_table(spark)), F.col("_name") == F.col("key"), "left")  # thirty rows
+    judged = F.when(F.col("key").isNull(), "unknown").when(F.col("_value") < F.col("least"), "low").when(F.col("_value") > F.col("most"), "high").otherwise("in range")
+    return rows.select("o_orderkey", F.col("_name").alias("key"), judged.alias("judged"))
 
 
 _NUMBERS = {k: rule for k, rule in settings.RULES.items() if rule[0] == "number"}
-_NUMBER_ROWS = ", ".join(f"({i}, {literal(k)}, {low}, {high})" for i, (k, (_, _, low, high)) in enumerate(_NUMBERS.items()))
+#: Numeric settings with their limits, written out in the rules' order.
+_NUMBER_ROWS = """(0, 'safety.fileSizeWarnBytes', 1000, 100000000), (1, 'safety.largeOutputLinesThreshold', 100, 10000000), (2, 'safety.manyDocumentsThreshold', 1, 100),
+  (3, 'performance.maxDuration', 1000, 300000), (4, 'performance.maxMemoryUsage', 1048576, 1073741824), (5, 'performance.maxCpuUsage', 100000, 10000000),
+  (6, 'performance.minThroughput', 100, 10000000), (7, 'performance.maxCacheSize', 100, 100000)"""
 
 
 @query(f"""WITH r(i, key, least, most) AS (VALUES {_NUMBER_ROWS}), v AS (SELECT n_nationkey AS n, r.*, CASE n_nationkey % 3 WHEN 0 THEN least - 1 - n_nationkey WHEN 1 THEN least + n_nationkey ELSE most + 1 + n_nationkey END AS x FROM nation, r)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import links, variants
+from ..operators import links, runs, variants
 from ..streaming import extract as streams
 from ..sources import pieces, sinks
 from .detail_queries import _carried
-from .queries import _LANGS, _event_tree, _mixed, query, read, text
+from . import engine
+from .queries import HTML_CTE, _LANGS, _event_tree, _mixed, pages, query, read, text
 
 # ------------------------------------------------------------------------ links
 
@@ -150,3 +151,18 @@ def json_any_order(spark, sf_dir):
 @query(f"SELECT path_type, context, count(*) AS count, count(DISTINCT value) AS distinct_values FROM {_TREE} GROUP BY ALL")
 def json_type_counts(spark, sf_dir):
     return json_any_order(spark, sf_dir).groupBy("path_type", "context").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("value").alias("distinct_values"))
+
+
+# -------------------------------------------------------------- runs, observed
+
+
+@query(f"""WITH {HTML_CTE}, n AS (SELECT (SELECT count(*) FROM pages) AS documents, (SELECT count(*) FROM html) AS paths, (SELECT coalesce(sum(strlen(html)), 0) FROM pages) AS size)
+SELECT CAST(documents AS BIGINT) AS documents, CAST(paths AS BIGINT) AS paths, CAST(0 AS BIGINT) AS failed, CAST(size AS BIGINT) AS bytes, true AS timed FROM n""")
+def observed_run(spark, sf_dir):
+    """What an extraction wrote, as observed while it wrote it."""
+    docs = pages(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long"))
+    path = sinks.scratch(spark, "observed")
+    found = engine.extract_documents(docs, keep=("size",)).documents
+    run = runs.within(spark, lambda: runs.measured(found, lambda rows: rows.write.parquet(path), size="size"), seconds=3600, writes=path)
+    seen = run.table(spark).select("documents", "paths", "failed", F.lit(run.bytes).cast("long").alias("bytes"), (F.col("duration") > 0).alias("timed"))
+    return seen

@@ -239,3 +239,52 @@ def test_places_of_documents_travel_with_their_paths(spark):
     folders = spark.createDataFrame([(0, "a", "/w/a", "file"), (1, "b", "/w/b", "file")], "folder_index int, name string, fs_path string, scheme string")
     rows = extract_with(docs, EngineConfig(), folders=folders, sources="uri")[1]
     assert sorted(r["resolved"] for r in rows.collect()) == ["/w/a/x.js", "/w/b/y.js"]  # rows that share an id are not multiplied
+
+
+def test_a_slow_run_ends_at_its_limit_and_leaves_nothing(spark, tmp_path):
+    import threading
+    import time
+
+    from pathloom.operators.runs import Cancelled, Token, within
+
+    def sleepy(frames):
+        import time
+
+        for frame in frames:
+            time.sleep(60)
+            yield frame
+
+    slow = spark.range(4, numPartitions=4).mapInPandas(sleepy, "id long")
+    path, other = f"file://{tmp_path}/out", []
+    beside = threading.Thread(target=lambda: other.append(spark.range(10).count()))
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        beside.start()
+        within(spark, lambda: slow.write.parquet(path), seconds=2, writes=path)
+    assert time.monotonic() - began < 12 and not (tmp_path / "out").exists()
+    beside.join()
+    assert other == [10]
+    token = Token()
+    threading.Timer(1.0, token.cancel).start()
+    with pytest.raises(Cancelled):
+        within(spark, lambda: slow.write.parquet(path), token=token, writes=path)
+    with pytest.raises(Cancelled):
+        within(spark, lambda: 1, token=token)
+    assert within(spark, lambda: spark.range(5).count(), seconds=60) == 5
+    with pytest.raises(ZeroDivisionError):
+        within(spark, lambda: 1 / 0, seconds=60)
+
+
+def test_runs_are_measured_while_they_write(spark, tmp_path):
+    from pathloom.operators.metrics import Thresholds
+    from pathloom.operators.runs import measured
+    from pathloom.plans.engine import extract_documents
+
+    docs = spark.createDataFrame([(1, "html", '<a href="./b"><a href="./a">'), (2, "yaml", "x"), (3, "json", '["./a"]')], "doc_id long, language_id string, content string")
+    run = measured(extract_documents(docs).documents, lambda rows: rows.write.parquet(str(tmp_path / "out")))
+    assert (run.documents, run.paths, run.failed, run.bytes) == (3, 3, 1, 0) and run.duration > 0
+    row = run.checked(spark, Thresholds(max_duration=0, min_throughput=1e12)).first()
+    assert {w["type"] for w in row["warnings"]} == {"duration", "throughput"} and not row["passed"]
+    assert run.checked(spark, Thresholds(max_duration=1e9, min_throughput=0)).first()["passed"]
+    none = measured(extract_documents(docs.filter("false")).documents, lambda rows: rows.write.parquet(str(tmp_path / "none")))
+    assert (none.documents, none.paths, none.failed) == (0, 0, 0)
