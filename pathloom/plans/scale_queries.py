@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import links, runs, variants
+from ..operators import cycles, links, runs, variants
 from ..streaming import extract as streams
 from ..sources import pieces, sinks
 from .detail_queries import _carried
@@ -166,3 +166,29 @@ def observed_run(spark, sf_dir):
     run = runs.within(spark, lambda: runs.measured(found, lambda rows: rows.write.parquet(path), size="size"), seconds=3600, writes=path)
     seen = run.table(spark).select("documents", "paths", "failed", F.lit(run.bytes).cast("long").alias("bytes"), (F.col("duration") > 0).alias("timed"))
     return seen
+
+
+# ----------------------------------------------------------------- import cycles
+
+
+@query("""WITH RECURSIVE k AS (SELECT p_partkey // 10 AS g, p_partkey % 10 AS n FROM part), names AS (SELECT '/m/g' || g || '/f' || n || '.js' AS uri FROM k),
+t AS (
+  SELECT g, n, g AS tg, (n + 1) % 4 AS tn FROM k WHERE n < 4 UNION ALL SELECT g, n, g, 4 FROM k WHERE n = 1 UNION ALL SELECT g, n, g, 1 FROM k WHERE n = 4
+  UNION ALL SELECT g, n, g, 5 FROM k WHERE n = 5 UNION ALL SELECT g, n, g, 7 FROM k WHERE n = 6 UNION ALL SELECT g, n, g, 0 FROM k WHERE n = 7
+  UNION ALL SELECT g, n, g, 8 FROM k WHERE n = 3 AND g % 4 <> 3 UNION ALL SELECT g, n, g + 1, 0 FROM k WHERE n = 8
+), e AS (SELECT DISTINCT '/m/g' || g || '/f' || n || '.js' AS a, '/m/g' || tg || '/f' || tn || '.js' AS b FROM t WHERE '/m/g' || tg || '/f' || tn || '.js' IN (SELECT uri FROM names)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT x.a AS node, least(min(x.b), x.a) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c""")
+def import_cycles(spark, sf_dir):
+    """Modules with circles of imports, one inside another, one of a module with itself, and ways between them."""
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select(F.floor(k / 10).alias("g"), (k % 10).alias("n"), k.cast("long").alias("doc_id"))
+    g, n = F.col("g"), F.col("n")
+    content = (
+        F.when(n == 1, "import a from './f2.js'\nconst b = require('./f4')").when(n == 3, F.when(g % 4 != 3, "import a from './f0'\nexport * from './f8.js'").otherwise("import a from './f0'"))
+        .when(n < 4, text("import a from './f", n + 1, "'")).when(n == 4, "import('./f1.js')").when(n == 5, "import './f5.js'").when(n == 6, "require('../x/.././g/f7'); require('./f7.js')")
+        .when(n == 7, text("import a from '../g", g, "/f0.js'")).when(n == 8, text("import a from '/m/g", g + 1, "/f0'")).otherwise("import r from 'react'\nimport m from './missing.js'")
+    )
+    docs = rows.select("doc_id", text("/m/g", g, "/f", n, ".js").alias("uri"), F.lit("javascript").alias("language_id"), content.alias("content"))
+    return cycles.import_cycles(docs)

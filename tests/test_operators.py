@@ -288,3 +288,26 @@ def test_runs_are_measured_while_they_write(spark, tmp_path):
     assert run.checked(spark, Thresholds(max_duration=1e9, min_throughput=0)).first()["passed"]
     none = measured(extract_documents(docs.filter("false")).documents, lambda rows: rows.write.parquet(str(tmp_path / "none")))
     assert (none.documents, none.paths, none.failed) == (0, 0, 0)
+
+
+def test_strong_components_equal_brute_force(spark):
+    import random
+
+    from pathloom.operators.cycles import strong_components
+
+    draw = random.Random(4)
+    edges = [(draw.randint(0, 39), draw.randint(0, 39)) for _ in range(45)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200, 200), (201, 202), (None, 3), (4, None), (100, 300), (300, 301)]
+    edges += edges[:5]
+    reach = {a: {a} for e in edges for a in e if a is not None}
+    for _ in range(60):
+        for a, b in edges:
+            if a is not None and b is not None:
+                for seen in reach.values():
+                    if a in seen:
+                        seen.add(b)
+    same = {a: sorted(b for b in reach if b in reach[a] and a in reach[b]) for a in reach}
+    want = {(a, s[0], len(s)) for a, s in same.items() if len(s) > 1 or (a, a) in edges}
+    table = spark.createDataFrame(edges, "src long, dst long").withColumn("colour", F.lit(1))
+    assert {tuple(r) for r in strong_components(table).collect()} == want and len(want) > 12
+    assert strong_components(table.filter("src >= 200")).collect() == [(200, 200, 1)]
+    assert strong_components(table.filter("false")).count() == 0
