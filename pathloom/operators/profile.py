@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,26 +17,25 @@ def patterns(
 ) -> DataFrame:
     """(*by, pattern, count, percentage, examples): the shapes of normalised paths.
 
-    examples are the first raw values by ``order``. Counts combine before they shuffle,
-    and so do the first values: each task sends at most ``examples`` rows a pattern, so
-    a pattern that most paths have is nowhere gathered.
+    examples are the first raw values by ``order``. ``values`` are worked out once: path rows meet by
+    pattern and by the task that made them, so that a pattern that most paths have is nowhere gathered, and
+    each such group leaves a count and its first values.
     """
-    rows = values.select(*by, F.col(value).alias("_value"), F.struct(*order).alias("_order"), P.pattern(P.normalize(value)).alias("pattern"))
-    key = [*by, "pattern"]
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("count"))
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("_order", "_value"))
-    some = rows.withColumn("_place", place).filter(F.col("_place") <= examples).groupBy(*(F.col(k).alias(f"_{i}") for i, k in enumerate(key))).agg(
-        F.array_sort(F.collect_list(F.struct("_place", "_value"))).alias("_first")
+    rows = values.select(
+        *by, F.col(value).alias("_value"), F.struct(*order).alias("_order"), P.pattern(P.normalize(value)).alias("pattern"), F.spark_partition_id().alias("_task")
     )
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(key)))
-    found = counts.join(some, same, "left")
+    key = [*by, "pattern"]
+    own, every = Window.partitionBy(*key, "_task"), Window.partitionBy(*key)
+    firsts = rows.withColumns({"_place": F.row_number().over(own.orderBy("_order", "_value")), "_n": F.count(F.lit(1)).over(own)}).filter(F.col("_place") <= examples)
+    firsts = firsts.withColumn("_rank", F.row_number().over(every.orderBy("_order", "_value")))
+    shown = F.collect_list(F.when(F.col("_rank") <= examples, F.struct("_rank", "_value")))
+    found = firsts.groupBy(*key).agg(F.sum(F.when(F.col("_place") == 1, F.col("_n"))).alias("count"), F.array_sort(shown).alias("_first"))
     if by:
-        total = rows.groupBy(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(by))).agg(F.count(F.lit(1)).alias("_total"))
-        found = found.join(total, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(by))), "left")
+        found = found.withColumn("_total", F.sum("count").over(Window.partitionBy(*by)))
     else:
-        found = found.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_total"))))  # one row
-    shown = F.transform("_first", lambda x: x["_value"])
-    return found.select(*key, "count", (F.col("count") / F.col("_total") * 100).alias("percentage"), shown.alias("examples"))
+        found = found.crossJoin(F.broadcast(found.agg(F.sum("count").alias("_total"))))  # one row, from the same exchange
+    values_of = F.transform("_first", lambda x: x["_value"])
+    return found.select(*key, "count", (F.col("count") / F.col("_total") * 100).alias("percentage"), values_of.alias("examples"))
 
 
 def depths(values: DataFrame, by: tuple[str, ...] = (), value: str = "value") -> DataFrame:

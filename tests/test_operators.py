@@ -311,3 +311,17 @@ def test_strong_components_equal_brute_force(spark):
     assert {tuple(r) for r in strong_components(table).collect()} == want and len(want) > 12
     assert strong_components(table.filter("src >= 200")).collect() == [(200, 200, 1)]
     assert strong_components(table.filter("false")).count() == 0
+
+
+def test_patterns_work_their_input_out_once(spark, tmp_path):
+    from pathloom.operators.extract import extract
+
+    docs = spark.createDataFrame([(i, f'<a href="./a{i % 3}b"><a href="/x">') for i in range(40)], "doc_id long, content string").repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    found = profile.patterns(extract(spark.read.parquet(str(tmp_path / "docs")), "html"))
+    rows = {r["pattern"]: (r["count"], r["percentage"], r["examples"]) for r in found.collect()}
+    assert rows == {"./XXX": (40, 50.0, ["./a0b", "./a1b", "./a2b"]), "/X": (40, 50.0, ["/x", "/x", "/x"])}
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 or "ReusedExchange" in final
+    by = profile.patterns(extract(docs, "html"), by=("doc_id",)).filter("doc_id = 4").collect()
+    assert sorted((r["pattern"], r["count"], r["percentage"]) for r in by) == [("./XXX", 1, 50.0), ("/X", 1, 50.0)]
