@@ -296,3 +296,33 @@ def test_predictions_equal_the_kernel_by_hand(spark):
         values = kernel @ model.weights
         best = int(values.argmax())
         assert r["lang_pred"] == model.languages[best] and math.isclose(r["score"], min(1, max(0, values[best])), abs_tol=1e-4)
+
+
+def test_op11(spark, tables):
+    from .test_sketches_and_vectors import brute_fingerprint
+
+    got = run(spark, tables, "op11_order_sketch")
+    texts = {}
+    for i, t, *_ in odd_rows():
+        texts.setdefault(i, t or "")
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in odd_rows())
+    ids = sorted(texts, key=lambda i: (i is not None, i or 0))
+    after = {i: texts[ids[(n + 1) % len(ids)]] for n, i in enumerate(ids)}
+    for r in got:
+        text = texts[r["doc_id"]]
+        assert r["n_chars"] == len(text) and r["fingerprint"] == brute_fingerprint(text) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        if r["doc_id"] != 7:
+            edited = text[: len(text) - len(text) // 4] + after[r["doc_id"]][: len(text) // 4]
+            assert r["edited_sha256"] == sha256(edited.encode()).hexdigest() and r["edited_fingerprint"] == brute_fingerprint(edited)
+
+
+def test_op12(spark, tables):
+    from .test_sketches_and_vectors import check_whitening
+
+    good = [(i, v) for i, v in tables[2] if v and None not in v and np.isfinite(v).all()]
+    got = [r for r in run(spark, tables, "op12_whitening") if r["vec_id"] != 205]
+    check_whitening([(i, v) for i, v in good if len(v) == 16], got)
+
+
+def test_op13(spark, tables):
+    assert run(spark, tables, "op13_centroids") == []  # no vector has 64 components
