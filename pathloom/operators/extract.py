@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions.predicates import is_data_url, is_javascript_url, is_module_path, is_path_spaced
-from ..functions.text import NOT_SPACE, SPACE, WS, column, lines, matches, trim
+from ..functions.text import NOT_SPACE, SPACE, WS, column, let, lines, matches, trim
 from ..schema import PATH_ARRAY
 
 #: Attributes that hold paths, and the patterns of the formats.
@@ -89,27 +89,34 @@ def javascript_paths(content: Column | str) -> Column:
 
 
 def dotenv_paths(content: Column | str) -> Column:
+    dot = "[^\\n\\r\\u2028\\u2029]"
+    plain, in_quotes = f"\\A([^=]+)=({dot}*)\\z", f"\\A[\"']([^\"']+)[\"']=({dot}*)\\z"
+    unquoted = lambda v: F.replace(trim(F.regexp_replace(v, "\\A[\"']|[\"']\\z", "")), F.lit("\\\\"), F.lit("\\"))
+
     def found(raw: Column, line: Column) -> Column:
-        text = trim(raw)
-        dot = "[^\\n\\r\\u2028\\u2029]"
-        name = F.regexp_extract(text, f"\\A([^=]+)=({dot}*)\\z", 1)
-        value = F.regexp_extract(text, f"\\A([^=]+)=({dot}*)\\z", 2)
-        quoted = F.regexp_extract(text, f"\\A[\"']([^\"']+)[\"']=({dot}*)\\z", 1)
-        rest = F.regexp_extract(text, f"\\A[\"']([^\"']+)[\"']=({dot}*)\\z", 2)
-        clean, clean_rest = (
-            F.replace(trim(F.regexp_replace(v, "\\A[\"']|[\"']\\z", "")), F.lit("\\\\"), F.lit("\\")) for v in (value, rest)
-        )
-        at = F.length(F.regexp_extract(text, "\\A([^=]*)=", 1)) + 1
-        key, both = trim(name), (quoted != "") & (rest != "")
-        candidates = F.array(
-            F.struct(clean.alias("value"), at.alias("column"), F.concat(F.lit("Environment variable: "), key).alias("context"), F.lit(True).alias("use")),
-            F.struct(key.alias("value"), F.lit(1).alias("column"), F.lit("Environment variable name").alias("context"), F.lit(True).alias("use")),
-            F.struct(quoted.alias("value"), F.lit(1).alias("column"), F.lit("Environment variable name").alias("context"), both.alias("use")),
-            F.struct(clean_rest.alias("value"), at.alias("column"), F.concat(F.lit("Environment variable: "), quoted).alias("context"), both.alias("use")),
-        )
-        kept = F.filter(candidates, lambda c: c["use"] & is_path_spaced(c["value"]))
-        paths = F.transform(kept, lambda c: _path(c["value"], classify.generic(c["value"]), line, c["column"], c["context"]))
-        return F.when(text.startswith("#") | (name == "") | (value == ""), _none()).otherwise(paths)
+        """Each part of a line is worked out once, and a line's last three candidates only if it may have them."""
+        return let(trim(raw), lambda text: F.when(text.startswith("#"), _none()).otherwise(let(parts(text), lambda p: paths(p, line))))
+
+    def parts(text: Column) -> Column:
+        quoted = F.when(text.rlike("\\A[\"']"), text)
+        return F.struct(
+            F.regexp_extract(text, plain, 1).alias("name"), F.regexp_extract(text, plain, 2).alias("value"), (F.instr(text, "=")).alias("at"),
+            F.coalesce(F.regexp_extract(quoted, in_quotes, 1), F.lit("")).alias("quoted"), F.coalesce(F.regexp_extract(quoted, in_quotes, 2), F.lit("")).alias("rest"),
+        )
+
+    def paths(p: Column, line: Column) -> Column:
+        def one(value: Column, at: Column, context: Column) -> Column:
+            return F.when(is_path_spaced(value), _path(value, classify.generic(value), line, at, context))
+
+        def candidates(key: Column) -> Column:
+            variable = lambda name: F.concat(F.lit("Environment variable: "), name)
+            name = F.lit("Environment variable name")
+            first = (let(unquoted(p["value"]), lambda v: one(v, p["at"], variable(key))), one(key, F.lit(1), name))
+            more = (one(p["quoted"], F.lit(1), name), let(unquoted(p["rest"]), lambda v: one(v, p["at"], variable(p["quoted"]))))
+            both = (p["quoted"] != "") & (p["rest"] != "")
+            return F.array_compact(F.when(both, F.array(*first, *more)).otherwise(F.array(*first)))
+
+        return F.when((p["name"] == "") | (p["value"] == ""), _none()).otherwise(let(trim(p["name"]), candidates))
 
     return _by_line(column(content), found, "=")
 
