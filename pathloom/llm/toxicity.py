@@ -2,9 +2,12 @@
 
 Terms are lower-cased words, split at ASCII characters other than letters. All terms
 of the drawn labelled examples count. A term's weight is its inverse document
-frequency, of all documents, times one plus the chi-square by which its presence goes
-with the label. The distance-weighted votes of the k nearest examples are calibrated
-on the examples themselves, each scored without itself.
+frequency, of all documents: neighbours, their ranks and cosines are plain TF-IDF.
+
+What is learned lies in the votes. A neighbour's vote grows exponentially with its
+agreement: its cosine once more, with every term multiplied by one plus the chi-square by
+which the term's presence goes with the label. The kernel's rate and the calibration are
+fitted on the examples themselves, each scored without itself.
 
 Neighbours come from a block-max inverted index: examples lie in blocks of similar
 ones, every term has the largest weight of each block that holds it, and a text visits
@@ -28,6 +31,8 @@ from .common import give_back, map_batches, map_rows, materialize, release
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 #: Texts whose cosines are found at once, and examples of a block.
 BATCH, BLOCK = 256, 64
+#: Rates of the votes' kernel, of which training takes the best.
+RATES = (2.0, 4.0, 8.0, 12.0, 16.0)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -118,12 +123,12 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.light, self.posting) if len(pair) else np.zeros(0, dtype=np.float32)
         self.at_block = (self.owner[self.posting] // block).astype(np.int32)
         self.entry = np.searchsorted(light_term[self.posting], np.arange(terms + 1)).astype(np.int32)
-        self.query = np.zeros(terms)
+        self.query, self.place = np.zeros(terms), None
         self.visited = self.possible = 0
 
     def resting(self) -> BlockMaxIndex:
         """The index as it is broadcast; it wakes where it is read."""
-        for name in ("dense", "dense_most", "owner", "light", "posting", "postings", "most", "at_block", "entry", "query"):
+        for name in ("dense", "dense_most", "owner", "light", "posting", "postings", "most", "at_block", "entry", "query", "place"):
             setattr(self, name, None)
         return self
 
@@ -219,24 +224,51 @@ class BlockMaxIndex:
         if len(places) > k:
             places = places[near[places] * slack * slack >= np.partition(near[places], -k)[-k]]
         self.query[terms] = weights
-        spans = zip(self.first[places].tolist(), self.first[places + 1].tolist(), strict=True)
-        cosines = np.array([self.weight[a:z] @ self.query[self.term[a:z]] for a, z in spans])
+        cosines = self._products(places)
         self.query[terms] = 0
         numbers = self.order[places]
         order = np.lexsort((numbers, -cosines.round(12)))[:k]
         return numbers[order], cosines[order]
 
 
+    def _products(self, places: np.ndarray) -> np.ndarray:
+        """Products of the vectors at ``places`` and the spread-out query. No vector is empty."""
+        start, n = self.first[places], self.first[places + 1] - self.first[places]
+        if not len(places):
+            return np.zeros(0)
+        at = _ranges(start, n)
+        return np.add.reduceat(self.weight[at] * self.query[self.term[at]], np.cumsum(n) - n)
+
+    def products(self, numbers: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Products of the examples ``numbers`` and any vector."""
+        if self.place is None:
+            self.place = np.argsort(self.order)
+        self.query[terms] = weights
+        out = self._products(self.place[numbers])
+        self.query[terms] = 0
+        return out
+
+    def lengths(self, strength: np.ndarray) -> np.ndarray:
+        """Length of every example's vector once its terms are multiplied by ``strength``."""
+        squares = np.add.reduceat((self.weight * strength[self.term]) ** 2, self.first[:-1]) if self.size else np.zeros(0)
+        out = np.zeros(self.size)
+        out[self.order] = np.sqrt(squares)
+        return out
+
+
 @dataclass
 class ToxicityModel:
     terms: list[bytes]
-    weight: np.ndarray  # of a term
+    weight: np.ndarray  # of a term: its inverse document frequency
     ids: np.ndarray  # of the examples
     labels: np.ndarray
     votes: np.ndarray  # an example's weight, so that drawn classes count as in all labelled rows
     index: BlockMaxIndex | None
     prior: float  # share of label 1 among labelled rows without any term
     k: int
+    strength: np.ndarray | None = None  # of a term: one plus its chi-square
+    norms: np.ndarray | None = None  # of the examples, their terms multiplied by their strength
+    rate: float = 8.0
     slope: float = 1.0
     shift: float = 0.0
 
@@ -249,9 +281,17 @@ class ToxicityModel:
         weight = (1 + np.log(times)) * self.weight[terms]
         return terms, weight / np.sqrt((weight**2).sum()) if len(weight) else weight
 
-    def raw(self, numbers: np.ndarray, cosines: np.ndarray) -> float:
-        """Votes weighted by closeness, with one vote's worth of the prior."""
-        vote = self.votes[numbers] / (1.1 - np.minimum(1, cosines))
+    def agreement(self, terms: np.ndarray, weights: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Cosines of a unit vector and the examples ``numbers``, all terms multiplied by their strength."""
+        if not len(numbers):
+            return np.zeros(0)
+        strong = weights * self.strength[terms]
+        length = np.sqrt((strong**2).sum())
+        return self.index.products(numbers, terms, strong * self.strength[terms] / length) / self.norms[numbers]
+
+    def raw(self, numbers: np.ndarray, agreement: np.ndarray) -> float:
+        """Votes weighted by agreement, with the prior as a vote without any."""
+        vote = self.votes[numbers] * np.exp(self.rate * agreement)
         return float(((vote * self.labels[numbers]).sum() + self.prior * self.votes.mean()) / (vote.sum() + self.votes.mean()))
 
     def calibrated(self, raw: float) -> float:
@@ -276,12 +316,12 @@ def _platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, training: Column, *, max_examples: int = 3000, k: int = 15, seed: int = 3
+    docs: DataFrame, labels: DataFrame, training: Column, *, max_examples: int = 3000, k: int = 60, seed: int = 3
 ) -> ToxicityModel:
     """Learn from at most about ``max_examples`` labelled rows of each label, drawn by seeded hashes.
 
-    All their terms count. Chi-square, of terms that five examples have or more, only
-    adds to a term's weight. Null labels and rows outside ``training`` are skipped; of
+    All their terms count. Chi-square, of terms that five examples have or more, weighs
+    the votes of neighbours and never chooses them. Null labels and rows outside ``training`` are skipped; of
     a doc_id labelled twice the larger label counts, and of equal rows of ``docs`` one
     is an example. ``docs`` needs doc_id and text, ``labels`` doc_id and toxic; other
     columns are ignored. Without labelled rows every score is the same. Document
@@ -364,7 +404,7 @@ def train(
     shared.unpersist()
     release(ids, found, sample)
     give_back()
-    model = _fit(rows, terms, idf * strength, counts, (all0, all1), k)
+    model = _fit(rows, terms, idf, strength, counts, (all0, all1), k)
     del rows
     give_back()
     return model
@@ -375,7 +415,7 @@ def _of_labels(rows: DataFrame) -> dict[int, int]:
     return {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _fit(rows: list, terms: list[bytes], weight: np.ndarray, counts: dict, sizes: tuple[int, int], k: int) -> ToxicityModel:
+def _fit(rows: list, terms: list[bytes], weight: np.ndarray, strength: np.ndarray, counts: dict, sizes: tuple[int, int], k: int) -> ToxicityModel:
     share = [counts.get(c, 0) / max(1, sizes[c]) for c in (0, 1)]
     positive = counts.get(1, 0)
     empty = [sum(share[y] for _, y, bag, _ in rows if not len(bag) and y == c) for c in (0, 1)]
@@ -383,18 +423,28 @@ def _fit(rows: list, terms: list[bytes], weight: np.ndarray, counts: dict, sizes
     used = [r for r in rows if len(r[2])]
     model = ToxicityModel(
         terms, weight, np.array([r[0] for r in used], dtype=np.int64), np.array([r[1] for r in used], dtype=float),
-        np.array([share[r[1]] for r in used], dtype=float) if used else np.ones(1), None, prior, k,
+        np.array([share[r[1]] for r in used], dtype=float) if used else np.ones(1), None, prior, k, strength,
     )
     vectors = [model.unit(r[2], r[3]) for r in used]
     model.index = BlockMaxIndex(vectors, len(terms))
-    found = model.index.all_nearest(vectors, k, list(range(len(used))))
+    model.norms = model.index.lengths(strength)
+    found = [numbers for numbers, _ in model.index.all_nearest(vectors, k, list(range(len(used))))]
+    agree = [model.agreement(*v, numbers) for v, numbers in zip(vectors, found, strict=True)]
     model.index.resting()
-    raw = [model.raw(*f) for f in found]
     blank = [r for r in rows if not len(r[2])]
-    raw += [prior] * len(blank)
     y = np.array([r[1] for r in used + blank], dtype=float)
-    if len(y):
-        model.slope, model.shift = _platt(np.array(raw), y, np.array([share[int(v)] for v in y]))
+    if not len(y):
+        return model
+    times, least = np.array([share[int(v)] for v in y]), np.inf
+    for rate in RATES:
+        model.rate = rate
+        raw = np.array([model.raw(*f) for f in zip(found, agree, strict=True)] + [prior] * len(blank))
+        slope, shift = _platt(raw, y, times)
+        odds = slope * np.log(np.clip(raw, 1e-6, 1 - 1e-6) / (1 - np.clip(raw, 1e-6, 1 - 1e-6))) + shift
+        loss = float((times * np.logaddexp(0, np.where(y > 0, -odds, odds))).sum())
+        if loss < least:
+            least, best = loss, (rate, slope, shift)
+    model.rate, model.slope, model.shift = best
     return model
 
 
@@ -403,7 +453,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) ->
 
     score: calibrated chance of label 1, 0 to 1; predicted: 1 if score >= 0.5.
     neighbours and cosines are the evidence: the nearest examples' doc_ids, nearest
-    first. Texts that are null, empty or without known terms have no neighbours and
+    first. Texts of any length are read whole; a text takes a task its words' worth of memory. Texts that are null, empty or without known terms have no neighbours and
     get the score of labelled rows that have none either. Repeated rows are scored
     one by one. An empty table gives no rows. Columns besides doc_id, text and those
     of ``keep`` are ignored; ``keep`` may not name an output.
@@ -422,8 +472,9 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) ->
             out = {name: c[name] for name in ("doc_id", *keep)} | {"score": [], "neighbours": [], "cosines": []}
             for a in range(0, len(c["text"]), BATCH):
                 vectors = [model.unit(*count.arrays(text)) for text in c["text"][a : a + BATCH]]
-                for numbers, cosines in model.index.all_nearest(vectors, model.k):
-                    out["score"].append(model.calibrated(model.raw(numbers, cosines)) if len(numbers) else blank)
+                for vector, (numbers, cosines) in zip(vectors, model.index.all_nearest(vectors, model.k), strict=True):
+                    agree = model.agreement(*vector, numbers)
+                    out["score"].append(model.calibrated(model.raw(numbers, agree)) if len(numbers) else blank)
                     out["neighbours"].append(model.ids[numbers].tolist())
                     out["cosines"].append(cosines.tolist())
             return out

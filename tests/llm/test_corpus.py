@@ -574,9 +574,31 @@ def test_toxicity_uses_all_terms(spark):
         norm = math.sqrt(sum(v * v for v in vector.values()))
         return {t: v / norm for t, v in vector.items()}
 
+    held = Counter(t for _, text in rows for t in set(toxicity.words_of(text)))
+    assert all(math.isclose(weight[t], math.log((1 + len(rows)) / (1 + held[t])) + 1) for t in weight)  # plain inverse document frequencies
+    strength = dict(zip(model.terms, model.strength.tolist(), strict=True))
+    toxic = [float(i % 4 == 0) for i in range(402)]
+    has = {t: [t in toxicity.words_of(text) for text in examples] for t in (b"vilest", b"an", b"ban", b"zephyr") if t in weight}
+    for t, present in has.items():
+        a, b = sum(h and y for h, y in zip(present, toxic, strict=True)), sum(h and not y for h, y in zip(present, toxic, strict=True))
+        c, d = sum(toxic) - a, 402 - sum(toxic) - b
+        want = 402 * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)) if a + b >= 5 else 0
+        assert math.isclose(strength[t], 1 + want, rel_tol=1e-9)
+
+    def strong(vector):
+        norm = math.sqrt(sum((v * strength[t]) ** 2 for t, v in vector.items()))
+        return {t: v * strength[t] / norm for t, v in vector.items()}
+
     bags = [bag(text) for text in examples]
+    strong_bags = [strong(b) for b in bags]
     for r in toxicity.score(docs, model).collect():
         mine = bag(dict(rows)[r["doc_id"]])
+        near, vote, toxic_vote = strong(mine), model.votes.mean(), model.prior * model.votes.mean()
+        for i in r["neighbours"]:
+            v = model.votes[i] * math.exp(model.rate * sum(x * near.get(t, 0.0) for t, x in strong_bags[i].items()))
+            vote, toxic_vote = vote + v, toxic_vote + v * toxic[i]
+        p = min(1 - 1e-6, max(1e-6, toxic_vote / vote))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(model.slope * math.log(p / (1 - p)) + model.shift))), abs_tol=1e-9)
         want = sorted(((-round(c, 12), i) for i, b in enumerate(bags) if (c := sum(v * b.get(t, 0.0) for t, v in mine.items())) > 0))[: model.k]
         assert np.allclose(r["cosines"], [-c for c, _ in want], atol=1e-9) and len(r["neighbours"]) == len(want)
         if r["doc_id"] in (900, 901, 902):
