@@ -31,6 +31,8 @@ from .common import give_back, map_batches, map_rows, materialize, release
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 #: Texts whose cosines are found at once, and examples of a block.
 BATCH, BLOCK = 256, 64
+#: Terms whose products are taken at once, so that neighbours of very long texts stay small in memory.
+AT_ONCE = 500_000
 #: Rates of the votes' kernel, of which training takes the best.
 RATES = (2.0, 4.0, 8.0, 12.0, 16.0)
 
@@ -232,12 +234,15 @@ class BlockMaxIndex:
 
 
     def _products(self, places: np.ndarray) -> np.ndarray:
-        """Products of the vectors at ``places`` and the spread-out query. No vector is empty."""
+        """Products of the vectors at ``places`` and the spread-out query, about AT_ONCE terms at a time. No vector is empty."""
         start, n = self.first[places], self.first[places + 1] - self.first[places]
-        if not len(places):
-            return np.zeros(0)
-        at = _ranges(start, n)
-        return np.add.reduceat(self.weight[at] * self.query[self.term[at]], np.cumsum(n) - n)
+        ends, out, a = np.cumsum(n), np.zeros(len(places)), 0
+        while a < len(places):
+            z = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + AT_ONCE, side="right")))
+            at = _ranges(start[a:z], n[a:z])
+            out[a:z] = np.add.reduceat(self.weight[at] * self.query[self.term[at]], np.cumsum(n[a:z]) - n[a:z])
+            a = z
+        return out
 
     def products(self, numbers: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Products of the examples ``numbers`` and any vector."""
