@@ -45,7 +45,8 @@ def message(template: Column | str, *args: Column) -> Column:
 def number_of_bytes(c: Column | str) -> Column:
     c = column(c)
     step = F.floor(F.log(c.cast("double")) / F.log(F.lit(1024.0))).cast("int")
-    unit = F.element_at(F.array(*map(F.lit, SIZES)), F.least(F.greatest(step, F.lit(0)), F.lit(len(SIZES) - 1)) + 1)
+    step = F.least(F.greatest(step, F.lit(0)), F.lit(len(SIZES) - 1))  # beyond the last unit the number grows
+    unit = F.element_at(F.array(*map(F.lit, SIZES)), step + 1)
     return F.when(c == 0, "0 Bytes").otherwise(F.concat(_short(c / F.pow(F.lit(1024.0), step)), F.lit(" "), unit))
 
 
