@@ -49,6 +49,11 @@ def html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages(spark, sf_dir), "html")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a few bytes that grow to long texts, dealt over all tasks before they do: a file of keys has few splits."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 

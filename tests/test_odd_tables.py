@@ -40,3 +40,11 @@ def test_workspace_folders_of_large_keys(twin):
     customers = ("customer", "c_custkey long", [(k,) for k in keys])
     got, expected = twin("workspace_folder_many", customers, ("orders", "o_orderkey long, o_custkey long", [(10 * k, k) for k in [*keys, 6006]]))
     assert got == expected and len(got) == len(keys)
+
+
+def test_warnings_of_very_many_small_rows(spark, tmp_path):
+    """One file of keys is dealt over tasks before keys become texts, and a text meets each pattern once."""
+    spark.range(3, 40).toDF("p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["safety_warnings"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and plan.count("regexp_extract_all(") <= 8  # seven patterns and the quoted parts
