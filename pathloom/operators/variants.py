@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions.predicates import is_path_json
-from ..functions.text import column, trim
+from ..functions.text import NOT_SPACE, column, let
 from ..sources.sinks import settled
 
 #: Closes the object in which a text is parsed, so that what follows a value makes it invalid.
@@ -33,9 +33,25 @@ def parsed(content: Column | str) -> Column:
     lone = F.regexp_replace(F.regexp_replace(text, f"{_HEX}{_HIGH}(?!{_LOW})", "$1\\\\ufffd"), f"(?<!{_HIGH}){_LOW}", "\\\\ufffd")
     text = F.when(text.rlike("\\\\u[dD][89a-fA-F]"), lone).otherwise(text)
     whole = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(f',"{_END}":1}}')))
-    sound = F.size(F.map_keys(F.try_variant_get(whole, "$", "map<string, variant>"))) == 2
-    ended = F.try_variant_get(whole, "$['\x01end of document']", "int") == 1
-    return F.when((F.length(trim(content)) > 0) & sound & ended, F.variant_get(whole, "$.v", "variant"))
+
+    def member(w: Column) -> Column:
+        sound = F.size(F.map_keys(F.try_variant_get(w, "$", "map<string, variant>"))) == 2
+        ended = F.try_variant_get(w, "$['\x01end of document']", "int") == 1
+        return F.when(sound & ended, F.variant_get(w, "$.v", "variant"))
+
+    return F.when(column(content).rlike(NOT_SPACE), let(whole, member))
+
+
+def _opened(node: Column) -> Column:
+    """struct(_open, _value) of a VARIANT: itself if it is a container, its text if that is path-like; null for all others."""
+    container = F.struct(node.alias("_open"), F.lit(None).cast("string").alias("_value"))
+    found = lambda v: F.when(is_path_json(v), F.struct(F.lit(None).cast("variant").alias("_open"), v.alias("_value")))
+
+    def of_kind(kind: Column) -> Column:
+        opens = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
+        return F.when(opens, container).when(kind == "STRING", let(F.try_variant_get(node, "$", "string"), found))
+
+    return let(F.schema_of_variant(node), of_kind)
 
 
 def json_paths(docs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -46,14 +62,14 @@ def json_paths(docs: DataFrame, content: str = "content", keep: tuple[str, ...]
     """
     docs.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [f"`{c}`" for c in keep]
-    rows = docs.select(*kept, F.lit(None).cast("string").alias("_at"), parsed(content).alias("_node")).filter("_node is not null")
+    rows = docs.select(*kept, F.lit(None).cast("string").alias("_at"), parsed(content).alias("_node"))
     levels: list[DataFrame] = []
     tvf = docs.sparkSession.tvf
     while True:
-        kind = F.schema_of_variant("_node")
-        opened = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
-        rows = rows.select(*kept, "_at", F.when(opened, F.col("_node")).alias("_open"), F.when(kind == "STRING", F.try_variant_get("_node", "$", "string")).alias("_value"))
-        rows = settled(rows.filter((F.col("_value").isNotNull() & is_path_json("_value")) | F.col("_open").isNotNull()))
+        # An outer explode of at most one struct: a filter on it stays behind it, and each node is looked at once.
+        # (A filter on the node itself would be pushed below the caller's shuffles, and parse twice.)
+        rows = rows.select(*kept, "_at", F.explode_outer(F.array(_opened(F.col("_node")))).alias("_seen")).filter("_seen is not null")
+        rows = settled(rows.select(*kept, "_at", "_seen.*"))
         levels.append(rows.filter("_value is not null").select(*kept, F.col("_value").alias("value"), F.coalesce("_at", F.lit("value")).alias("_at")))
         rows = rows.filter("_open is not null")
         if not rows.limit(1).count():

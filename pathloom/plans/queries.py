@@ -175,7 +175,8 @@ _EVENT = ("event_id", "events")
 def _event_tree(spark, sf_dir):
     k = F.col("event_id")
     content = text('{"b":"./x', k, '","2":"/two', k, '","1":["one', k, '.txt","a/b",{"c":"1.0.0"}],"n":null,"k/y":3,"d":"./dup","d":"../last', k, '"}')
-    return sources.from_table(read(spark, sf_dir, "events").withColumn("c", content), "c", doc_id="event_id", language_id="json")
+    keys = dealt(read(spark, sf_dir, "events").select(k), "event_id")
+    return sources.from_table(keys.withColumn("c", content), "c", doc_id="event_id", language_id="json")
 
 
 @query(f"""SELECT {_PATHS} FROM (

@@ -48,3 +48,17 @@ def test_warnings_of_very_many_small_rows(spark, tmp_path):
     found = QUERIES["safety_warnings"](spark, str(tmp_path))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan and plan.count("regexp_extract_all(") <= 8  # seven patterns and the quoted parts
+
+
+def test_json_is_parsed_once_and_after_keys_are_dealt(spark, tmp_path, monkeypatch):
+    from pathloom.operators import variants
+
+    seen = []
+    settle = variants.settled
+    monkeypatch.setattr(variants, "settled", lambda rows: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or settle(rows))
+    events = [(k,) for k in range(5)]
+    spark.createDataFrame(events, "event_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = {tuple(r) for r in QUERIES["json_any_order"](spark, str(tmp_path)).select("doc_id", "value").collect()}
+    assert found == {(k, v.format(k)) for k in range(5) for v in ("one{}.txt", "/two{}", "./x{}", "../last{}")}
+    above, below = seen[0].split("RepartitionByExpression")
+    assert above.lower().count("parse_json") + above.count("parseJson") == 1 and "json" not in below.lower()
