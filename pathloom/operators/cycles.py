@@ -6,6 +6,7 @@ the node of the smallest hash among those that lead to it; a node that keeps its
 which is all of its colour that leads back to it. Components found go, and the rest begins anew; as
 hashes are in no order, a row of components that lead to one another takes about as many turns as the
 logarithm of its length. A node that very many import is no hot group: minima combine before they shuffle.
+Joins of rounds are sort-merge joins: a broadcast would pass every round's table through the driver.
 """
 
 from __future__ import annotations
@@ -36,13 +37,13 @@ def import_edges(docs: DataFrame, endings: tuple[str, ...] = ENDINGS) -> DataFra
     wanted = found.select(F.col("uri").alias("src"), at.alias("_at")).filter("src is not null").distinct()
     tried = wanted.select("src", "_at", F.posexplode(F.array(*(F.concat("_at", F.lit(e)) for e in endings))).alias("_nth", "_name"))
     known = docs.select(F.col("uri").alias("_name")).filter("_name is not null").distinct()
-    return tried.join(known, "_name").groupBy("src", "_at").agg(F.min(F.struct("_nth", "_name"))["_name"].alias("dst")).select("src", "dst").distinct()
+    return tried.join(known.hint("merge"), "_name").groupBy("src", "_at").agg(F.min(F.struct("_nth", "_name"))["_name"].alias("dst")).select("src", "dst").distinct()
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose source has one that leads to it and whose target has one that leads on."""
     reached, leading = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-    return edges.join(reached, "src", "left_semi").join(leading, "dst", "left_semi").select("src", "dst")
+    return edges.join(reached.hint("merge"), "src", "left_semi").join(leading.hint("merge"), "dst", "left_semi").select("src", "dst")
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
@@ -51,9 +52,9 @@ def _coloured(edges: DataFrame) -> DataFrame:
     colours = nodes.select("node", F.struct(F.xxhash64("node").alias("hash"), F.col("node").alias("node")).alias("colour"), F.lit(True).alias("new"))
     while True:
         for _ in range(_STEPS):
-            sent = edges.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("theirs")), "src")
+            sent = edges.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("theirs")).hint("merge"), "src")
             least = sent.groupBy(F.col("dst").alias("node")).agg(F.min("theirs").alias("least"))
-            colours = colours.join(least, "node", "left").select("node", F.least("colour", "least").alias("colour"), F.coalesce(F.col("least") < F.col("colour"), F.lit(False)).alias("new"))
+            colours = colours.join(least.hint("merge"), "node", "left").select("node", F.least("colour", "least").alias("colour"), F.coalesce(F.col("least") < F.col("colour"), F.lit(False)).alias("new"))
         colours = settled(colours)
         if not colours.filter("new").limit(1).count():
             return colours.select("node", "colour")
@@ -61,13 +62,13 @@ def _coloured(edges: DataFrame) -> DataFrame:
 
 def _heads_back(edges: DataFrame, colours: DataFrame) -> DataFrame:
     """(node, component) of the nodes that lead back to their colour's head."""
-    of = lambda name: colours.select(F.col("node").alias(name), F.col("colour").alias(f"{name}_colour"))
+    of = lambda name: colours.select(F.col("node").alias(name), F.col("colour").alias(f"{name}_colour")).hint("merge")
     inner = settled(edges.join(of("src"), "src").join(of("dst"), "dst").filter("src_colour = dst_colour").select("src", "dst"))
     marked = colours.filter("node = colour.node").select("node", F.col("node").alias("component"))
     count = marked.count()
     while True:
         for _ in range(_STEPS):
-            back = inner.join(marked.select(F.col("node").alias("dst"), "component"), "dst").select(F.col("src").alias("node"), "component")
+            back = inner.join(marked.select(F.col("node").alias("dst"), "component").hint("merge"), "dst").select(F.col("src").alias("node"), "component")
             marked = marked.union(back).distinct()
         marked = settled(marked)
         if (now := marked.count()) == count:
@@ -94,12 +95,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done = settled(_heads_back(live, _coloured(live)))
         found.append(done)
         gone = done.select("node")
-        live = settled(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        live = settled(live.join(gone.withColumnRenamed("node", "src").hint("merge"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst").hint("merge"), "dst", "left_anti"))
         count = None
     every = reduce(DataFrame.unionByName, found, alone.filter("false"))
     sizes = every.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("_least"))
-    several = every.join(sizes, "component").filter("size > 1").select("node", F.col("_least").alias("component"), "size")
-    single = alone.join(several.select("node"), "node", "left_anti").select("node", "component", F.lit(1).cast("long").alias("size"))
+    several = every.join(sizes.hint("merge"), "component").filter("size > 1").select("node", F.col("_least").alias("component"), "size")
+    single = alone.join(several.select("node").hint("merge"), "node", "left_anti").select("node", "component", F.lit(1).cast("long").alias("size"))
     return several.unionByName(single)
 
 

@@ -10,7 +10,7 @@ from ..streaming import extract as streams
 from ..sources import pieces, sinks
 from .detail_queries import _carried
 from . import engine
-from .queries import HTML_CTE, _LANGS, _event_tree, _mixed, pages, query, read, text
+from .queries import HTML_CTE, _LANGS, _event_tree, _mixed, dealt, pages, query, read, text
 
 # ------------------------------------------------------------------------ links
 
@@ -183,7 +183,8 @@ SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c"""
 def import_cycles(spark, sf_dir):
     """Modules with circles of imports, one inside another, one of a module with itself, and ways between them."""
     k = F.col("p_partkey")
-    rows = read(spark, sf_dir, "part").select(F.floor(k / 10).alias("g"), (k % 10).alias("n"), k.cast("long").alias("doc_id"))
+    keys = dealt(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    rows = keys.select(F.floor(k / 10).alias("g"), (k % 10).alias("n"), k.cast("long").alias("doc_id"))
     g, n = F.col("g"), F.col("n")
     content = (
         F.when(n == 1, "import a from './f2.js'\nconst b = require('./f4')").when(n == 3, F.when(g % 4 != 3, "import a from './f0'\nexport * from './f8.js'").otherwise("import a from './f0'"))

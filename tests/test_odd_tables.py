@@ -62,3 +62,15 @@ def test_json_is_parsed_once_and_after_keys_are_dealt(spark, tmp_path, monkeypat
     assert found == {(k, v.format(k)) for k in range(5) for v in ("one{}.txt", "/two{}", "./x{}", "../last{}")}
     above, below = seen[0].split("RepartitionByExpression")
     assert above.lower().count("parse_json") + above.count("parseJson") == 1 and "json" not in below.lower()
+
+
+def test_rounds_of_cycles_broadcast_nothing(spark, monkeypatch):
+    from pathloom.operators import cycles
+
+    plans, settle = [], cycles.settled
+    monkeypatch.setattr(cycles, "settled", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or settle(rows))
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "c"), (None, "a")], "src string, dst string")
+    found = cycles.strong_components(edges)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, found.collect())) == [("a", "a", 2), ("b", "a", 2), ("c", "c", 1)]
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
