@@ -9,9 +9,10 @@ agreement: its cosine once more, with every term multiplied by one plus the chi-
 which the term's presence goes with the label. The kernel's rate and the calibration are
 fitted on the examples themselves, each scored without itself.
 
-Neighbours come from a block-max inverted index: examples lie in blocks of similar
-ones, every term has the largest weight of each block that holds it, and a text visits
-only blocks whose bound reaches its k-th best cosine so far. The k nearest are exact.
+Neighbours come from a block-max inverted index: the short lists of rare terms are added
+up, examples lie in blocks of similar ones, every common term has its largest weight in
+each block, and a text visits only blocks whose bound reaches its k-th best cosine so
+far. The k nearest are exact.
 """
 
 from __future__ import annotations
@@ -19,33 +20,60 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from functools import cached_property
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, map_batches, map_rows, materialize, release
 
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
-#: Texts whose cosines are found at once, and examples of a block.
-BATCH, BLOCK = 256, 64
-#: Terms whose products are taken at once, so that neighbours of very long texts stay small in memory.
+#: Texts whose cosines are found at once, their cosines with all examples at most, and examples of a block.
+BATCH, PLACES, BLOCK = 256, 2_000_000, 64
+#: Characters of texts whose words are looked up at once; each time Arrow hashes all terms.
+CHARACTERS = 4_000_000
+#: Products that are taken at once, so that neighbours of very long texts stay small in memory.
 AT_ONCE = 500_000
 #: Rates of the votes' kernel, of which training takes the best.
 RATES = (2.0, 4.0, 8.0, 12.0, 16.0)
 
 
+def _spaced(text: str | None) -> bytes:
+    """The words of a text and spaces."""
+    return (text or "").lower().encode().translate(_LETTERS)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_LETTERS).split()
+    return _spaced(text).split()
+
+
+def batches_of(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, of several at most CHARACTERS together."""
+    some, size = [], 0
+    for text in texts:
+        n = len(text or "")
+        if some and size + n > CHARACTERS:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += n
+    if some:
+        yield some
 
 
 class TermCounter:
     """Counts the known terms of texts."""
 
     def __init__(self, terms: list[bytes]) -> None:
-        self.ids = {t: i for i, t in enumerate(terms)}
+        self.terms = pa.array(terms, pa.binary())
+
+    @cached_property
+    def ids(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.terms.to_pylist())}
 
     def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the known terms in order, how often each occurs)."""
@@ -56,6 +84,22 @@ class TermCounter:
         order = order[np.searchsorted(ids[order], 0) :]
         return ids[order], times[order]
 
+    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the text, id, how often) of the known terms of texts, in order of both, by Arrow's kernels."""
+        words = pc.ascii_split_whitespace(pa.array([_spaced(t) for t in texts], pa.binary()).cast(pa.string()))
+        ids = pc.fill_null(pc.index_in(words.values.cast(pa.binary()), self.terms), -1).to_numpy().astype(np.int64)
+        text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        key = (text * len(self.terms) + ids)[ids >= 0]
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return *np.divmod(key[first], max(1, len(self.terms))), np.diff(first, append=len(key))
+
+    def many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``arrays`` of each text."""
+        text, ids, times = self.pairs(texts)
+        edges = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        return [(ids[a:z], times[a:z]) for a, z in pairwise(edges)]
+
     def __call__(self, text: str | None) -> dict[int, int]:
         terms, times = self.arrays(text)
         return dict(zip(terms.tolist(), times.tolist(), strict=True))
@@ -67,15 +111,25 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def _pieces(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of places with about AT_ONCE of n together, a place at least."""
+    ends, a = np.cumsum(n, dtype=np.int64), 0
+    while a < len(n):
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + AT_ONCE, side="right")))
+        yield a, z
+        a = z
+
+
 class BlockMaxIndex:
     """Unit example vectors of positive weights, to find those of largest cosine.
 
-    Terms that many examples have are rows of a dense matrix, others have lists of
-    their examples; both keep each block's largest weight. A batch of texts first
-    visits each text's two blocks of largest bound, then all blocks whose bound
-    reaches the text's k-th best cosine. Cosines add up in single precision; what by the
-    bound of rounding errors may be among the k best is computed again from the
-    whole vectors in double precision, so the k nearest are exact.
+    Terms that many examples have are rows of a dense matrix with each block's largest
+    weight, others have lists of their examples. The lists of a text's terms are added up
+    in double precision, once for all that is asked of them; with the blocks' largest
+    weights they bound each block. A text visits the twelfth of the blocks with its largest
+    bounds first, then all blocks whose bound reaches its k-th best cosine. Products with
+    the dense rows add up in single precision; what by the bound of rounding errors may be
+    among the k best is computed again in double precision, so the k nearest are exact.
     """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK) -> None:
@@ -117,20 +171,17 @@ class BlockMaxIndex:
         self.dense_most = np.maximum.reduceat(self.dense, self.edges[:-1], axis=1) if self.size else np.zeros((common, 0), dtype=np.float32)
         rest = np.flatnonzero(column < 0)
         rest = rest[np.lexsort((owner[rest], self.term[rest]))]
-        self.owner, self.light, light_term = owner[rest].astype(np.int32), self.weight[rest].astype(np.float32), self.term[rest].astype(np.int64)
-        # One entry a term and block: where its postings start, how many they are, the largest weight.
-        pair = light_term * max(1, self.blocks) + self.owner // block
-        self.posting = np.flatnonzero(np.diff(pair, prepend=-1)).astype(np.int32)
-        self.postings = np.diff(self.posting, append=len(pair)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.light, self.posting) if len(pair) else np.zeros(0, dtype=np.float32)
-        self.at_block = (self.owner[self.posting] // block).astype(np.int32)
-        self.entry = np.searchsorted(light_term[self.posting], np.arange(terms + 1)).astype(np.int32)
-        self.query, self.place = np.zeros(terms), None
+        self.owner, self.light = owner[rest].astype(np.int32), self.weight[rest]
+        self.entry = np.searchsorted(self.term[rest], np.arange(terms + 1)).astype(np.int32)  # where each term's list starts
+        # The vectors' common terms once more, example by example, for sums in double precision.
+        some = np.flatnonzero(column >= 0)
+        self.held, self.held_weight = column[some], self.weight[some]
+        self.held_first = np.concatenate([[0], np.cumsum(np.bincount(owner[some], minlength=self.size))]).astype(np.int64)
         self.visited = self.possible = 0
 
     def resting(self) -> BlockMaxIndex:
         """The index as it is broadcast; it wakes where it is read."""
-        for name in ("dense", "dense_most", "owner", "light", "posting", "postings", "most", "at_block", "entry", "query", "place"):
+        for name in ("dense", "dense_most", "owner", "light", "entry", "held", "held_weight", "held_first"):
             setattr(self, name, None)
         return self
 
@@ -160,37 +211,38 @@ class BlockMaxIndex:
 
     def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each vector."""
+        return [(numbers, cosines) for numbers, cosines, _ in self.all_products(vectors, [None] * len(vectors), k, without)]
+
+    def all_products(
+        self, vectors: list[tuple[np.ndarray, np.ndarray]], others: list[np.ndarray | None], k: int, without: list[int] | None = None
+    ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``nearest`` of each vector, and those examples' products with other weights of the vector's terms."""
         place = np.argsort(self.order) if without else None
-        out = []
-        for a in range(0, len(vectors), BATCH):
-            skip = [int(place[w]) if w >= 0 else -1 for w in without[a : a + BATCH]] if without else None
-            out += self._batch(vectors[a : a + BATCH], k, skip)
+        out, step = [], min(BATCH, max(1, PLACES // max(1, self.size)))
+        for a in range(0, len(vectors), step):
+            skip = [int(place[w]) if w >= 0 else -1 for w in without[a : a + step]] if without else None
+            out += self._batch(vectors[a : a + step], others[a : a + step], k, skip)
         return out
 
-    def _batch(self, some: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _batch(self, some: list[tuple[np.ndarray, np.ndarray]], others: list[np.ndarray | None], k: int, skip: list[int] | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n = len(some)
         if not self.size:
-            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * n
-        columns = [self.column[t] for t, _ in some]
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))] * n
         heavy = np.zeros((n, len(self.dense)), dtype=np.float32)
-        for row, c, (_, w) in zip(heavy, columns, some, strict=True):
-            row[c[c >= 0]] = w[c >= 0]
-        bound = heavy @ self.dense_most
-        entries = []
-        for i, (c, (t, w)) in enumerate(zip(columns, some, strict=True)):
-            rare = t[c < 0]
-            a = self.entry[rare]
-            m = self.entry[rare + 1] - a
-            e = _ranges(a, m)
-            weight = np.repeat(w[c < 0], m)
-            entries.append((e, weight))
-            bound[i] += np.bincount(self.at_block[e], self.most[e] * weight, minlength=self.blocks)
+        rare = np.zeros((n, self.size))
+        rare_others = np.zeros((n, self.size)) if any(o is not None for o in others) else rare
+        for i, ((t, w), other) in enumerate(zip(some, others, strict=True)):
+            c = self.column[t]
+            heavy[i, c[c >= 0]] = w[c >= 0]
+            light = c < 0
+            self._lists(t[light], [(rare[i], w[light])] + ([(rare_others[i], other[light])] if other is not None else []))
+        bound = heavy @ self.dense_most + np.maximum.reduceat(rare, self.edges[:-1], axis=1)
         slack = np.array([1 + (len(t) + 8) * 2.0**-22 for t, _ in some])  # all summands are positive
         sums = np.zeros((n, self.size), dtype=np.float32)
         mask = np.zeros((n, self.blocks), dtype=bool)
-        best = np.argsort(-bound, axis=1, kind="stable")[:, : max(2, -(-2 * k // self.block))]
+        best = np.argsort(-bound, axis=1, kind="stable")[:, : max(2, self.blocks // 12, -(-2 * k // self.block))]
         np.put_along_axis(mask, best, True, axis=1)
-        self._visit(mask, heavy, entries, sums)
+        self._visit(mask, heavy, rare, sums)
         if skip:
             for i, s in enumerate(skip):
                 sums[i, s] = 0 if s >= 0 else sums[i, s]
@@ -199,58 +251,61 @@ class BlockMaxIndex:
             seen = np.concatenate([sums[i, self.edges[b] : self.edges[b + 1]] for b in best[i]])
             least[i] = np.partition(seen, -k)[-k] if k < len(seen) else 0.0
         more = (bound * slack[:, None] * slack[:, None] >= least[:, None]) & (bound > 0) & ~mask
-        self._visit(more, heavy, entries, sums)
+        self._visit(more, heavy, rare, sums)
         self.visited += int(mask.sum() + more.sum())
         self.possible += mask.size
-        out = []
-        for i, (t, w) in enumerate(some):
+        out, query = [], np.zeros((2, len(self.dense)))
+        for i, ((t, w), other) in enumerate(zip(some, others, strict=True)):
             if skip and skip[i] >= 0:
                 sums[i, skip[i]] = 0
-            out.append(self._exact(t, w, sums[i], k, slack[i], float(least[i])))
+            places = self._candidates(sums[i], k, slack[i] * slack[i], float(least[i]))
+            c = self.column[t]
+            query[0, c[c >= 0]] = w[c >= 0]
+            if other is not None:
+                query[1, c[c >= 0]] = other[c >= 0]
+            cosines, products = self._common(places, query)
+            query[:, c[c >= 0]] = 0
+            cosines += rare[i, places]
+            numbers = self.order[places]
+            first = np.lexsort((numbers, -cosines.round(12)))[:k]
+            out.append((numbers[first], cosines[first], (products + rare_others[i, places])[first]))
         return out
 
-    def _visit(self, mask: np.ndarray, heavy: np.ndarray, entries: list, sums: np.ndarray) -> None:
-        """Add the cosines of the masked (text, block) places to ``sums``."""
+    def _lists(self, terms: np.ndarray, sums: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Add to each of ``sums`` the lists of ``terms`` by its weights, about AT_ONCE postings at a time."""
+        start = self.entry[terms]
+        n = self.entry[terms + 1] - start
+        for a, z in _pieces(n):
+            at = _ranges(start[a:z], n[a:z])
+            owner, light = self.owner[at].astype(np.intp), self.light[at]
+            for total, weights in sums:
+                total += np.bincount(owner, light * np.repeat(weights[a:z], n[a:z]), minlength=self.size)
+
+    def _visit(self, mask: np.ndarray, heavy: np.ndarray, rare: np.ndarray, sums: np.ndarray) -> None:
+        """Set the cosines of the masked (text, block) places in ``sums``."""
         for b in np.flatnonzero(mask.any(axis=0)).tolist():
             rows, a, z = np.flatnonzero(mask[:, b]), self.edges[b], self.edges[b + 1]
-            sums[rows, a:z] = heavy[rows] @ self.dense[:, a:z]
-        for i, (e, weight) in enumerate(entries):
-            use = mask[i, self.at_block[e]]
-            e, weight = e[use], weight[use]
-            m = self.postings[e]
-            at = _ranges(self.posting[e], m)
-            sums[i] += np.bincount(self.owner[at], self.light[at] * np.repeat(weight, m), minlength=self.size)
-
-    def _exact(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray, k: int, slack: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        places = np.flatnonzero(near * slack * slack >= floor) if floor > 0 else np.flatnonzero(near > 0)
-        if len(places) > k:
-            places = places[near[places] * slack * slack >= np.partition(near[places], -k)[-k]]
-        self.query[terms] = weights
-        cosines = self._products(places)
-        self.query[terms] = 0
-        numbers = self.order[places]
-        order = np.lexsort((numbers, -cosines.round(12)))[:k]
-        return numbers[order], cosines[order]
-
-
-    def _products(self, places: np.ndarray) -> np.ndarray:
-        """Products of the vectors at ``places`` and the spread-out query, about AT_ONCE terms at a time. No vector is empty."""
-        start, n = self.first[places], self.first[places + 1] - self.first[places]
-        ends, out, a = np.cumsum(n), np.zeros(len(places)), 0
-        while a < len(places):
-            z = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + AT_ONCE, side="right")))
-            at = _ranges(start[a:z], n[a:z])
-            out[a:z] = np.add.reduceat(self.weight[at] * self.query[self.term[at]], np.cumsum(n[a:z]) - n[a:z])
-            a = z
-        return out
+            sums[rows, a:z] = heavy[rows] @ self.dense[:, a:z] + rare[rows, a:z]
 
-    def products(self, numbers: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Products of the examples ``numbers`` and any vector."""
-        if self.place is None:
-            self.place = np.argsort(self.order)
-        self.query[terms] = weights
-        out = self._products(self.place[numbers])
-        self.query[terms] = 0
+    def _candidates(self, near: np.ndarray, k: int, slack: float, floor: float) -> np.ndarray:
+        """Places of all that may be among the k nearest, by cosines with rounding errors."""
+        places = np.flatnonzero(near * slack >= floor) if floor > 0 else np.flatnonzero(near > 0)
+        if len(places) > k:
+            places = places[near[places] * slack >= np.partition(near[places], -k)[-k]]
+        return places
+
+    def _common(self, places: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Products of the common terms of the vectors at ``places`` and each query, about AT_ONCE at a time."""
+        first, last = self.held_first[places], self.held_first[places + 1]
+        out = np.zeros((len(queries), len(places)))
+        some = np.flatnonzero(last > first)
+        first, last = first[some], last[some]
+        for a, z in _pieces(last - first):
+            ranges = list(zip(first[a:z].tolist(), last[a:z].tolist(), strict=True))
+            column, weight = (np.concatenate([x[f:l] for f, l in ranges]) for x in (self.held, self.held_weight))
+            starts = np.cumsum(last[a:z] - first[a:z]) - (last[a:z] - first[a:z])
+            for total, query in zip(out, queries, strict=True):
+                total[some[a:z]] = np.add.reduceat(query[column] * weight, starts)
         return out
 
     def lengths(self, strength: np.ndarray) -> np.ndarray:
@@ -286,18 +341,20 @@ class ToxicityModel:
         weight = (1 + np.log(times)) * self.weight[terms]
         return terms, weight / np.sqrt((weight**2).sum()) if len(weight) else weight
 
-    def agreement(self, terms: np.ndarray, weights: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """Cosines of a unit vector and the examples ``numbers``, all terms multiplied by their strength."""
-        if not len(numbers):
-            return np.zeros(0)
+    def stressed(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weights of the terms whose products with examples, over ``norms``, are cosines with all terms multiplied by their strength."""
         strong = weights * self.strength[terms]
-        length = np.sqrt((strong**2).sum())
-        return self.index.products(numbers, terms, strong * self.strength[terms] / length) / self.norms[numbers]
+        return strong * self.strength[terms] / np.sqrt((strong**2).sum()) if len(strong) else strong
+
+    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers, cosines, agreement) of the nearest examples of each unit vector."""
+        found = self.index.all_products(vectors, [self.stressed(*v) for v in vectors], self.k, without)
+        return [(numbers, cosines, products / self.norms[numbers]) for numbers, cosines, products in found]
 
     def raw(self, numbers: np.ndarray, agreement: np.ndarray) -> float:
         """Votes weighted by agreement, with the prior as a vote without any."""
-        vote = self.votes[numbers] * np.exp(self.rate * agreement)
-        return float(((vote * self.labels[numbers]).sum() + self.prior * self.votes.mean()) / (vote.sum() + self.votes.mean()))
+        vote, one = self.votes[numbers] * np.exp(self.rate * agreement), self.votes.mean()
+        return float(((vote * self.labels[numbers]).sum() + self.prior * one) / (vote.sum() + one))
 
     def calibrated(self, raw: float) -> float:
         p = min(1 - 1e-6, max(1e-6, raw))
@@ -369,20 +426,19 @@ def train(
     total = float(all0 + all1)
     cross = a * (all0 - b) - b * (all1 - a)
     chi2 = F.try_divide(total * cross * cross, F.lit(float(all1)) * all0 * (a + b) * (total - a - b))
-    table = held.select("term", F.when(a + b >= 5, F.coalesce(chi2, F.lit(0.0))).otherwise(0.0).alias("chi2")).toArrow().sort_by("term")
+    table = held.select("term", (a + b).alias("n"), F.when(a + b >= 5, F.coalesce(chi2, F.lit(0.0))).otherwise(0.0).alias("chi2")).toArrow()
+    table = table.sort_by([("n", "descending"), ("term", "ascending")])  # so that what most lookups meet lies together in memory
     terms, strength = table.column("term").to_pylist(), 1 + table.column("chi2").to_numpy().copy()
     del table
     shared = spark.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = TermCounter(shared.value).ids
-        n = np.zeros(len(ids) + 1, dtype=np.int64)
+        count = TermCounter(shared.value)
+        n = np.zeros(len(count.terms) + 1, dtype=np.int64)
         for batch in batches:
             n[-1] += batch.num_rows
-            seen = Counter(chain.from_iterable(set(words_of(text.as_py())) for text in batch.column(0)))
-            at = np.fromiter(map(ids.get, seen, repeat(-1)), dtype=np.int64, count=len(seen))
-            times = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-            n[at[at >= 0]] += times[at >= 0]
+            for texts in batches_of(batch.column(0).to_pylist()):
+                n[:-1] += np.bincount(count.pairs(texts)[1], minlength=len(count.terms))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
 
@@ -433,8 +489,7 @@ def _fit(rows: list, terms: list[bytes], weight: np.ndarray, strength: np.ndarra
     vectors = [model.unit(r[2], r[3]) for r in used]
     model.index = BlockMaxIndex(vectors, len(terms))
     model.norms = model.index.lengths(strength)
-    found = [numbers for numbers, _ in model.index.all_nearest(vectors, k, list(range(len(used))))]
-    agree = [model.agreement(*v, numbers) for v, numbers in zip(vectors, found, strict=True)]
+    near = [(numbers, agreement) for numbers, _, agreement in model.neighbours(vectors, list(range(len(used))))]
     model.index.resting()
     blank = [r for r in rows if not len(r[2])]
     y = np.array([r[1] for r in used + blank], dtype=float)
@@ -443,7 +498,7 @@ def _fit(rows: list, terms: list[bytes], weight: np.ndarray, strength: np.ndarra
     times, least = np.array([share[int(v)] for v in y]), np.inf
     for rate in RATES:
         model.rate = rate
-        raw = np.array([model.raw(*f) for f in zip(found, agree, strict=True)] + [prior] * len(blank))
+        raw = np.array([model.raw(*f) for f in near] + [prior] * len(blank))
         slope, shift = _platt(raw, y, times)
         odds = slope * np.log(np.clip(raw, 1e-6, 1 - 1e-6) / (1 - np.clip(raw, 1e-6, 1 - 1e-6))) + shift
         loss = float((times * np.logaddexp(0, np.where(y > 0, -odds, odds))).sum())
@@ -475,10 +530,9 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) ->
 
         def work(c):
             out = {name: c[name] for name in ("doc_id", *keep)} | {"score": [], "neighbours": [], "cosines": []}
-            for a in range(0, len(c["text"]), BATCH):
-                vectors = [model.unit(*count.arrays(text)) for text in c["text"][a : a + BATCH]]
-                for vector, (numbers, cosines) in zip(vectors, model.index.all_nearest(vectors, model.k), strict=True):
-                    agree = model.agreement(*vector, numbers)
+            for texts in batches_of(c["text"]):
+                vectors = [model.unit(*bag) for bag in count.many(texts)]
+                for numbers, cosines, agree in model.neighbours(vectors):
                     out["score"].append(model.calibrated(model.raw(numbers, agree)) if len(numbers) else blank)
                     out["neighbours"].append(model.ids[numbers].tolist())
                     out["cosines"].append(cosines.tolist())

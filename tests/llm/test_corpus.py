@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -532,6 +533,45 @@ def test_terms_are_counted_alike():
     assert all((np.diff(count.arrays(t)[0]) > 0).all() for t in texts) and toxicity.TermCounter([])("ab") == {}
 
 
+def test_words_of_many_texts_are_looked_up_alike(monkeypatch):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice(["ab", "Ab", "abc", "d", "efgh", " ", ".", "É", "İ", "\u0085", "\u00a0", "\x1c", "\n", "\t", "1", "文字"]) for _ in range(draw.randint(0, 40))) for _ in range(300)]
+    texts[7:7] = [None, "", " . ", None]
+    terms = sorted({w for text in texts for w in toxicity.words_of(text)}, reverse=True)[::2]
+    for known in (terms, [], [b"absent"]):
+        count = toxicity.TermCounter(known)
+        for limit in (1, 60, 4_000_000):
+            monkeypatch.setattr(toxicity, "CHARACTERS", limit)
+            batches = list(toxicity.batches_of(texts))
+            assert [t for b in batches for t in b] == texts and all(len(b) == 1 or sum(len(t or "") for t in b) <= limit for b in batches)
+            for (ids, times), text in zip((bag for b in batches for bag in count.many(b)), texts, strict=True):
+                want_ids, want_times = count.arrays(text)
+                assert ids.tolist() == want_ids.tolist() and times.tolist() == want_times.tolist()
+
+
+def test_long_examples_cost_texts_that_share_few_terms_little():
+    """A text pays for the terms it shares with examples, not for all terms of its neighbours."""
+    draw = np.random.default_rng(5)
+    shared, own, n = 60, 10_000, 200
+
+    def taken(more):
+        rows = []
+        for i in range(n):
+            terms = np.concatenate([np.sort(draw.choice(shared, 20, replace=False)), shared + i * more + np.arange(more)])
+            weights = draw.uniform(1, 2, len(terms))
+            rows.append((terms, weights / np.sqrt((weights**2).sum())))
+        index = toxicity.BlockMaxIndex(rows, shared + n * more)
+        vectors = [(t[:20], w[:20] / np.sqrt((w[:20] ** 2).sum())) for t, w in rows]
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            index.all_nearest(vectors, 60)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert taken(own) < 4 * taken(0)
+
+
 def sentences(seed, n, lexicon, extra=None):
     draw = random.Random(seed)
     out = []
