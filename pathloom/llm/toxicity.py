@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 from itertools import chain, pairwise, repeat
 
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, map_batches, map_rows, materialize, release
+from .common import _arrow_schema, _small, give_back, map_batches, map_rows, materialize, release
 
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 #: Texts whose cosines are found at once, their cosines with all examples at most, and examples of a block.
@@ -65,11 +65,17 @@ def batches_of(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield some
 
 
+def words_at(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, the number of each one's text), by Arrow's kernels; beside spaces at a text's ends stands an empty word."""
+    words = pc.ascii_split_whitespace(pa.array([_spaced(t) for t in texts], pa.binary()).cast(pa.string()))
+    return words.values.cast(pa.binary()), np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(words.offsets.to_numpy()))
+
+
 class TermCounter:
     """Counts the known terms of texts."""
 
-    def __init__(self, terms: list[bytes]) -> None:
-        self.terms = pa.array(terms, pa.binary())
+    def __init__(self, terms: list[bytes] | pa.Array) -> None:
+        self.terms = terms if isinstance(terms, pa.Array) else pa.array(terms, pa.binary())
 
     @cached_property
     def ids(self) -> dict[bytes, int]:
@@ -86,12 +92,15 @@ class TermCounter:
 
     def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of the text, id, how often) of the known terms of texts, in order of both, by Arrow's kernels."""
-        words = pc.ascii_split_whitespace(pa.array([_spaced(t) for t in texts], pa.binary()).cast(pa.string()))
-        ids = pc.fill_null(pc.index_in(words.values.cast(pa.binary()), self.terms), -1).to_numpy().astype(np.int64)
-        text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
-        key = (text * len(self.terms) + ids)[ids >= 0]
+        words, text = words_at(texts)
+        ids = pc.index_in(words, self.terms)
+        del words
+        key = text[ids.is_valid().to_numpy(zero_copy_only=False)].astype(np.int64)
+        key *= len(self.terms)
+        key += ids.drop_null().to_numpy()
+        del ids, text
         key.sort()
-        first = np.flatnonzero(np.diff(key, prepend=-1))
+        first = _changes(key)
         return *np.divmod(key[first], max(1, len(self.terms))), np.diff(first, append=len(key))
 
     def many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -105,6 +114,11 @@ class TermCounter:
         return dict(zip(terms.tolist(), times.tolist(), strict=True))
 
 
+def _changes(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+
+
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each range of n, one range after the other."""
     start, n = start.astype(np.int64), n.astype(np.int64)
@@ -150,25 +164,29 @@ class BlockMaxIndex:
         self._arrange()
 
     def __getstate__(self) -> tuple:
-        """The vectors alone: the rest follows from them, and what is broadcast stays small."""
-        return self.terms, self.block, self.order, self.term, self.weight, self.first, self.column
+        """The lists and the common terms, which searches need: the vectors stay behind, the dense rows follow from these."""
+        return self.terms, self.block, self.order, self.column, self.entry, self.owner, self.light, self.held, self.held_weight, self.held_first
 
     def __setstate__(self, state: tuple) -> None:
-        self.terms, self.block, self.order, self.term, self.weight, self.first, self.column = state
+        self.terms, self.block, self.order, self.column, self.entry, self.owner, self.light, self.held, self.held_weight, self.held_first = state
         self.size = len(self.order)
-        self._arrange()
+        self._fill()
 
-    def _arrange(self) -> None:
-        """The dense rows, the lists, and the largest weights of the blocks."""
-        terms, block = self.terms, self.block
-        owner = np.repeat(np.arange(self.size), np.diff(self.first))
-        self.edges = np.append(np.arange(0, self.size, block), self.size)
+    def _fill(self) -> None:
+        """The dense rows and the largest weights of the blocks."""
+        self.edges = np.append(np.arange(0, self.size, self.block), self.size)
         self.blocks = len(self.edges) - 1
-        column = self.column[self.term]
         common = int(self.column.max(initial=-1)) + 1
         self.dense = np.zeros((common, self.size), dtype=np.float32)
-        self.dense[column[column >= 0], owner[column >= 0]] = self.weight[column >= 0]
+        self.dense[self.held, np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.held_first))] = self.held_weight
         self.dense_most = np.maximum.reduceat(self.dense, self.edges[:-1], axis=1) if self.size else np.zeros((common, 0), dtype=np.float32)
+        self.visited = self.possible = 0
+
+    def _arrange(self) -> None:
+        """The lists, and the vectors' common terms."""
+        terms = self.terms
+        owner = np.repeat(np.arange(self.size), np.diff(self.first))
+        column = self.column[self.term]
         rest = np.flatnonzero(column < 0)
         rest = rest[np.lexsort((owner[rest], self.term[rest]))]
         self.owner, self.light = owner[rest].astype(np.int32), self.weight[rest]
@@ -177,11 +195,11 @@ class BlockMaxIndex:
         some = np.flatnonzero(column >= 0)
         self.held, self.held_weight = column[some], self.weight[some]
         self.held_first = np.concatenate([[0], np.cumsum(np.bincount(owner[some], minlength=self.size))]).astype(np.int64)
-        self.visited = self.possible = 0
+        self._fill()
 
     def resting(self) -> BlockMaxIndex:
         """The index as it is broadcast; it wakes where it is read."""
-        for name in ("dense", "dense_most", "owner", "light", "entry", "held", "held_weight", "held_first"):
+        for name in ("dense", "dense_most", "term", "weight", "first"):
             setattr(self, name, None)
         return self
 
@@ -411,13 +429,18 @@ def train(
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = {0: Counter(), 1: Counter()}
-            for text, label in zip(batch.column(0), batch.column(1), strict=True):
-                of[label.as_py()].update(set(words_of(text.as_py())))
-            every = list(of[0].keys() | of[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(every, pa.binary()), *(pa.array([of[y][t] for t in every], pa.int64()) for y in (0, 1))], names=["term", "n0", "n1"]
-            )
+            label, at = batch.column(1).to_numpy(), 0
+            for texts in batches_of(batch.column(0).to_pylist()):
+                words, text = words_at(texts)
+                words = words.dictionary_encode()
+                every = len(words.dictionary)
+                key = text.astype(np.int64) * every + words.indices.to_numpy()
+                key.sort()
+                text, term = np.divmod(key[_changes(key)], max(1, every))
+                of = label[at + text]
+                at += len(texts)
+                rows = [words.dictionary, *(pa.array(np.bincount(term[of == y], minlength=every)) for y in (0, 1))]
+                yield pa.RecordBatch.from_arrays(rows, names=["term", "n0", "n1"]).filter(pc.not_equal(words.dictionary, b""))
 
     all0, all1 = sizes.get(0, 0), sizes.get(1, 0)
     held = map_batches(sample.select("text", "toxic"), spread, "term binary, n0 long, n1 long")
@@ -428,7 +451,7 @@ def train(
     chi2 = F.try_divide(total * cross * cross, F.lit(float(all1)) * all0 * (a + b) * (total - a - b))
     table = held.select("term", (a + b).alias("n"), F.when(a + b >= 5, F.coalesce(chi2, F.lit(0.0))).otherwise(0.0).alias("chi2")).toArrow()
     table = table.sort_by([("n", "descending"), ("term", "ascending")])  # so that what most lookups meet lies together in memory
-    terms, strength = table.column("term").to_pylist(), 1 + table.column("chi2").to_numpy().copy()
+    terms, strength = pa.concat_arrays([pa.array([], pa.binary()), *table.column("term").chunks]), 1 + table.column("chi2").to_numpy().copy()
     del table
     shared = spark.sparkContext.broadcast(terms)
 
@@ -437,8 +460,9 @@ def train(
         n = np.zeros(len(count.terms) + 1, dtype=np.int64)
         for batch in batches:
             n[-1] += batch.num_rows
-            for texts in batches_of(batch.column(0).to_pylist()):
-                n[:-1] += np.bincount(count.pairs(texts)[1], minlength=len(count.terms))
+            for piece in _small(batch) if batch.num_rows else ():
+                for texts in batches_of(piece.column(0).to_pylist()):
+                    n[:-1] += np.bincount(count.pairs(texts)[1], minlength=len(count.terms))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
 
@@ -452,7 +476,7 @@ def train(
         count = TermCounter(shared.value)
 
         def work(c):
-            found = [count.arrays(t) for t in c["text"]]
+            found = [bag for texts in batches_of(c["text"]) for bag in count.many(texts)]
             return {"doc_id": c["doc_id"], "toxic": c["toxic"], "terms": [t for t, _ in found], "times": [n for _, n in found]}
 
         return work
@@ -465,7 +489,7 @@ def train(
     shared.unpersist()
     release(ids, found, sample)
     give_back()
-    model = _fit(rows, terms, idf, strength, counts, (all0, all1), k)
+    model = _fit(rows, terms.to_pylist(), idf, strength, counts, (all0, all1), k)
     del rows
     give_back()
     return model
@@ -508,39 +532,42 @@ def _fit(rows: list, terms: list[bytes], weight: np.ndarray, strength: np.ndarra
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = (), *, evidence: bool = True) -> DataFrame:
     """(doc_id, *keep, score, predicted, neighbours, cosines) of every row.
 
     score: calibrated chance of label 1, 0 to 1; predicted: 1 if score >= 0.5.
     neighbours and cosines are the evidence: the nearest examples' doc_ids, nearest
-    first. Texts of any length are read whole; a text takes a task its words' worth of memory. Texts that are null, empty or without known terms have no neighbours and
+    first; without ``evidence`` they are worked out and left out. Texts of any length are read whole; a text takes a task its words' worth of memory. Texts that are null, empty or without known terms have no neighbours and
     get the score of labelled rows that have none either. Repeated rows are scored
     one by one. An empty table gives no rows. Columns besides doc_id, text and those
     of ``keep`` are ignored; ``keep`` may not name an output.
     """
     if clash := {"score", "predicted", "neighbours", "cosines"} & set(keep):
         raise ValueError(f"columns to keep have names of outputs: {sorted(clash)}")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    types = dict(docs.dtypes)
-
-    def make():
+    spark, types = docs.sparkSession, dict(docs.dtypes)
+    shared = spark.sparkContext.broadcast(replace(model, terms=pa.array(model.terms, pa.binary())))  # a task holds terms in one piece
+    held = list(dict.fromkeys(["doc_id", *keep]))
+    columns = list(dict.fromkeys([*held, "text"]))
+    schema = ", ".join([f"`{c}` {types[c]}" for c in held] + ["score double"] + ["neighbours array<long>", "cosines array<double>"] * evidence)
+    arrow = _arrow_schema(spark, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         count = TermCounter(model.terms)
         blank = model.calibrated(model.prior)
-
-        def work(c):
-            out = {name: c[name] for name in ("doc_id", *keep)} | {"score": [], "neighbours": [], "cosines": []}
-            for texts in batches_of(c["text"]):
-                vectors = [model.unit(*bag) for bag in count.many(texts)]
-                for numbers, cosines, agree in model.neighbours(vectors):
-                    out["score"].append(model.calibrated(model.raw(numbers, agree)) if len(numbers) else blank)
-                    out["neighbours"].append(model.ids[numbers].tolist())
-                    out["cosines"].append(cosines.tolist())
-            return out
-
-        return work
-
-    columns = list(dict.fromkeys(["doc_id", *keep, "text"]))
-    schema = ", ".join([f"`{c}` {types[c]}" for c in dict.fromkeys(["doc_id", *keep])] + ["score double, neighbours array<long>, cosines array<double>"])
-    scored = map_rows(docs.select(*columns), make, schema)
+        for batch in batches:
+            for piece in _small(batch) if batch.num_rows else ():
+                scores, near, far = [], [], []
+                for texts in batches_of(piece.column(columns.index("text")).to_pylist()):
+                    vectors = [model.unit(*bag) for bag in count.many(texts)]
+                    pa.default_memory_pool().release_unused()  # what the words took, before the search takes its own
+                    for numbers, cosines, agree in model.neighbours(vectors):
+                        scores.append(model.calibrated(model.raw(numbers, agree)) if len(numbers) else blank)
+                        if evidence:
+                            near.append(model.ids[numbers])
+                            far.append(cosines)
+                out = {c: piece.column(i) for i, c in enumerate(held)} | {"score": scores} | ({"neighbours": near, "cosines": far} if evidence else {})
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    scored = map_batches(docs.select(*columns), run, schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

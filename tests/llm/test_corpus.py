@@ -1,8 +1,10 @@
 """Corpus operators against brute force, and on nulls, empty tables, ties, repeated rows and clashing columns."""
 
 import math
+import pickle
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -572,6 +574,40 @@ def test_long_examples_cost_texts_that_share_few_terms_little():
     assert taken(own) < 4 * taken(0)
 
 
+def test_index_takes_a_task_little_more_than_its_lists():
+    """A task that reads the broadcast index neither holds its postings twice nor sorts them again."""
+    draw = np.random.default_rng(6)
+    rows = []
+    for _ in range(1500):
+        terms = np.unique(np.concatenate([draw.choice(40, 20), 40 + draw.choice(20_000, 200)]))
+        weights = draw.uniform(1, 2, len(terms))
+        rows.append((terms, weights / np.sqrt((weights**2).sum())))
+    index = toxicity.BlockMaxIndex(rows, 20_040)
+    want = index.all_nearest(rows[:20], 7)
+    sent = pickle.dumps(index.resting())
+    tracemalloc.start()
+    woken = pickle.loads(sent)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.2 * len(sent) + 3 * woken.dense.nbytes
+    for (numbers, cosines), (same, alike) in zip(want, woken.all_nearest(rows[:20], 7), strict=True):
+        assert numbers.tolist() == same.tolist() and cosines.tolist() == alike.tolist()
+
+
+def test_toxicity_without_evidence(spark):
+    """The same scores, without the columns that the pipeline drops; texts with spaces at their ends have no empty term."""
+    texts = [f" {s} " for s in sentences(8, 300, ["river", "stone", "cloud", "an"], ["vilest"])] + ["", None, "  "]
+    docs = spark.createDataFrame([(i, t, [i, None]) for i, t in enumerate(texts)], "doc_id long, text string, more array<int>")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(303)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert sorted(model.terms) == sorted({w for text in texts for w in toxicity.words_of(text)})
+    full = {r["doc_id"]: r for r in toxicity.score(docs, model, keep=("more", "text")).collect()}
+    lean = toxicity.score(docs, model, keep=("more", "text"), evidence=False)
+    assert lean.columns == ["doc_id", "more", "text", "score", "predicted"] and lean.count() == len(texts)
+    for r in lean.collect():
+        assert r.asDict() == {c: full[r["doc_id"]][c] for c in lean.columns} and r["text"] == texts[r["doc_id"]] and r["more"] == [r["doc_id"], None]
+
+
 def sentences(seed, n, lexicon, extra=None):
     draw = random.Random(seed)
     out = []
